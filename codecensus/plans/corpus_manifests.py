@@ -180,6 +180,12 @@ BUILDERS = [
 
 def manifest_corpus(spark: SparkSession, sf_dir: str, before: str | None = None, snapshot_id: str = "s1") -> DataFrame:
     """Corpus M as a ``files`` table (9 manifests per (supplier, chunk))."""
+    from .materialize import corpus
+    return corpus(spark, sf_dir, f"manifests:{before}:{snapshot_id}",
+                  lambda: _manifest_corpus(spark, sf_dir, before, snapshot_id))
+
+
+def _manifest_corpus(spark: SparkSession, sf_dir: str, before: str | None, snapshot_id: str) -> DataFrame:
     rows = _rows(spark, sf_dir, before)
     fields = [c for c in rows.columns if c not in ("repo_id", "chunk")]
     per_file = rows.groupBy("repo_id", "chunk").agg(

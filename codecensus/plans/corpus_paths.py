@@ -40,7 +40,8 @@ def path_corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus P as an unpruned ``files`` table."""
-    return with_path_columns(path_corpus_raw(spark, sf_dir))
+    from .materialize import corpus
+    return corpus(spark, sf_dir, "paths", lambda: with_path_columns(path_corpus_raw(spark, sf_dir)))
 
 
 # ---- oracle side: the expected flags per template, written out by hand -----------
