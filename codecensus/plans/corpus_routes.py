@@ -25,8 +25,10 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+def _events(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    if before is not None:
+        e = e.filter(F.col("ts") < F.lit(before).cast("timestamp"))
     verb = F.element_at(F.array(*[F.lit(v) for v in VERBS]), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select(
         F.concat(F.lit("u"), _s(F.col("user_id"))).alias("repo_id"), "user_id",
@@ -108,13 +110,13 @@ LAYOUT = {
 SEPARATOR = {6: ",\n"}
 
 
-def route_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def route_corpus(spark: SparkSession, sf_dir: str, before: str | None = None, snapshot_id: str = "s1") -> DataFrame:
     from .materialize import corpus
-    return corpus(spark, sf_dir, "routes", lambda: _route_corpus(spark, sf_dir))
+    return corpus(spark, sf_dir, f"routes:{before}:{snapshot_id}", lambda: _route_corpus(spark, sf_dir, before, snapshot_id))
 
 
-def _route_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir)
+def _route_corpus(spark: SparkSession, sf_dir: str, before: str | None, snapshot_id: str) -> DataFrame:
+    ev = _events(spark, sf_dir, before)
     fields = [c for c in ev.columns if c not in ("repo_id", "fw", "chunk")]
     grouped = ev.filter(F.col("fw") != 8).groupBy("repo_id", "fw", "chunk").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
@@ -136,11 +138,15 @@ def _route_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return with_path_columns(out.select("repo_id", F.lit("s1").alias("snapshot_id"), F.col("repo_id").alias("project_name"),
+    return with_path_columns(out.select("repo_id", F.lit(snapshot_id).alias("snapshot_id"), F.col("repo_id").alias("project_name"),
                                         "rel_path", "content"))
 
 
 # ---- oracle: expected routes per parser, straight from events ---------------------------
+def oracle_events(where: str = "TRUE", name: str = "ev") -> str:
+    return ORACLE_EVENTS.replace("ev AS (", f"{name} AS (").replace("FROM events)", f"FROM events WHERE {where})")
+
+
 ORACLE_EVENTS = """
 ev AS (
   SELECT 'u' || CAST(user_id AS VARCHAR) AS repo_id, user_id, event_id, CAST(event_id AS VARCHAR) AS id, event_type,
