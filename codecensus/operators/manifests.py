@@ -73,26 +73,25 @@ def parse_cargo(files: DataFrame) -> DataFrame:
 def parse_requirements(files: DataFrame) -> DataFrame:
     ln = _scan_lines(files, F.lower("base") == "requirements.txt", ("#", "-"))
     line = F.col("line")
-    lower = F.lower(line)
-    egg_at = F.instr(lower, "#egg=")  # 1-based; the reference wants a 0-based index > 0
-    egg_name = F.lower(trim_space(line.substr(egg_at + 5, F.length(line))))
-    stripped = strip_inline_comment(line)
-    name, version = split_requirement(stripped)
     url = line.contains("://")
-    out = ln.select(
-        *FILE_KEY,
-        F.when(url, F.when((egg_at > 1) & (egg_at + 4 < F.length(line)), egg_name)).otherwise(
-            F.when(stripped != "", F.lower(name))).alias("name"),
-        F.when(url, F.lit("")).otherwise(version).alias("version"),
-        F.col("line_no").cast("bigint").alias("ord"))
+    egg_at = F.instr(F.lower(line), "#egg=")  # 1-based; the reference wants a 0-based index > 0
+    egg = ln.filter(url).select(*FILE_KEY, "line_no", F.when((egg_at > 1) & (egg_at + 4 < F.length(line)),
+                                                              F.lower(trim_space(line.substr(egg_at + 5, F.length(line))))).alias("name"),
+                                F.lit("").alias("version"))
+    plain = ln.filter(~url).select(*FILE_KEY, "line_no", strip_inline_comment(line).alias("s"))
+    plain = plain.select(*FILE_KEY, "line_no", "s", F.regexp_extract("s", r"^([^<>!=~\[ ]*)", 1).alias("head"))
+    plain = plain.select(*FILE_KEY, "line_no", F.lower(trim_space("head")).alias("name"),
+                         trim_space(F.col("s").substr(F.length("head") + 1, F.length("s"))).alias("version"))
+    out = egg.unionByName(plain)
     return out.filter(F.col("name").isNotNull() & (F.col("name") != "")).select(
-        *FILE_KEY, F.lit("pip").alias("manager"), "name", "version", "ord")
+        *FILE_KEY, F.lit("pip").alias("manager"), "name", "version", F.col("line_no").cast("bigint").alias("ord"))
 
 
 # D6 (+ D10)
 def parse_pyproject(files: DataFrame) -> DataFrame:
     ln = _scan_lines(files, F.lower("base") == "pyproject.toml", ("#",))
-    ln = ln.withColumn("line", strip_inline_comment("line")).filter(F.col("line") != "")
+    ln = ln.select(*FILE_KEY, "line_no", strip_inline_comment("line").alias("line"))
+    ln = ln.filter(F.col("line") != "")
     line = F.col("line")
     header = line.startswith("[") & line.endswith("]")
     starts = line.startswith("dependencies")
@@ -110,7 +109,9 @@ def parse_pyproject(files: DataFrame) -> DataFrame:
             .filter(F.col("sect_set").isNull()))
     proj = ev.filter((F.col("sect") == "project") & (F.col("starts") | F.col("in_arr")))
     proj = proj.select(*FILE_KEY, "line_no", F.posexplode(quoted_tokens("line")).alias("k", "dep"))
-    pname, pver = split_requirement("dep")
+    proj = proj.select("*", F.regexp_extract("dep", r"^([^<>!=~\[ ]*)", 1).alias("head"))
+    pname = trim_space("head")
+    pver = trim_space(F.col("dep").substr(F.length("head") + 1, F.length("dep")))
     proj = proj.select(*FILE_KEY, F.lit("pip").alias("manager"), F.lower(pname).alias("name"), pver.alias("version"),
                        (F.col("line_no").cast("bigint") * 100000 + F.col("k")).alias("ord")).filter(F.col("name") != "")
     poet = ev.filter((F.col("sect") == "tool.poetry.dependencies") & line.contains("="))
@@ -123,23 +124,25 @@ def parse_pyproject(files: DataFrame) -> DataFrame:
 
 # D1 / D2 (+ S9)
 def _parse_json_manifest(files: DataFrame, base: str, sections: tuple[str, str], manager: str) -> DataFrame:
-    v = F.try_parse_json(F.col("content"))
-
-    def section_ok(sec):
-        s = F.try_variant_get(v, f"$.{sec}", "variant")
-        kind = F.schema_of_variant(s)
-        vals = F.map_values(F.try_variant_get(v, f"$.{sec}", "map<string,variant>"))
-        obj_ok = s.isNull() | kind.startswith("OBJECT") | (kind == "VOID")
+    # Parse each document once into a column; every check below reads that column.
+    parsed = files.filter(F.col("base") == base).select(*FILE_KEY, F.try_parse_json(F.col("content")).alias("v"))
+    secs = parsed.select(*FILE_KEY, "v", *[F.try_variant_get("v", f"$.{sec}", "variant").alias(f"s{i}") for i, sec in enumerate(sections)])
+
+    def section_ok(i):
+        s_ = F.col(f"s{i}")
+        kind = F.schema_of_variant(s_)
+        vals = F.map_values(F.try_variant_get(s_, "$", "map<string,variant>"))
+        obj_ok = s_.isNull() | kind.startswith("OBJECT") | (kind == "VOID")
         vals_ok = F.coalesce(F.forall(vals, lambda x: F.schema_of_variant(x).isin("STRING", "VOID")), F.lit(True))
         return obj_ok & vals_ok
 
-    top = F.schema_of_variant(v)
-    ok = v.isNotNull() & (top.startswith("OBJECT") | (top == "VOID")) & section_ok(sections[0]) & section_ok(sections[1])
-    parsed = files.filter(F.col("base") == base).select(*FILE_KEY, F.when(ok, v).alias("v")).filter(F.col("v").isNotNull())
+    top = F.schema_of_variant("v")
+    ok = F.col("v").isNotNull() & (top.startswith("OBJECT") | (top == "VOID")) & section_ok(0) & section_ok(1)
+    good = secs.select(*FILE_KEY, "s0", "s1", ok.alias("ok")).filter("ok")
     parts = []
-    for i, sec in enumerate(sections):
-        m = F.try_variant_get(F.col("v"), f"$.{sec}", "map<string,string>")
-        parts.append(parsed.select(*FILE_KEY, F.lit(i).alias("sec"), F.explode(m).alias("name", "version")))
+    for i in range(2):
+        m = F.try_variant_get(F.col(f"s{i}"), "$", "map<string,string>")
+        parts.append(good.select(*FILE_KEY, F.lit(i).alias("sec"), F.explode(m).alias("name", "version")))
     out = parts[0].unionByName(parts[1])
     return out.select(*FILE_KEY, F.lit(manager).alias("manager"), "name", F.coalesce("version", F.lit("")).alias("version"),
                       F.col("sec").cast("bigint").alias("ord")).filter(F.col("name") != "")

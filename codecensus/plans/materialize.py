@@ -1,13 +1,16 @@
 """Reuse of derived corpora within a session.
 
-A corpus is derived from the driver tables once per (session, tables folder)
-and checkpointed into the session's shared checkpoint folder
-(``spark.checkpoint.dir``): later queries read the written table instead of
-re-deriving it, and its lineage (and plan size) is cut.
+A corpus (a ``files`` table derived from the driver tables) is built once per
+(session, tables folder) and written as parquet under the session's shared
+checkpoint folder (``spark.checkpoint.dir``), range-partitioned by
+(ext, base): later queries read the written table, so a parser's
+``base = 'go.mod'`` filter and its column selection reach the parquet scan
+(file skipping on min/max statistics, column pruning), and the lineage is cut.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 _CACHE: dict[tuple, DataFrame] = {}
+_RUN = uuid.uuid4().hex[:12]
+
+
+def write_table(df: DataFrame, spark: SparkSession, name: str, cluster_by=("ext", "base", "repo_id"),
+                partitions: int | None = None) -> DataFrame:
+    """Write ``df`` as parquet in the shared checkpoint folder and return the re-read table."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    safe = "".join(ch if ch.isalnum() else "_" for ch in name)
+    path = f"{root}/codecensus-{_RUN}/{safe}"
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    out = df.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     df = _CACHE.get(key)
     if df is None:
-        ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
+        df = write_table(build(), spark, f"{sf_dir.rstrip('/').split('/')[-1]}-{name}")
         _CACHE[key] = df
     return df
 
