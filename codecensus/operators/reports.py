@@ -185,3 +185,145 @@ def summary_text(snap: DataFrame, method_counts: DataFrame | None = None) -> Dat
 
 def list_text_col(c: str) -> Column:
     return list_text(F.col(c))
+
+
+# ---------------------------------------------------------------- O2: the other documents
+def _num_desc(c: Column) -> Column:
+    return F.lpad((F.lit(10 ** 15) - c).cast("string"), 16, "0")
+
+
+def _rows(df: DataFrame, artifact: str, block: int, ord_cols: list[Column], line: Column) -> DataFrame:
+    return df.select("repo_id", F.lit(artifact).alias("artifact"), F.lit(block).alias("block"), F.lit("").alias("sub"),
+                     F.array(F.lit("2"), *[c.cast("string") for c in ord_cols]).alias("ord"), line.alias("line"))
+
+
+def _section(keys: DataFrame, rows: DataFrame, artifact: str, block: int, title: list[str], header: list[str],
+             empty: str) -> DataFrame:
+    """Title lines for every repository; table header when it has rows, ``empty`` otherwise."""
+    has = rows.select("repo_id").distinct()
+    parts = [_lit_lines(keys, artifact, block, title).withColumn("ord", F.array(F.lit("0"), F.col("ord")[0]))]
+    if header:
+        parts.append(_lit_lines(has, artifact, block, header).withColumn("ord", F.array(F.lit("1"), F.col("ord")[0])))
+    parts.append(_lit_lines(keys.join(has, "repo_id", "left_anti"), artifact, block, [empty])
+                 .withColumn("ord", F.array(F.lit("3"), F.col("ord")[0])))
+    parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cells(*cols) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cols]), F.lit(" |"))
+
+
+def endpoints_doc_lines(keys: DataFrame, routes: DataFrame, artifact: str = "endpoints.md") -> DataFrame:
+    """routes: deduplicated (repo_id, method, path, controller)."""
+    from . import routes as R
+    by_method = R.route_method_counts(routes.withColumn("snapshot_id", F.lit("")))
+    groups = R.api_groups(routes.withColumn("snapshot_id", F.lit("")))
+    none = "No endpoints detected for the current project."
+    blocks = [
+        _lit_lines(keys, artifact, 0, ["# API Endpoints", ""]),
+        _section(keys, _rows(by_method, artifact, 1, [F.col("method")], _cells(F.col("method"), F.col("n_routes"))),
+                 artifact, 1, ["## Route Summary by Method"], ["| Method | Count |", "|---|---|"], none),
+        _lit_lines(keys, artifact, 2, [""]),
+        _section(keys, _rows(groups, artifact, 3, [_num_desc(F.col("route_count")), F.col("prefix")],
+                             _cells(F.col("prefix"), F.col("route_count"), list_text(F.col("methods")))),
+                 artifact, 3, ["## Route Groups"], ["| Prefix | Routes | Methods |", "|---|---|---|"], "No route groups detected."),
+        _lit_lines(keys, artifact, 4, [""]),
+        _section(keys, _rows(routes, artifact, 5, [F.col("method"), F.col("path"), F.col("controller")],
+                             _cells(F.col("method"), F.col("path"), F.col("controller"))),
+                 artifact, 5, ["## Route Inventory"], ["| Method | Path | Controller |", "|---|---|---|"], none),
+    ]
+    return assemble(reduce(DataFrame.unionByName, blocks))
+
+
+def _dir_rows(layout: DataFrame, artifact: str, block: int, full: bool) -> DataFrame:
+    cols = [F.col("path"), F.col("file_count"), F.col("source_files"), F.col("test_files")]
+    if full:
+        cols += [F.col("manifest_files"), F.col("config_files"), list_text(F.col("languages")), list_text(F.col("notable_files"))]
+    return _rows(layout, artifact, block, [F.when(F.col("path") == "root", "0").otherwise("1"), F.col("path")], _cells(*cols))
+
+
+def project_structure_doc_lines(keys: DataFrame, stats: DataFrame, manifests: DataFrame, entry: DataFrame,
+                                layout: DataFrame, artifact: str = "project-structure.md") -> DataFrame:
+    """stats: project_stats rows; manifests: (repo_id, path, kind); entry: (repo_id, entry_point); layout: directory rows."""
+    metric = stats.select("repo_id", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(label).alias("k"), F.col(c).alias("v")) for i, (label, c) in enumerate(
+            [("Total files", "total_files"), ("Source files", "source_files"), ("Test files", "test_files"),
+             ("Manifest files", "manifest_files"), ("Config files", "config_files")])])).alias("m"))
+    blocks = [
+        _lit_lines(keys, artifact, 0, ["# Project Structure", "", "## Repository Footprint", "", "| Metric | Value |", "|---|---|"]),
+        _rows(metric, artifact, 1, [F.col("m.i")], _cells(F.col("m.k"), F.col("m.v"))),
+        _lit_lines(keys, artifact, 2, [""]),
+        _section(keys, _rows(manifests, artifact, 3, [F.col("kind"), F.col("path")], _cells(F.col("kind"), F.col("path"))),
+                 artifact, 3, ["## Manifest Inventory"], ["| Kind | Path |", "|---|---|"], "No manifests detected."),
+        _lit_lines(keys, artifact, 4, [""]),
+        _section(keys, _rows(entry, artifact, 5, [F.col("entry_point")], F.concat(F.lit("- `"), F.col("entry_point"), F.lit("`"))),
+                 artifact, 5, ["## Entry Points"], [], "- n/a"),
+        _lit_lines(keys, artifact, 6, [""]),
+        _section(keys, _dir_rows(layout, artifact, 7, True), artifact, 7, ["## Directory Layout"],
+                 ["| Path | Files | Source | Tests | Manifests | Config | Languages | Notable files |",
+                  "|---|---|---|---|---|---|---|---|"], "No directory layout detected."),
+    ]
+    return assemble(reduce(DataFrame.unionByName, blocks))
+
+
+def layer_graph_lines(layer_edges: DataFrame) -> DataFrame:
+    """G7 + T6: (repo_id, line) rows of the Laravel layer graph, ordered by ``ord`` (bounded: <= 14 x 14 edges)."""
+    from . import modules as G
+    e = layer_edges.groupBy("repo_id").agg(F.array_sort(F.collect_set(F.struct("src_layer", "dst_layer"))).alias("e"))
+    layers = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x.src_layer, x.dst_layer))))
+    order = F.array(*[F.lit(x) for x in fixed.LAYER_ORDER])
+    ranked = F.transform(layers, lambda l_: F.struct(F.coalesce(F.nullif(F.array_position(order, l_), F.lit(0)),
+                                                                F.lit(len(fixed.LAYER_ORDER) + 1)).alias("p"), l_.alias("l")))
+    sorted_layers = F.transform(F.array_sort(ranked), lambda x: x.l)
+    node = lambda l_: mermaid_id(F.concat(F.lit("L_"), l_))
+    lines = F.concat(F.array(F.lit("~~~mermaid"), F.lit("graph LR")),
+                     F.transform(sorted_layers, lambda l_: F.concat(F.lit("  "), node(l_), F.lit('["'), mermaid_label(l_), F.lit('"]'))),
+                     F.transform("e", lambda x: F.concat(F.lit("  "), node(x.src_layer), F.lit(" --> "), node(x.dst_layer))),
+                     F.array(F.lit("~~~")))
+    del G
+    return e.select("repo_id", F.posexplode(lines).alias("p", "line"))
+
+
+def architecture_doc_lines(snap: DataFrame, layout: DataFrame, layer_edges: DataFrame, artifact: str = "architecture.md") -> DataFrame:
+    keys = snap.select("repo_id").distinct()
+    tech = snap.select("repo_id", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), _cells(F.lit(label), list_text(F.col(c))).alias("line")) for i, (label, c) in enumerate(
+            [("Languages", "languages"), ("Frameworks", "frameworks"), ("Package managers", "packageManagers"),
+             ("Infrastructure", "infrastructureServices")])])).alias("t"))
+    lg = layer_graph_lines(layer_edges)
+    lg_keys = lg.select("repo_id").distinct()
+    blocks = [
+        _lit_lines(keys, artifact, 0, ["# Architecture", "", "## Technology View", "", "| Area | Signals |", "|---|---|"]),
+        _rows(tech, artifact, 1, [F.col("t.i")], F.col("t.line")),
+        _lit_lines(keys, artifact, 2, ["", "## Layer Diagram", "", "~~~mermaid", "graph TD", "Controllers --> Services",
+                                       "Services --> Repositories", "Repositories --> Database", "~~~", ""]),
+        _section(keys, _dir_rows(layout, artifact, 3, False), artifact, 3, ["## Project Structure Signals"],
+                 ["| Path | Files | Source | Tests |", "|---|---|---|---|"], "No structure signals detected."),
+        _lit_lines(lg_keys, artifact, 4, ["## Laravel Layer Graph", "", "Derived from PHP namespace imports inside app/*.", ""]),
+        _rows(lg, artifact, 5, [F.lpad(F.col("p").cast("string"), 6, "0")], F.col("line")),
+    ]
+    return assemble(reduce(DataFrame.unionByName, blocks))
+
+
+def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
+    """The markdown document set of every snapshot as line rows (README.generated.md is not produced:
+    its scan timestamp has no place in a deterministic corpus table)."""
+    from . import modules as G
+    from . import snapshot as SN
+    from . import structure as S
+    c = census
+    keys = c.facts.select("repo_id").distinct()
+    deps = c.dependencies.select("repo_id", "manager", "name", "version")
+    routes = c.routes.select("repo_id", "method", "path", "controller")
+    facts = c.facts
+    layout = S.directory_layout(facts)
+    parts = [
+        project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
+                                    S.entry_points(facts).select("repo_id", F.explode("entry_points").alias("entry_point")), layout),
+        dependencies_doc_lines(deps), endpoints_doc_lines(keys, routes), dependency_graph_lines(deps),
+    ]
+    if raw_edges is not None:
+        parts.append(module_graph_lines(G.overview_edges(raw_edges)))
+        parts.append(architecture_doc_lines(SN.snapshot_rows(c), layout, G.layer_edges(raw_edges, c.frameworks)))
+    return reduce(DataFrame.unionByName, parts)

@@ -121,13 +121,17 @@ def _route_corpus(spark: SparkSession, sf_dir: str, before: str | None, snapshot
     grouped = ev.filter(F.col("fw") != 8).groupBy("repo_id", "fw", "chunk").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
     user = F.substring(F.col("repo_id"), 2, 1 << 20)
-    parts = []
+    # One pass over the grouped rows: the framework picks the layout and the snippet.
+    rel, content = None, None
     for fw, (fname, head, foot) in LAYOUT.items():
-        g = grouped.filter(F.col("fw") == fw)
         body = F.array_join(F.transform("r", _snippet_fn(fw)), SEPARATOR.get(fw, "\n"))
         h = F.replace(F.lit(head), F.lit("{u}"), user)
-        parts.append(g.select("repo_id", F.concat(F.lit("c"), _s(F.col("chunk")), F.lit("/" + fname)).alias("rel_path"),
-                              F.concat(h, body, F.lit(foot)).alias("content")))
+        cond = F.col("fw") == fw
+        r_ = F.concat(F.lit("c"), _s(F.col("chunk")), F.lit("/" + fname))
+        c_ = F.concat(h, body, F.lit(foot))
+        rel = F.when(cond, r_) if rel is None else rel.when(cond, r_)
+        content = F.when(cond, c_) if content is None else content.when(cond, c_)
+    parts = [grouped.select("repo_id", rel.alias("rel_path"), content.alias("content"))]
     nx = ev.filter(F.col("fw") == 8).select(
         "repo_id",
         F.when(F.col("event_id") % 2 == 0, _c("web/pages/api/", F.col("event_type"), "/", F.col("id"), ".ts"))

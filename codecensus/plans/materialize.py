@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -28,8 +29,15 @@ def write_table(df: DataFrame, spark: SparkSession, name: str, cluster_by=("ext"
     safe = "".join(ch if ch.isalnum() else "_" for ch in name)
     path = f"{root}/codecensus-{_RUN}/{safe}"
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    out = df.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
+    if cluster_by:
+        # Range partitioning samples its input first; keep the input (spilling to disk) so it is computed once.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
+    else:
+        out = df
     out.write.mode("overwrite").parquet(path)
+    if cluster_by:
+        df.unpersist()
     return spark.read.parquet(path)
 
 

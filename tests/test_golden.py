@@ -115,3 +115,24 @@ def test_snapshot_row_and_summary(files):
     assert "API endpoints\n- 3 routes detected\n- GET: 3\n" in text
     assert "Dependencies\n- go: 1\n- npm: 2\n- pip: 1\n- total: 4\n" in text
     assert text.endswith("Services\n- docker\n- env-file\n- postgres\n- redis\n")
+
+
+def test_documents(files):
+    from codecensus.operators import structure as S
+    f = _sample(files)
+    c = SN.census(f)
+    keys = f.select("repo_id").distinct()
+    ep = RP.endpoints_doc_lines(keys, c.routes.select("repo_id", "method", "path", "controller"))
+    text = RP.render_text(ep).collect()[0].body
+    assert text == ("# API Endpoints\n\n## Route Summary by Method\n| Method | Count |\n|---|---|\n| GET | 3 |\n\n"
+                    "## Route Groups\n| Prefix | Routes | Methods |\n|---|---|---|\n| /api | 1 | GET |\n| /py | 1 | GET |\n"
+                    "| /web | 1 | GET |\n\n## Route Inventory\n| Method | Path | Controller |\n|---|---|---|\n"
+                    "| GET | /api/health | server.Health |\n| GET | /py/health | health |\n| GET | /web/health | healthHandler |\n")
+    facts = c.facts
+    ps = RP.project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
+                                        S.entry_points(facts).select("repo_id", F.explode("entry_points").alias("entry_point")),
+                                        S.directory_layout(facts))
+    body = RP.render_text(ps).collect()[0].body
+    assert "| root | 8 | 1 | 0 | 5 | 2 | go | .env, docker-compose.yml, go.mod, main.go, package.json |\n" in body
+    assert "## Entry Points\n- `main.go`\n- `web/server.js`\n\n## Directory Layout\n" in body
+    assert body.startswith("# Project Structure\n\n## Repository Footprint\n\n| Metric | Value |\n|---|---|\n| Total files | 14 |\n")
