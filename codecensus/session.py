@@ -29,7 +29,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
+        # Post-shuffle stages here are CPU-bound (regexes, windows over lines): keep them at least
+        # as wide as the cores instead of coalescing to 64 MB partitions.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(8 * 1024 * 1024))
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
