@@ -58,16 +58,58 @@ def files_from_rows(spark: SparkSession, rows, repo_id="repo", snapshot_id="s1",
     return files_from_frame(spark.createDataFrame(data, schema))
 
 
+def _dot_file_paths(spark: SparkSession, root: str) -> list[str]:
+    """Paths of files whose name starts with '.' (Spark's file listing hides them; the census keeps them).
+
+    Uses the Hadoop FileSystem listing, like the file source itself; only the
+    hidden file names are returned, and pruned directories are skipped later.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    it = fs.listFiles(path, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        p = st.getPath()
+        if p.getName().startswith("."):
+            out.append(p.toString())
+    return out
+
+
+def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, content) for explicit paths, read inside tasks through pyarrow's filesystem layer."""
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        for b in batches:
+            contents = []
+            for p in b["path"]:
+                filesystem, inner = pafs.FileSystem.from_uri(p)
+                with filesystem.open_input_stream(inner) as h:
+                    contents.append(h.read())
+            yield pd.DataFrame({"path": b["path"], "length": [len(c) for c in contents], "content": contents})
+    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
+    return (spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
+            .mapInPandas(read, "path string, length bigint, content binary"))
+
+
 def ingest_tree(spark: SparkSession, root: str, repo_id: str, snapshot_id: str,
                 max_bytes: int | None = None) -> DataFrame:
     """S1 + S2: read every regular file under ``root`` with the binaryFile source.
 
     Directory pruning (S2) is a filter on the relative path; binaryFile pushes
     only ``length`` / ``modificationTime`` filters, so a size bound is applied at
-    the scan and the result is meant to be written once to parquet.
+    the scan and the result is meant to be written once to parquet.  The file
+    source hides names starting with '.', so dot-files (``.env``) are read by
+    explicit path and unioned.
     """
     root_uri = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri)
+    hidden = _dot_file_paths(spark, root_uri)
+    if hidden:
+        raw = raw.select("path", "length", "content").unionByName(_read_paths(spark, hidden))
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
     prefix = F.regexp_extract(F.col("path"), r"^(.*?" + _escape(root_uri.split("://")[-1]) + r")/", 1)
@@ -80,7 +122,7 @@ def ingest_tree(spark: SparkSession, root: str, repo_id: str, snapshot_id: str,
         rel.alias("rel_path"),
         F.expr("make_valid_utf8(cast(content as string))").alias("content"),
     )
-    return files_from_frame(df)
+    return files_from_frame(df).dropDuplicates(FILE_KEY)
 
 
 def _escape(s: str) -> str:
