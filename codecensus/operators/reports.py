@@ -147,7 +147,7 @@ def dependencies_doc_lines(deps: DataFrame, artifact: str = "dependencies.md") -
 
 
 # O1
-def _section(title: str, items: Column) -> Column:
+def _list_section(title: str, items: Column) -> Column:
     body = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit("- n/a\n\n")).otherwise(
         F.concat(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n")))
     return F.concat(F.lit(title + "\n"), body)
@@ -178,8 +178,8 @@ def summary_text(snap: DataFrame, method_counts: DataFrame | None = None) -> Dat
     services = F.when(F.size("infrastructureServices") == 0, F.lit("Services\n- n/a\n")).otherwise(F.concat(
         F.lit("Services\n"), F.array_join(F.transform("infrastructureServices", lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")))
     text = F.concat(F.lit("Project summary\n\nPath\n"), F.col("projectPath"), F.lit("\n\n"),
-                    _section("Languages", F.col("languages")), _section("Frameworks", F.col("frameworks")),
-                    _section("Package managers", F.col("packageManagers")), shape, deps, api, groups, services)
+                    _list_section("Languages", F.col("languages")), _list_section("Frameworks", F.col("frameworks")),
+                    _list_section("Package managers", F.col("packageManagers")), shape, deps, api, groups, services)
     return snap.select("repo_id", "snapshot_id", text.alias("summary"))
 
 
