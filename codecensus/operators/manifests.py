@@ -75,14 +75,15 @@ def parse_requirements(files: DataFrame) -> DataFrame:
     line = F.col("line")
     url = line.contains("://")
     egg_at = F.instr(F.lower(line), "#egg=")  # 1-based; the reference wants a 0-based index > 0
-    egg = ln.filter(url).select(*FILE_KEY, "line_no", F.when((egg_at > 1) & (egg_at + 4 < F.length(line)),
-                                                              F.lower(trim_space(line.substr(egg_at + 5, F.length(line))))).alias("name"),
-                                F.lit("").alias("version"))
-    plain = ln.filter(~url).select(*FILE_KEY, "line_no", strip_inline_comment(line).alias("s"))
-    plain = plain.select(*FILE_KEY, "line_no", "s", F.regexp_extract("s", r"^([^<>!=~\[ ]*)", 1).alias("head"))
-    plain = plain.select(*FILE_KEY, "line_no", F.lower(trim_space("head")).alias("name"),
-                         trim_space(F.col("s").substr(F.length("head") + 1, F.length("s"))).alias("version"))
-    out = egg.unionByName(plain)
+    egg = F.when((egg_at > 1) & (egg_at + 4 < F.length(line)), F.lower(trim_space(line.substr(egg_at + 5, F.length(line)))))
+    # One pass: URL lines take the #egg= name, the others the comment-stripped requirement.
+    st = ln.select(*FILE_KEY, "line_no", url.alias("url"), F.when(url, egg).alias("egg"),
+                   F.when(~url, strip_inline_comment(line)).alias("s"))
+    st = st.select("*", F.regexp_extract("s", r"^([^<>!=~\[ ]*)", 1).alias("head"))
+    out = st.select(*FILE_KEY, "line_no",
+                    F.when(F.col("url"), F.col("egg")).otherwise(F.lower(trim_space("head"))).alias("name"),
+                    F.when(F.col("url"), F.lit("")).otherwise(
+                        trim_space(F.col("s").substr(F.length("head") + 1, F.length("s")))).alias("version"))
     return out.filter(F.col("name").isNotNull() & (F.col("name") != "")).select(
         *FILE_KEY, F.lit("pip").alias("manager"), "name", "version", F.col("line_no").cast("bigint").alias("ord"))
 
@@ -139,13 +140,16 @@ def _parse_json_manifest(files: DataFrame, base: str, sections: tuple[str, str],
     top = F.schema_of_variant("v")
     ok = F.col("v").isNotNull() & (top.startswith("OBJECT") | (top == "VOID")) & section_ok(0) & section_ok(1)
     good = secs.select(*FILE_KEY, "s0", "s1", ok.alias("ok")).filter("ok")
-    parts = []
-    for i in range(2):
-        m = F.try_variant_get(F.col(f"s{i}"), "$", "map<string,string>")
-        parts.append(good.select(*FILE_KEY, F.lit(i).alias("sec"), F.explode(m).alias("name", "version")))
-    out = parts[0].unionByName(parts[1])
-    return out.select(*FILE_KEY, F.lit(manager).alias("manager"), "name", F.coalesce("version", F.lit("")).alias("version"),
-                      F.col("sec").cast("bigint").alias("ord")).filter(F.col("name") != "")
+
+    def entries(i):
+        m = F.coalesce(F.map_entries(F.try_variant_get(F.col(f"s{i}"), "$", "map<string,string>")),
+                       F.array().cast("array<struct<key:string,value:string>>"))
+        return F.transform(m, lambda e: F.struct(F.lit(i).alias("sec"), e.key.alias("name"), e.value.alias("version")))
+    # One pass: both sections' entries in one generator (no second parse of the document).
+    out = good.select(*FILE_KEY, F.explode(F.concat(entries(0), entries(1))).alias("e"))
+    return out.select(*FILE_KEY, F.lit(manager).alias("manager"), F.col("e.name").alias("name"),
+                      F.coalesce("e.version", F.lit("")).alias("version"), F.col("e.sec").cast("bigint").alias("ord")
+                      ).filter(F.col("name") != "")
 
 
 def parse_package_json(files: DataFrame) -> DataFrame:
