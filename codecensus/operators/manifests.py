@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import WS_CLASS, quoted_tokens, split_requirement, strip_inline_comment, trim_chars, trim_space
+from ..functions.text import WS_CLASS, quoted_tokens, strip_inline_comment, trim_chars, trim_space
 from ..sources.files import FILE_KEY, SNAP_KEY
 from ..sources.lines import explode_lines, nonblank
 

@@ -269,7 +269,6 @@ def project_structure_doc_lines(keys: DataFrame, stats: DataFrame, manifests: Da
 
 def layer_graph_lines(layer_edges: DataFrame) -> DataFrame:
     """G7 + T6: (repo_id, line) rows of the Laravel layer graph, ordered by ``ord`` (bounded: <= 14 x 14 edges)."""
-    from . import modules as G
     e = layer_edges.groupBy("repo_id").agg(F.array_sort(F.collect_set(F.struct("src_layer", "dst_layer"))).alias("e"))
     layers = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x.src_layer, x.dst_layer))))
     order = F.array(*[F.lit(x) for x in fixed.LAYER_ORDER])
@@ -281,7 +280,6 @@ def layer_graph_lines(layer_edges: DataFrame) -> DataFrame:
                      F.transform(sorted_layers, lambda l_: F.concat(F.lit("  "), node(l_), F.lit('["'), mermaid_label(l_), F.lit('"]'))),
                      F.transform("e", lambda x: F.concat(F.lit("  "), node(x.src_layer), F.lit(" --> "), node(x.dst_layer))),
                      F.array(F.lit("~~~")))
-    del G
     return e.select("repo_id", F.posexplode(lines).alias("p", "line"))
 
 

@@ -297,11 +297,9 @@ def _openapi_files(files: DataFrame, exts) -> DataFrame:
 
 def _openapi_json_docs(files: DataFrame) -> DataFrame:
     v = F.try_parse_json(F.col("content"))
-    top = F.schema_of_variant(v)
     d = _openapi_files(files, (".json",)).select(*FILE_KEY, v.alias("v"))
     d = d.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
     keys = F.expr("map_keys(try_variant_get(v, '$', 'map<string,variant>'))")
-    del top
     return d.filter(F.array_contains(keys, "openapi") | F.array_contains(keys, "swagger"))
 
 

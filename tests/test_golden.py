@@ -136,3 +136,27 @@ def test_documents(files):
     assert "| root | 8 | 1 | 0 | 5 | 2 | go | .env, docker-compose.yml, go.mod, main.go, package.json |\n" in body
     assert "## Entry Points\n- `main.go`\n- `web/server.js`\n\n## Directory Layout\n" in body
     assert body.startswith("# Project Structure\n\n## Repository Footprint\n\n| Metric | Value |\n|---|---|\n| Total files | 14 |\n")
+
+
+def test_architecture_and_layers(files):
+    from codecensus.operators import structure as S
+    f = _sample(files)
+    c = SN.census(f)
+    raw = G.raw_edges(f)
+    doc = RP.architecture_doc_lines(SN.snapshot_rows(c), S.directory_layout(c.facts), G.layer_edges(raw, c.frameworks))
+    body = RP.render_text(doc).collect()[0].body
+    assert body == ("# Architecture\n\n## Technology View\n\n| Area | Signals |\n|---|---|\n| Languages | go, javascript, python |\n"
+                    "| Frameworks | express, fastapi, gin, react |\n| Package managers | go, npm, pip |\n"
+                    "| Infrastructure | docker, env-file, postgres, redis |\n\n## Layer Diagram\n\n~~~mermaid\ngraph TD\n"
+                    "Controllers --> Services\nServices --> Repositories\nRepositories --> Database\n~~~\n\n"
+                    "## Project Structure Signals\n| Path | Files | Source | Tests |\n|---|---|---|---|\n| root | 8 | 1 | 0 |\n"
+                    "| internal/server | 1 | 1 | 0 |\n| internal/store | 1 | 1 | 0 |\n| py | 2 | 2 | 0 |\n| web | 2 | 2 | 0 |\n")
+    # a Laravel tree: layers follow the preferred order, edges sorted
+    lf = files([("composer.json", '{"require": {"laravel/framework": "^11"}, "autoload": {"psr-4": {"App\\\\": "app/"}}}'),
+                ("app/Http/Controllers/OrderController.php", "<?php\nnamespace App\\Http\\Controllers;\nuse App\\Services\\OrderService;\n"),
+                ("app/Services/OrderService.php", "<?php\nnamespace App\\Services;\nuse App\\Models\\{Order, Line as L};\n"),
+                ("tests/Feature/OrderTest.php", "<?php\nnamespace Tests\\Feature;\nuse App\\Models\\Order;\n")], repo="lv")
+    lc = SN.census(lf, with_infra=False)
+    lines = [r.line for r in RP.layer_graph_lines(G.layer_edges(G.raw_edges(lf), lc.frameworks)).orderBy("p").collect()]
+    assert lines == ["~~~mermaid", "graph LR", '  L_Http["Http"]', '  L_Services["Services"]', '  L_Models["Models"]',
+                     "  L_Http --> L_Services", "  L_Services --> L_Models", "~~~"]
