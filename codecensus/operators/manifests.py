@@ -245,9 +245,11 @@ def frameworks_from_dependencies(deps: DataFrame) -> DataFrame:
         ((rules["kind"] == "eq") & (n == rules["needle"]))
         | ((rules["kind"] == "suffix") & n.endswith(rules["needle"]))
         | ((rules["kind"] == "contains") & n.contains(rules["needle"])))
+    # Within one manager the rules never overlap (distinct exact names; every suffix rule names the same
+    # framework), so "first matching rule" equals "any matching rule": a distinct on the small
+    # (repo, snapshot, framework) output replaces a per-dependency shuffle.
     hits = deps.join(rules, cond, "inner")
-    first = hits.groupBy(*FILE_KEY, deps["manager"], deps["name"]).agg(F.min_by("framework", "prio").alias("framework"))
-    return first.select(*SNAP_KEY, "framework").distinct()
+    return hits.select(*SNAP_KEY, "framework").distinct()
 
 
 # A5
