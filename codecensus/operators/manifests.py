@@ -222,8 +222,10 @@ def unique_last(raw: DataFrame) -> DataFrame:
 
 def dependencies(files: DataFrame, managers=None) -> DataFrame:
     """All dependency rows ``(repo_id, snapshot_id, rel_path, manager, name, version)``."""
-    parts = [PARSERS[m](files) for m in (managers or PARSERS)]
-    return unique_last(reduce(DataFrame.unionByName, parts))
+    # Dedupe each parser's rows before the union: the window-based parsers are already partitioned
+    # by file, so their per-file "last wins" aggregate needs no second exchange.
+    parts = [unique_last(PARSERS[m](files)) for m in (managers or PARSERS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # A 17-row literal dictionary (bounded by construction) broadcast-joined on
