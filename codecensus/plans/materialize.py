@@ -28,7 +28,10 @@ def write_table(df: DataFrame, spark: SparkSession, name: str, cluster_by=("ext"
     root = ensure_checkpoint_dir(spark).rstrip("/")
     safe = "".join(ch if ch.isalnum() else "_" for ch in name)
     path = f"{root}/codecensus-{_RUN}/{safe}"
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # As many files as the shuffle setting asks for, but not far beyond the cluster's cores: a
+    # 200-way default on a small corpus would only scatter it into tiny files.
+    n = partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                 4 * spark.sparkContext.defaultParallelism))
     if cluster_by:
         # Range partitioning samples its input first; keep the input (spilling to disk) so it is computed once.
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
