@@ -86,12 +86,13 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     ``right`` must be cheap to count (a written table or a small aggregate). Beyond the limit a sort-merge join is used,
     whose hot keys adaptive execution splits.
     """
+    names = right.columns
+    right = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)])
     if right.limit(limit + 1).count() <= limit:
         right = F.broadcast(right)
-    cond = [left[c].eqNullSafe(right[c]) for c in on]
-    keep = [c for c in right.columns if c not in on]
+    cond = [F.col(c).eqNullSafe(F.col(f"_r{names.index(c)}")) for c in on]
     out = left.join(right, cond, how)
-    return out.select(*[left[c] for c in left.columns], *[right[c] for c in keep])
+    return out.select(*left.columns, *[F.col(f"_r{i}").alias(c) for i, c in enumerate(names) if c not in on])
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

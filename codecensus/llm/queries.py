@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, sentencepiece_viterbi, token_counts
+from . import language_id, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality_rules": rules.op3_quality_rules,
     "op4_language_id": language_id.op4_language_id,
     "op5_sentencepiece": sentencepiece_viterbi.op5_sentencepiece,
+    "op8_pii": pii.op8_pii,
+    "op9_quality": quality.op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}
