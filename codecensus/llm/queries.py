@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
+from . import katz, language_id, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": sentencepiece_viterbi.op5_sentencepiece,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
+    "op10_katz": katz.op10_katz,
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE}
