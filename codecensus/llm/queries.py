@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, katz, language_id, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
+from . import embeddings, katz, language_id, minhash, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,9 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": rules.op3_quality_rules,
     "op4_language_id": language_id.op4_language_id,
     "op5_sentencepiece": sentencepiece_viterbi.op5_sentencepiece,
+    "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_katz": katz.op10_katz,
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE, "op7_embedding_dedup": embeddings.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_embedding_dedup": embeddings.ORACLE}
