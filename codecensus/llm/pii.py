@@ -352,6 +352,30 @@ def pii(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs with every span in text replaced by <kind>; other columns as they are, null texts stay null.
+
+    A column n_chars, where there is one, becomes the length of the new text. No shuffle.
+    """
+    names = docs.columns
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            old = b.column(at).to_pylist()
+            new = [None if t is None else redacted(t, every) for t, (_, every) in zip(old, find([t or "" for t in old]), strict=True)]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            if count is not None:
+                cols[count] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(b.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    prepare(docs.sparkSession)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document."""
     return pii(table(spark, sf_dir, "documents"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, pick, prepare, remainder, saved, table, texts
+from .common import Batches, batch, joined, pick, prepare, remainder, saved, table, texts, unpacked
 
 #: Labelled rows that the classifier is fitted on at most, drawn by a hash of doc_id.
 MAX_LABELLED = 40_000
@@ -57,10 +57,8 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(batches: Batches) -> Batches:
-    for b in batches:
-        x = np.array([statistics(t) for t in texts(b)], np.float64).reshape(b.num_rows, len(STATISTICS))
-        yield batch(doc_id=b.column("doc_id"), x=pa.array(list(x), pa.list_(pa.float64())))
+def _matrix(docs: list[str]) -> np.ndarray:
+    return np.array([statistics(t) for t in docs], np.float64).reshape(len(docs), len(STATISTICS))
 
 
 class Model:
@@ -143,36 +141,56 @@ def fit(rows: DataFrame) -> Model | None:
     return model
 
 
-def scores(statistics_of: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) from (doc_id, x); without a model every score is 0.5."""
-    held = statistics_of.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows (doc_id, text) as (doc_id, score); without a model every score is 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:
-        m = held.value
         for b in batches:
-            s = np.full(b.num_rows, 0.5)
-            if m is not None and b.num_rows:
-                s = m.score(np.array(b.column("x").to_pylist(), float))
-            yield batch(doc_id=b.column("doc_id"), score=pa.array(s, pa.float64()))
+            yield batch(doc_id=b.column("doc_id"), score=pa.array(_scores(held.value, texts(b)), pa.float64()))
 
-    return statistics_of.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, "doc_id long, score double")
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
-    """The statistics of every row of docs (doc_id, text), written, and the model learned from their labels.
+def _scores(model: Model | None, docs: list[str]) -> np.ndarray:
+    return model.score(_matrix(docs)) if model is not None and docs else np.full(len(docs), 0.5)
 
-    Learns from rows whose crc32(doc_id) mod 5 is not 0 with quality 0 or 1; a doc_id with several labels takes the
-    largest, so that every labelled text counts once.
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model learned from the texts of docs that labels (doc_id, quality) speak of.
+
+    Learns from rows whose crc32(doc_id) mod 5 is not 0 with quality 0 or 1, MAX_LABELLED of them at most, drawn by hash; a
+    doc_id with several labels takes the largest. The drawn labels are few enough to be broadcast, so only the texts
+    that they name are looked at.
     """
-    x = saved(docs.mapInArrow(with_statistics, "doc_id long, x array<double>"), "statistics")
     y = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    y = y.filter("y in (0, 1) and doc_id is not null").filter(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
-    y = saved(y, "labels")
+    y = y.filter("y in (0, 1) and doc_id is not null").filter(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
     n = y.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality-sample")), F.lit(1 << 30)) / float(1 << 30)
-    y = y.filter(draw < min(1.0, MAX_LABELLED / max(n, 1)))
-    rows = saved(x.join(y, "doc_id").select("doc_id", "x", F.col("y").cast("double").alias("y")), "labelled")
-    return x, fit(rows)
+    y = y.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("quality-sample")), F.lit(1 << 30)) / float(1 << 30))
+    y = saved(y.filter(F.col("draw") < min(1.0, MAX_LABELLED / max(n, 1))).orderBy("draw", "doc_id").limit(MAX_LABELLED).select("doc_id", "y"), "labels")
+
+    def look(batches: Batches) -> Batches:
+        for b in batches:
+            x = _matrix(texts(b))
+            yield batch(doc_id=b.column("doc_id"), y=b.column("y"), x=pa.array(list(x), pa.list_(pa.float64())))
+
+    src = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = joined(src, y, ["doc_id"], "inner")
+    return fit(saved(named.mapInArrow(look, "doc_id long, y double, x array<double>"), "labelled"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is ``least`` or more, with their columns; one pass, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            keep = pa.array(_scores(held.value, texts(b)) >= least)
+            yield b.select(["_row"]).filter(keep)
+
+    rows = pick(docs, "text", row="_row")
+    out = rows.mapInArrow(run, rows.select("_row").schema)
+    return unpacked(out, "_row", docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +201,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    x, model = trained(docs, table(spark, sf_dir, "labels"))
-    out = scores(x, model)
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
