@@ -55,13 +55,6 @@ ENTRY_POINT_NAMES = [
 ]
 HIGHLIGHT_NAMES = ["README.md", "Makefile"]
 
-# --- fixed values: caps ----------------------------------------------------
-MAX_ENTRY_POINTS = 12
-MAX_NOTABLE_FILES = 5
-MAX_RAW_MODULE_EDGES = 300
-MAX_OVERVIEW_EDGES = 120
-MAX_SCANNER_LINE_BYTES = 65535
-
 # --- fixed values: infrastructure vocabulary (first hit wins, in order) ----
 # (service, substrings that trigger it)
 INFRA_VOCABULARY = [

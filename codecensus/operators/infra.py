@@ -49,7 +49,7 @@ def is_yaml_key(trimmed: Column) -> Column:
 
 
 def _scan(files: DataFrame, cond: Column) -> DataFrame:
-    return nonblank(explode_lines(files.filter(cond)).filter("scan_ok"), ("#",))
+    return nonblank(explode_lines(files.filter(cond)), ("#",))
 
 
 def _hits(df: DataFrame, svc: Column, source: str) -> DataFrame:
@@ -78,13 +78,12 @@ def _compose_step(acc: Column, e: Column) -> Column:
 def compose_services(files: DataFrame) -> DataFrame:
     f = files.filter(P.is_config_file() & F.lower("rel_path").contains("docker-compose"))
     raw = F.transform(F.split(F.col("content"), "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
-    ok = ~F.exists(raw, lambda x: F.octet_length(x) > fixed.MAX_SCANNER_LINE_BYTES)
     ev = F.transform(raw, lambda x: F.struct(trim_space(x).alias("t"), leading_indent(x).alias("indent")))
     ev = F.filter(ev, lambda e: (e.t != "") & ~e.t.startswith("#"))
     init = F.struct(F.lit(False).alias("ins"), F.lit(-1).alias("si"), F.lit(-1).alias("ci"),
                     F.expr("cast(array() as array<string>)").alias("found"))
     found = F.aggregate(ev, init, _compose_step).getField("found")
-    out = f.filter(ok).select(*FILE_KEY, F.explode(F.array_distinct(found)).alias("service"))
+    out = f.select(*FILE_KEY, F.explode(F.array_distinct(found)).alias("service"))
     return out.withColumn("source", F.lit("compose"))
 
 

@@ -33,8 +33,8 @@ def _prev_rows(w):
 
 
 def _scan_lines(files: DataFrame, cond, comments=()) -> DataFrame:
-    """Lines of the selected files for a line-scanner parser (long-line files yield nothing)."""
-    return nonblank(explode_lines(files.filter(cond)).filter("scan_ok"), comments)
+    """Lines of the selected files for a line-scanner parser."""
+    return nonblank(explode_lines(files.filter(cond)), comments)
 
 
 # D3

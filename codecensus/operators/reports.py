@@ -318,7 +318,7 @@ def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
     layout = S.directory_layout(facts)
     parts = [
         project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
-                                    S.entry_points(facts).select("repo_id", F.explode("entry_points").alias("entry_point")), layout),
+                                    S.entry_points(facts).select("repo_id", "entry_point"), layout),
         dependencies_doc_lines(deps), endpoints_doc_lines(keys, routes), dependency_graph_lines(deps),
     ]
     if raw_edges is not None:

@@ -52,7 +52,7 @@ def _out(df: DataFrame, framework: str | Column, method, path, controller) -> Da
 
 def _scan(files: DataFrame, cond: Column, comments=()) -> DataFrame:
     """Line-scanner input: long-line files yield nothing; blank/comment lines dropped."""
-    return nonblank(explode_lines(files.filter(cond)).filter("scan_ok"), comments)
+    return nonblank(explode_lines(files.filter(cond)), comments)
 
 
 def _split_lines(files: DataFrame, cond: Column, comments=()) -> DataFrame:
@@ -265,7 +265,6 @@ def _go_events(x: Column) -> Column:
 def go_route_state(files: DataFrame) -> DataFrame:
     """Per .go file: the routes and whether gin / echo were used (one fold per file row)."""
     raw = F.split(F.col("content"), "\n", -1)
-    ok = ~F.exists(raw, lambda x: F.octet_length(x) > fixed.MAX_SCANNER_LINE_BYTES)
     lines = F.transform(raw, lambda x: trim_space(x))
     cand = F.filter(lines, lambda x: (x != "") & ~x.startswith("//") & (
         x.contains("gin.") | x.contains("echo.New") | x.contains(".Group(") | x.rlike(GO_ROUTE)))
@@ -274,7 +273,7 @@ def go_route_state(files: DataFrame) -> DataFrame:
                     F.expr(f"cast(array() as {_ROUTE_T})").alias("out"),
                     F.lit(False).alias("used_gin"), F.lit(False).alias("used_echo"))
     state = F.aggregate(F.flatten(F.transform(cand, _go_events)), init, _go_step)
-    f = files.filter(P.is_go_routes_file()).filter(ok)
+    f = files.filter(P.is_go_routes_file())
     return f.select(*FILE_KEY, state.alias("st")).select(*FILE_KEY, "st.out", "st.used_gin", "st.used_echo")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import paths as P
+from ..functions.running import running_total
+from ..session import saved
 from ..sources.files import FILE_KEY, SNAP_KEY
 
 
@@ -43,56 +45,37 @@ def project_stats(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*SNAP_KEY).agg(*_counts())
 
 
-# A2 + T3
-def directory_layout(facts: DataFrame) -> DataFrame:
-    """Per first-two-segment directory: counts, languages set and the first 5 notable files."""
-    is_source = ~F.col("is_test") & F.col("source_language").isNotNull()
-    c = _counts()
-    return facts.groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
-        c[0].alias("file_count"), c[1], c[2], c[3], c[4],
-        F.array_sort(F.collect_set(F.when(is_source, F.col("source_language")))).alias("languages"),
-        # A per-directory set capped at 5: keep the 5 smallest paths; min-k is mergeable.
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("is_notable"), F.col("rel_path")))), 1, fixed.MAX_NOTABLE_FILES)
-        .alias("notable_files"),
-    )
-
-
-def _bounded_smallest(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
-    """k smallest distinct ``value`` per ``keys`` as a sorted array.
-
-    A window group limit keeps only k rows per key before anything is collected,
-    so a hot key never gathers more than k values in one task.
-    """
-    from pyspark.sql import Window as W
-    d = df.select(*keys, value).dropDuplicates(keys + [value])
-    w = W.partitionBy(*keys).orderBy(value)
-    top = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value + "s"))
+def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct ``value`` per ``keys`` with its rank; a key of any size spans many tasks."""
+    d = df.select(*keys, value).distinct()
+    out = running_total(d, keys, [F.col(value)], {"rank": F.lit(1)}, lambda x: saved(x, "ranked-paths"))
+    return out.withColumn("rank", (F.col("rank") + 1).cast("bigint"))
 
 
 # T2
 def entry_points(facts: DataFrame) -> DataFrame:
-    """First 12 entry points (sorted) per snapshot."""
-    ep = facts.filter("is_entry").select(*SNAP_KEY, F.col("rel_path").alias("entry_point"))
-    return _bounded_smallest(ep, SNAP_KEY, "entry_point", fixed.MAX_ENTRY_POINTS)
+    """(repo, snapshot, entry_point, rank): every entry point, ranked by path."""
+    return _ranked(facts.filter("is_entry").select(*SNAP_KEY, F.col("rel_path").alias("entry_point")), SNAP_KEY, "entry_point")
 
 
-# T3 (long form)
+# T3
 def notable_files(facts: DataFrame) -> DataFrame:
-    """First 5 notable files per (snapshot, directory)."""
+    """(repo, snapshot, path, notable_file, rank): every notable file of a directory, ranked by path."""
     nf = facts.filter("is_notable").select(*SNAP_KEY, F.col("dir_key").alias("path"), F.col("rel_path").alias("notable_file"))
-    return _bounded_smallest(nf, SNAP_KEY + ["path"], "notable_file", fixed.MAX_NOTABLE_FILES)
+    return _ranked(nf, SNAP_KEY + ["path"], "notable_file")
 
 
-def directory_layout_bounded(facts: DataFrame) -> DataFrame:
-    """A2 with the notable-file list built by a window group limit (skew-safe)."""
+# A2
+def directory_layout(facts: DataFrame) -> DataFrame:
+    """Per first-two-segment directory: counts, languages set and its notable files in order."""
     is_source = ~F.col("is_test") & F.col("source_language").isNotNull()
     c = _counts()
     counts = facts.groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
         c[0].alias("file_count"), c[1], c[2], c[3], c[4],
         F.array_sort(F.collect_set(F.when(is_source, F.col("source_language")))).alias("languages"),
     )
-    nf = notable_files(facts)
+    nf = facts.filter("is_notable").groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
+        F.array_sort(F.collect_set("rel_path")).alias("notable_files"))
     return (counts.join(nf, SNAP_KEY + ["path"], "left")
             .withColumn("notable_files", F.coalesce("notable_files", F.array().cast("array<string>"))))
 
@@ -129,7 +112,3 @@ def languages_managers(facts: DataFrame) -> DataFrame:
             .select(*SNAP_KEY, "kv.kind", "kv.value")
             .distinct())
 
-
-# The skew-safe variant is the one the pipeline uses.
-directory_layout_collect = directory_layout
-directory_layout = directory_layout_bounded

@@ -1,6 +1,6 @@
 """Corpus I: infrastructure config files derived from ``orders``.
 
-repo = 'r' || (o_custkey % 150); format = (o_orderkey div 17) % 4 (compose,
+repo = 'r' || (o_custkey); format = (o_orderkey div 17) % 4 (compose,
 env, terraform, k8s); service word = vocabulary[o_orderkey % 17]; one file
 per (repo, format, o_orderkey div 5000), one entry per order.
 """
@@ -35,7 +35,7 @@ def _infra_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     word = F.element_at(F.array(*[F.lit(w) for w, _ in WORDS]), (F.col("o_orderkey") % 17 + 1).cast("int"))
     ok = F.col("o_orderkey").cast("string")
-    rows = o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 150).cast("string")).alias("repo_id"),
+    rows = o.select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo_id"),
                     F.expr("(o_orderkey div 17) % 4").cast("int").alias("fmt"), F.expr(f"o_orderkey div {CHUNK}").alias("chunk"),
                     "o_orderkey", ok.alias("o"), word.alias("w"))
     g = rows.groupBy("repo_id", "fmt", "chunk").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o", "w"))).alias("r"))
@@ -64,5 +64,5 @@ def oracle_cte() -> str:
     words = ",".join(f"({i}, '{s}')" for i, (_, s) in enumerate(WORDS))
     return f"""
 iw(k, service) AS (VALUES {words}),
-io AS (SELECT 'r' || CAST(o_custkey % 150 AS VARCHAR) AS repo_id, CAST((o_orderkey // 17) % 4 AS INTEGER) AS fmt,
+io AS (SELECT 'r' || CAST(o_custkey AS VARCHAR) AS repo_id, CAST((o_orderkey // 17) % 4 AS INTEGER) AS fmt,
               iw.service FROM orders JOIN iw ON o_orderkey % 17 = iw.k)"""

@@ -19,7 +19,9 @@ from ..sources.files import with_path_columns
 from .tables import table
 
 CHUNK = 2500
-ORD_SQL = "(l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey"
+#: Row order as columns to compare one after the other: keys of any size fit.
+ORD = ("l_orderkey", "l_linenumber", "l_partkey")
+ORD_SQL = f"row({', '.join(ORD)})"
 VER_SQL = "'1.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_orderkey % 100 AS STRING)"
 PK = "CAST(l_partkey AS STRING)"
 
@@ -40,8 +42,8 @@ NAME_SQL["poetry"] = NAME_SQL["pip"]
 # The rank orders rows of one file the way the parser sees them ("last wins").
 SPECS = {
     "go": ("go.mod", f"'v' || {VER_SQL}", "TRUE", ORD_SQL),
-    "npm": ("package.json", VER_SQL, "TRUE", f"(l_linenumber % 2 = 0)::INT * 1000000000000000000 + {ORD_SQL}"),
-    "composer": ("composer.json", VER_SQL, "TRUE", f"(l_linenumber % 2 = 0)::INT * 1000000000000000000 + {ORD_SQL}"),
+    "npm": ("package.json", VER_SQL, "TRUE", f"row((l_linenumber % 2 = 0)::INT, {', '.join(ORD)})"),
+    "composer": ("composer.json", VER_SQL, "TRUE", f"row((l_linenumber % 2 = 0)::INT, {', '.join(ORD)})"),
     "cargo": ("Cargo.toml",
               f"CASE WHEN l_linenumber = 4 THEN '{{ version = \"' || {VER_SQL} || '\", features = [\"derive\"] }}' ELSE {VER_SQL} END",
               "l_linenumber <> 2", ORD_SQL),
@@ -64,7 +66,7 @@ def _rows(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFr
     return li.select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("repo_id"),
         F.expr(f"l_orderkey div {CHUNK}").alias("chunk"),
-        F.expr(ORD_SQL).alias("ord"),
+        F.struct(*ORD).alias("ord"),
         F.col("l_linenumber").alias("ln"),
         F.expr(VER_SQL).alias("v"),
         *[F.expr(NAME_SQL[m]).alias("n_" + m) for m in ("go", "npm", "composer", "cargo", "pip", "maven", "gradle", "nuget")],

@@ -1,6 +1,6 @@
 """Corpus P: repository trees derived from ``orders`` (paths only).
 
-repo = o_custkey % 150; directory template = o_orderkey % 10; base-name
+repo = o_custkey; directory template = o_orderkey % 10; base-name
 template = (o_orderkey div 10) % 24; non-root directories get a segment
 ``m{o_orderkey % 7}``.  Distinct on (repo, path), keeping the smallest order.
 """
@@ -29,7 +29,7 @@ def path_corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.element_at(F.array(*[F.lit(x) for x in DIRS]), dir_t + 1)
     b = F.element_at(F.array(*[F.lit(x) for x in BASES]), base_t + 1)
     rel = F.when(dir_t == 0, b).otherwise(F.concat_ws("/", d, F.concat(F.lit("m"), (F.col("o_orderkey") % 7).cast("string")), b))
-    repo = F.concat(F.lit("r"), (F.col("o_custkey") % 150).cast("string"))
+    repo = F.concat(F.lit("r"), F.col("o_custkey").cast("string"))
     df = o.select(repo.alias("repo_id"), rel.alias("rel_path"), "o_orderkey")
     df = df.groupBy("repo_id", "rel_path").agg(F.min("o_orderkey").alias("o_orderkey"))
     return df.select(
@@ -94,7 +94,7 @@ def oracle_files_cte() -> str:
 pb(base_t, base, b_kind, b_config, b_lang, b_test, b_entry, b_marker) AS (VALUES {bases}),
 pd(dir_t, dir) AS (VALUES {dirs}),
 po AS (
-  SELECT 'r' || CAST(o_custkey % 150 AS VARCHAR) AS repo_id, o_orderkey,
+  SELECT 'r' || CAST(o_custkey AS VARCHAR) AS repo_id, o_orderkey,
          CAST(o_orderkey % 10 AS INTEGER) AS dir_t, CAST((o_orderkey // 10) % 24 AS INTEGER) AS base_t,
          CAST(o_orderkey % 7 AS INTEGER) AS m
   FROM orders),

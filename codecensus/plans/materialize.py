@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -22,26 +21,19 @@ _CACHE: dict[tuple, DataFrame] = {}
 _RUN = uuid.uuid4().hex[:12]
 
 
-def write_table(df: DataFrame, spark: SparkSession, name: str, cluster_by=("ext", "base", "repo_id"),
-                partitions: int | None = None) -> DataFrame:
-    """Write ``df`` as parquet in the shared checkpoint folder and return the re-read table."""
+def write_table(df: DataFrame, spark: SparkSession, name: str, cluster_by=("ext", "base", "repo_id", "rel_path")) -> DataFrame:
+    """Write ``df`` as parquet in the shared checkpoint folder and return the re-read table.
+
+    Rows are range-partitioned by ``cluster_by`` as far as ``df`` has those columns. The last of them is unique enough to
+    split a repository of any size; the number of files follows the data, by adaptive execution.
+    """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     safe = "".join(ch if ch.isalnum() else "_" for ch in name)
     path = f"{root}/codecensus-{_RUN}/{safe}"
-    # As many files as the shuffle setting asks for, but not far beyond the cluster's cores: a
-    # 200-way default on a small corpus would only scatter it into tiny files.
-    n = partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                 4 * spark.sparkContext.defaultParallelism))
-    if cluster_by:
-        # Range partitioning samples its input first; keep the input (spilling to disk) so it is computed once.
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = df.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
-    else:
-        out = df
+    by = [c for c in cluster_by if c in df.columns]
+    out = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
     out.write.mode("overwrite").parquet(path)
-    if cluster_by:
-        df.unpersist()
-    return spark.read.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
+from ..operators import infra as I
 from ..operators import manifests as M
 from ..operators import routes as R
 from ..operators import structure as S
+from ..session import saved
 from .corpus_manifests import manifest_corpus, oracle_truth_cte
 from .corpus_routes import ORACLE_BY_PARSER, oracle_events, route_corpus
 from .registry import query
@@ -85,12 +87,13 @@ def _m_facets(files, deps):
                                             .otherwise("packageManagers").alias("facet"), "value")
     mgr = deps.select("repo_id", F.lit("packageManagers").alias("facet"), F.col("manager").alias("value"))
     fw = M.frameworks_from_dependencies(deps).select("repo_id", F.lit("frameworks").alias("facet"), F.col("framework").alias("value"))
-    return lm.unionByName(mgr).unionByName(fw).distinct()
+    infra = I.infrastructure(files).select("repo_id", F.lit("infrastructureServices").alias("facet"), F.col("service").alias("value"))
+    return lm.unionByName(mgr).unionByName(fw).unionByName(infra).distinct()
 
 
 def _m_changes(spark, sf_dir):
     old_files, new_files = _m_sides(spark, sf_dir)
-    od, nd = M.dependencies(old_files), M.dependencies(new_files)
+    od, nd = saved(M.dependencies(old_files), "old-deps"), saved(M.dependencies(new_files), "new-deps")
     ch = D.changes(_m_facets(old_files, od), _m_facets(new_files, nd),
                    od.select("repo_id", "manager", "name", "version"), nd.select("repo_id", "manager", "name", "version"))
     repos = old_files.select("repo_id").union(new_files.select("repo_id"))
@@ -109,7 +112,7 @@ def diff_dependencies(spark, sf_dir):
 @query("diff_strings", f"WITH {ORACLE_DEPS}, {ORACLE_FACETS} SELECT repo_id, facet, op, value FROM fchg")
 def diff_strings(spark, sf_dir):
     old_files, new_files = _m_sides(spark, sf_dir)
-    od, nd = M.dependencies(old_files), M.dependencies(new_files)
+    od, nd = saved(M.dependencies(old_files), "old-deps"), saved(M.dependencies(new_files), "new-deps")
     ch = D.compare_facets(_m_facets(old_files, od), _m_facets(new_files, nd))
     return ch.select("repo_id", F.col("kind").alias("facet"), "op", F.col("key1").alias("value"))
 

@@ -60,7 +60,7 @@ FROM (SELECT repo_id, dir_key, count(*) AS file_count,
         coalesce(string_agg(DISTINCT CASE WHEN source_language IS NOT NULL AND NOT is_test THEN source_language END, ',' ORDER BY CASE WHEN source_language IS NOT NULL AND NOT is_test THEN source_language END), '') AS languages
       FROM pkn GROUP BY repo_id, dir_key) d
 LEFT JOIN (SELECT repo_id, dir_key, string_agg(rel_path, ',' ORDER BY rel_path) AS notable_files
-           FROM nf WHERE rn <= 5 GROUP BY repo_id, dir_key) n
+           FROM nf GROUP BY repo_id, dir_key) n
   ON d.repo_id = n.repo_id AND d.dir_key = n.dir_key
 """)
 def directory_layout(spark, sf_dir):
@@ -70,15 +70,23 @@ def directory_layout(spark, sf_dir):
                     F.array_join("notable_files", ",").alias("notable_files"))
 
 
+@query("entry_points", CTE + """
+SELECT repo_id, rel_path AS entry_point, rn AS rank FROM (
+  SELECT repo_id, rel_path, row_number() OVER (PARTITION BY repo_id ORDER BY rel_path) AS rn
+  FROM pkn WHERE is_entry)
+""")
+def entry_points(spark, sf_dir):
+    return S.entry_points(_facts(spark, sf_dir)).select("repo_id", "entry_point", "rank")
+
+
 @query("entry_points_top12", CTE + """
 SELECT repo_id, rel_path AS entry_point, rn AS rank FROM (
   SELECT repo_id, rel_path, row_number() OVER (PARTITION BY repo_id ORDER BY rel_path) AS rn
   FROM pkn WHERE is_entry) WHERE rn <= 12
 """)
 def entry_points_top12(spark, sf_dir):
-    ep = S.entry_points(_facts(spark, sf_dir))
-    return ep.select("repo_id", F.posexplode("entry_points").alias("pos", "entry_point")).select(
-        "repo_id", "entry_point", (F.col("pos") + 1).cast("bigint").alias("rank"))
+    """The report's list: the first 12 of all ranked entry points."""
+    return entry_points(spark, sf_dir).filter("rank <= 12")
 
 
 @query("notable_top5", CTE + """
@@ -87,9 +95,17 @@ SELECT repo_id, dir_key AS path, rel_path AS notable_file, rn AS rank FROM (
   FROM pkn WHERE is_notable) WHERE rn <= 5
 """)
 def notable_top5(spark, sf_dir):
-    nf = S.notable_files(_facts(spark, sf_dir))
-    return nf.select("repo_id", "path", F.posexplode("notable_files").alias("pos", "notable_file")).select(
-        "repo_id", "path", "notable_file", (F.col("pos") + 1).cast("bigint").alias("rank"))
+    """The report's list: the first 5 of all ranked notable files of a directory."""
+    return notable_files(spark, sf_dir).filter("rank <= 5")
+
+
+@query("notable_files", CTE + """
+SELECT repo_id, dir_key AS path, rel_path AS notable_file, rn AS rank FROM (
+  SELECT repo_id, dir_key, rel_path, row_number() OVER (PARTITION BY repo_id, dir_key ORDER BY rel_path) AS rn
+  FROM pkn WHERE is_notable)
+""")
+def notable_files(spark, sf_dir):
+    return S.notable_files(_facts(spark, sf_dir)).select("repo_id", "path", "notable_file", "rank")
 
 
 @query("manifest_inventory", CTE + """

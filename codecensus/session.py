@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for correctness or scale, applied on top of whatever
 # the cluster already configured (never overriding an explicit cluster value).
@@ -28,7 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
         # Post-shuffle stages here are CPU-bound (regexes, windows over lines): keep them at least
         # as wide as the cores instead of coalescing to 64 MB partitions.
@@ -47,20 +48,28 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     for k, v in _DEFAULTS.items():
         if k == "spark.ui.enabled":
             continue
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when unset (tests)."""
+    """Return the cluster's shared checkpoint folder; a scratch one stands in only on a single machine (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="codecensus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write as parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/codecensus-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

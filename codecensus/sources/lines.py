@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.text import trim_space
 from .files import FILE_KEY
 
@@ -17,19 +16,16 @@ def _strip_cr(x):
 def explode_lines(files: DataFrame, keep=("abs_path", "base", "ext")) -> DataFrame:
     """One row per line: line_no (1-based), raw (without the trailing CR), line (trimmed).
 
-    ``scan_ok`` is false for every line of a file that has a line longer than
-    the reference's line-scanner limit: line-oriented parsers yield nothing for
-    such a file (whole-text parsers are unaffected).  The trimmed text is built
-    inside the generator, so filters on ``line`` run after it instead of
-    re-trimming every line.
+    Every line counts, however long.  The trimmed text is built inside the
+    generator, so filters on ``line`` run after it instead of re-trimming every
+    line.
     """
     parts = F.split(F.col("content"), "\n", -1)
-    too_long = F.exists(parts, lambda x: F.octet_length(x) > fixed.MAX_SCANNER_LINE_BYTES)
     cols = [c for c in FILE_KEY] + [c for c in keep]
     rows = F.transform(parts, lambda x: F.struct(_strip_cr(x).alias("raw"), trim_space(_strip_cr(x)).alias("line")))
     return (
-        files.select(*cols, (~too_long).alias("scan_ok"), F.posexplode(rows).alias("pos", "r"))
-        .select(*cols, "scan_ok", (F.col("pos") + 1).cast("int").alias("line_no"), "r.raw", "r.line")
+        files.select(*cols, F.posexplode(rows).alias("pos", "r"))
+        .select(*cols, (F.col("pos") + 1).cast("int").alias("line_no"), "r.raw", "r.line")
     )
 
 

@@ -50,7 +50,7 @@ def test_directory_layout(files):
 
 def test_entry_points_and_manifests(files):
     facts = S.file_facts(_sample(files))
-    ep = S.entry_points(facts).collect()[0].entry_points
+    ep = [r.entry_point for r in S.entry_points(facts).orderBy("rank").collect()]
     assert ep == ["main.go", "web/server.js"]
     inv = {(r.path, r.kind) for r in S.manifest_inventory(facts).collect()}
     assert inv == {("go.mod", "dependency"), ("package.json", "dependency"), ("requirements.txt", "dependency"),
@@ -130,7 +130,7 @@ def test_documents(files):
                     "| GET | /api/health | server.Health |\n| GET | /py/health | health |\n| GET | /web/health | healthHandler |\n")
     facts = c.facts
     ps = RP.project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
-                                        S.entry_points(facts).select("repo_id", F.explode("entry_points").alias("entry_point")),
+                                        S.entry_points(facts).select("repo_id", "entry_point"),
                                         S.directory_layout(facts))
     body = RP.render_text(ps).collect()[0].body
     assert "| root | 8 | 1 | 0 | 5 | 2 | go | .env, docker-compose.yml, go.mod, main.go, package.json |\n" in body
@@ -156,7 +156,7 @@ def test_architecture_and_layers(files):
                 ("app/Http/Controllers/OrderController.php", "<?php\nnamespace App\\Http\\Controllers;\nuse App\\Services\\OrderService;\n"),
                 ("app/Services/OrderService.php", "<?php\nnamespace App\\Services;\nuse App\\Models\\{Order, Line as L};\n"),
                 ("tests/Feature/OrderTest.php", "<?php\nnamespace Tests\\Feature;\nuse App\\Models\\Order;\n")], repo="lv")
-    lc = SN.census(lf, with_infra=False)
+    lc = SN.census(lf)
     lines = [r.line for r in RP.layer_graph_lines(G.layer_edges(G.raw_edges(lf), lc.frameworks)).orderBy("p").collect()]
     assert lines == ["~~~mermaid", "graph LR", '  L_Http["Http"]', '  L_Services["Services"]', '  L_Models["Models"]',
                      "  L_Http --> L_Services", "  L_Services --> L_Models", "~~~"]
