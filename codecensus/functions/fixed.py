@@ -55,6 +55,9 @@ ENTRY_POINT_NAMES = [
 ]
 HIGHLIGHT_NAMES = ["README.md", "Makefile"]
 
+# --- fixed value: notable files that a line of a report names (the tables hold all) ---
+REPORTED_NOTABLE_FILES = 5
+
 # --- fixed values: infrastructure vocabulary (first hit wins, in order) ----
 # (service, substrings that trigger it)
 INFRA_VOCABULARY = [

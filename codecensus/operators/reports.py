@@ -1,9 +1,8 @@
 """Report rendering as ordered string assembly.
 
 Documents are produced as *line rows* ``(repo_id, artifact, line_no, line)``:
-block sizes are counted per repository (a handful of blocks), turned into
-offsets with a small window, and each line's position inside its block comes
-from a row_number over that block.  A sink writes the lines in order
+a line's number is its running position over range partitions of (repository,
+artifact, block, order), so a document of any size spans tasks.  A sink writes the lines in order
 (``write_documents``), so no document is ever concatenated into one value
 unless it is small by construction (the summary).
 """
@@ -16,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.running import running_total
 from ..functions.text import list_text, mermaid_id, mermaid_label
+from ..session import saved
 from . import modules as G
 
 DOC = ["repo_id", "artifact", "line_no", "line"]
@@ -35,12 +36,9 @@ def assemble(blocks: DataFrame) -> DataFrame:
 
     ``ord`` is an array of sort keys inside a (block, sub) section.
     """
-    sizes = blocks.groupBy("repo_id", "artifact", "block", "sub").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("repo_id", "artifact").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    pos = F.row_number().over(Window.partitionBy("repo_id", "artifact", "block", "sub").orderBy("ord", "line"))
-    b = blocks.withColumn("pos", pos).join(offsets, ["repo_id", "artifact", "block", "sub"])
-    return b.select("repo_id", "artifact", (F.col("offset") + F.col("pos")).cast("bigint").alias("line_no"), "line")
+    order = [F.col(c) for c in ("block", "sub", "ord", "line")]
+    out = running_total(blocks, ["repo_id", "artifact"], order, {"line_no": F.lit(1)}, lambda d: saved(d, "document-lines"))
+    return out.select("repo_id", "artifact", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def render_text(doc_lines: DataFrame) -> DataFrame:
@@ -75,8 +73,8 @@ def dependency_graph_lines(deps: DataFrame, artifact: str = "dependency-graph.md
     keys = deps.select("repo_id").distinct()
     mgr = deps.select("repo_id", "manager").distinct().withColumn(
         "i", F.dense_rank().over(Window.partitionBy("repo_id").orderBy("manager")))
-    d = deps.withColumn("j", F.row_number().over(Window.partitionBy("repo_id", "manager").orderBy("name", "version")))
-    d = d.join(mgr, ["repo_id", "manager"])
+    d = running_total(deps, ["repo_id", "manager"], [F.col("name"), F.col("version")], {"j": F.lit(1)}, lambda x: saved(x, "numbered-deps"))
+    d = d.withColumn("j", F.col("j") + 1).join(mgr, ["repo_id", "manager"])
     pm = F.concat(F.lit("PM"), F.col("i").cast("string"))
     did = F.concat(F.lit("D"), F.col("i").cast("string"), F.lit("_"), F.col("j").cast("string"))
     head = _lit_lines(keys, artifact, 0, ["# Dependency Graph", "~~~mermaid", "graph LR", '  P["Project"]'])
@@ -97,33 +95,37 @@ def dependency_graph_lines(deps: DataFrame, artifact: str = "dependency-graph.md
 
 # O4
 def module_graph_lines(overview: DataFrame, artifact: str = "module-graph.md") -> DataFrame:
-    """Mermaid module graph from the capped, weighted overview edges.
+    """Mermaid module graph of all ranked overview edges (repo_id, rank, src, dst).
 
-    The overview holds at most 120 edges per repository (T5), so each
-    repository's graph is assembled inside one bounded row with array
-    functions: one pass over the edges, no re-computation of the input.
+    Nodes are numbered by first appearance, grouped by first segment, and listed before the edges. Nodes, groups and
+    edges are long tables: no repository meets in one row.
     """
-    e = overview.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("rank", "src", "dst"))).alias("e"))
-    ends = F.flatten(F.transform("e", lambda x: F.array(
-        F.struct((x["rank"] * 2 - 1).alias("f"), x.src.alias("node")), F.struct((x["rank"] * 2).alias("f"), x.dst.alias("node")))))
-    e = e.withColumn("ends", F.array_sort(ends))
-    # node order = first appearance; keep the first occurrence of each label
-    e = e.withColumn("order", F.array_distinct(F.transform("ends", lambda x: x.node)))
-    nid = lambda n: F.concat(F.lit("M"), F.array_position(F.col("order"), n).cast("string"))
-    grp = lambda n: G.module_group(n)
-    e = e.withColumn("groups", F.array_sort(F.array_distinct(F.transform("order", grp))))
-    sorted_nodes = F.array_sort(F.col("order"))
-    group_lines = F.flatten(F.transform("groups", lambda g: F.concat(
-        F.array(F.concat(F.lit("  subgraph "), mermaid_id(F.concat(F.lit("G_"), g)), F.lit('["'), mermaid_label(g), F.lit('"]'))),
-        F.transform(F.filter(sorted_nodes, lambda n: grp(n) == g),
-                    lambda n: F.concat(F.lit("    "), nid(n), F.lit('["'), mermaid_label(n), F.lit('"]'))),
-        F.array(F.lit("  end")))))
-    edge_lines = F.transform("e", lambda x: F.concat(F.lit("  "), nid(x.src), F.lit(" --> "), nid(x.dst)))
-    head = F.array(*[F.lit(t) for t in ["# Module Graph", "", "Overview graph collapsed by module path for readability.",
-                                        "~~~mermaid", "graph TD"]])
-    lines = F.concat(head, group_lines, edge_lines, F.array(F.lit("~~~")))
-    return e.select("repo_id", F.lit(artifact).alias("artifact"), F.posexplode(lines).alias("p", "line")).select(
-        "repo_id", "artifact", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
+    e = overview.select("repo_id", "rank", "src", "dst")
+    ends = e.select("repo_id", F.explode(F.array(
+        F.struct((F.col("rank") * 2 - 1).alias("f"), F.col("src").alias("node")),
+        F.struct((F.col("rank") * 2).alias("f"), F.col("dst").alias("node")))).alias("x")).select("repo_id", "x.f", "x.node")
+    nodes = ends.groupBy("repo_id", "node").agg(F.min("f").alias("f"))
+    nodes = saved(running_total(nodes, ["repo_id"], [F.col("f")], {"n": F.lit(1)}, lambda d: saved(d, "module-nodes")), "numbered-nodes")
+    nodes = nodes.select("repo_id", "node", F.concat(F.lit("M"), (F.col("n") + 1).cast("string")).alias("id"), G.module_group("node").alias("grp"))
+    keys = nodes.select("repo_id").distinct()
+
+    def rows(df: DataFrame, block: int, sub: Column, ord_cols: list[Column], line: Column) -> DataFrame:
+        return df.select("repo_id", F.lit(artifact).alias("artifact"), F.lit(block).alias("block"), sub.alias("sub"),
+                         F.array(*ord_cols).alias("ord"), line.alias("line"))
+
+    grp = F.col("grp")
+    groups = nodes.select("repo_id", "grp").distinct()
+    src = nodes.select("repo_id", F.col("node").alias("src"), F.col("id").alias("a"))
+    dst = nodes.select("repo_id", F.col("node").alias("dst"), F.col("id").alias("b"))
+    named = e.join(src, ["repo_id", "src"]).join(dst, ["repo_id", "dst"])
+    return assemble(reduce(DataFrame.unionByName, [
+        _lit_lines(keys, artifact, 0, ["# Module Graph", "", "Overview graph collapsed by module path for readability.", "~~~mermaid", "graph TD"]),
+        rows(groups, 1, grp, [F.lit("0")], F.concat(F.lit("  subgraph "), mermaid_id(F.concat(F.lit("G_"), grp)), F.lit('["'), mermaid_label(grp), F.lit('"]'))),
+        rows(nodes, 1, grp, [F.lit("1"), F.col("node")], F.concat(F.lit("    "), F.col("id"), F.lit('["'), mermaid_label(F.col("node")), F.lit('"]'))),
+        rows(groups, 1, grp, [F.lit("2")], F.lit("  end")),
+        rows(named, 2, F.lit(""), [F.lpad(F.col("rank").cast("string"), 16, "0")], F.concat(F.lit("  "), F.col("a"), F.lit(" --> "), F.col("b"))),
+        _lit_lines(keys, artifact, 3, ["~~~"]),
+    ]))
 
 
 # O2 (dependencies.md)
@@ -183,10 +185,6 @@ def summary_text(snap: DataFrame, method_counts: DataFrame | None = None) -> Dat
     return snap.select("repo_id", "snapshot_id", text.alias("summary"))
 
 
-def list_text_col(c: str) -> Column:
-    return list_text(F.col(c))
-
-
 # ---------------------------------------------------------------- O2: the other documents
 def _num_desc(c: Column) -> Column:
     return F.lpad((F.lit(10 ** 15) - c).cast("string"), 16, "0")
@@ -239,7 +237,7 @@ def endpoints_doc_lines(keys: DataFrame, routes: DataFrame, artifact: str = "end
 def _dir_rows(layout: DataFrame, artifact: str, block: int, full: bool) -> DataFrame:
     cols = [F.col("path"), F.col("file_count"), F.col("source_files"), F.col("test_files")]
     if full:
-        cols += [F.col("manifest_files"), F.col("config_files"), list_text(F.col("languages")), list_text(F.col("notable_files"))]
+        cols += [F.col("manifest_files"), F.col("config_files"), list_text(F.col("languages")), list_text(F.slice("notable_files", 1, fixed.REPORTED_NOTABLE_FILES))]
     return _rows(layout, artifact, block, [F.when(F.col("path") == "root", "0").otherwise("1"), F.col("path")], _cells(*cols))
 
 
@@ -304,9 +302,51 @@ def architecture_doc_lines(snap: DataFrame, layout: DataFrame, layer_edges: Data
     return assemble(reduce(DataFrame.unionByName, blocks))
 
 
+#: The line of the overview document that changes with every scan; comparisons of documents leave it out.
+SCANNED_AT = "| Scanned at |"
+
+
+def readme_doc_lines(snap: DataFrame, layout: DataFrame, artifact: str = "README.generated.md") -> DataFrame:
+    """The overview document: snap are snapshot rows, layout directory rows."""
+    keys = snap.select("repo_id").distinct()
+    st = F.col("projectStats")
+    n_deps = F.aggregate(F.map_values("dependencies"), F.lit(0), lambda a, x: a + F.size(x))
+
+    def metric_rows(block: int, cells: list[tuple[str, Column]]) -> DataFrame:
+        arr = F.array(*[F.struct(F.lit(i).alias("i"), _cells(F.lit(k), v).alias("line")) for i, (k, v) in enumerate(cells)])
+        x = snap.select("repo_id", F.explode(arr).alias("m"))
+        return _rows(x, artifact, block, [F.col("m.i")], F.col("m.line"))
+
+    title = snap.select("repo_id", F.concat(F.lit("# "), F.col("projectName"), F.lit(" Documentation")).alias("t"))
+    entry = snap.select("repo_id", F.explode("entryPoints").alias("entry_point"))
+    blocks = [
+        _rows(title, artifact, 0, [F.lit(0)], F.col("t")),
+        _lit_lines(keys, artifact, 1, ["", "Generated from repository manifests, source files, and detected API surface.", "",
+                                       "## Repository Summary", "", "| Field | Value |", "|---|---|"]),
+        metric_rows(2, [("Project", F.col("projectName")), ("Path", F.col("projectPath")), ("Scanned at", F.col("scannedAt")),
+                        ("Languages", list_text(F.col("languages"))), ("Frameworks", list_text(F.col("frameworks"))),
+                        ("Package managers", list_text(F.col("packageManagers")))]),
+        _lit_lines(keys, artifact, 3, ["", "## Repository Shape", "", "| Metric | Value |", "|---|---|"]),
+        metric_rows(4, [("Total files", st.totalFiles), ("Source files", st.sourceFiles), ("Test files", st.testFiles),
+                        ("Manifest files", st.manifestFiles), ("Config files", st.configFiles), ("Dependencies", n_deps),
+                        ("API routes", F.size("routes"))]),
+        _lit_lines(keys, artifact, 5, [""]),
+        _section(keys, _rows(entry, artifact, 6, [F.col("entry_point")], F.concat(F.lit("- `"), F.col("entry_point"), F.lit("`"))),
+                 artifact, 6, ["## Entry Points"], [], "- n/a"),
+        _lit_lines(keys, artifact, 7, [""]),
+        _section(keys, _dir_rows(layout, artifact, 8, True), artifact, 8, ["## Directory Highlights"],
+                 ["| Path | Files | Source | Tests | Manifests | Config | Languages | Notable files |",
+                  "|---|---|---|---|---|---|---|---|"], "No directory layout detected."),
+        _lit_lines(keys, artifact, 9, [""] + ["## Documentation Set"] + [
+            f"- [{n}]({f})" for n, f in (("Project Structure", "project-structure.md"), ("Dependencies", "dependencies.md"),
+                                         ("Dependency Graph", "dependency-graph.md"), ("Module Graph", "module-graph.md"),
+                                         ("API Endpoints", "endpoints.md"), ("Architecture", "architecture.md"))]),
+    ]
+    return assemble(reduce(DataFrame.unionByName, blocks))
+
+
 def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
-    """The markdown document set of every snapshot as line rows (README.generated.md is not produced:
-    its scan timestamp has no place in a deterministic corpus table)."""
+    """The markdown document set of every snapshot as line rows."""
     from . import modules as G
     from . import snapshot as SN
     from . import structure as S
@@ -316,12 +356,14 @@ def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
     routes = c.routes.select("repo_id", "method", "path", "controller")
     facts = c.facts
     layout = S.directory_layout(facts)
+    snap = SN.snapshot_rows(c)
     parts = [
+        readme_doc_lines(snap, layout),
         project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
                                     S.entry_points(facts).select("repo_id", "entry_point"), layout),
         dependencies_doc_lines(deps), endpoints_doc_lines(keys, routes), dependency_graph_lines(deps),
     ]
     if raw_edges is not None:
         parts.append(module_graph_lines(G.overview_edges(raw_edges)))
-        parts.append(architecture_doc_lines(SN.snapshot_rows(c), layout, G.layer_edges(raw_edges, c.frameworks)))
+        parts.append(architecture_doc_lines(snap, layout, G.layer_edges(raw_edges, c.frameworks)))
     return reduce(DataFrame.unionByName, parts)

@@ -139,6 +139,19 @@ def diff_report_lines(spark, sf_dir):
     return D.text_report_lines(ch).groupBy("repo_id", "section", "line").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+@query("diff_markdown_lines", f"""WITH {ORACLE_DEPS}, {ORACLE_FACETS},
+l AS (
+  SELECT repo_id, '## Dependencies' AS section, '- ' || CASE WHEN op = 'added' THEN '+' ELSE '-' END || ' ' || name || ' (' || manager || ')' AS line FROM dchg
+  UNION ALL
+  SELECT repo_id, '## ' || CASE facet WHEN 'languages' THEN 'Languages' WHEN 'packageManagers' THEN 'Package managers'
+                  WHEN 'frameworks' THEN 'Frameworks' ELSE 'Infrastructure services' END,
+         '- ' || CASE WHEN op = 'added' THEN '+' ELSE '-' END || ' `' || value || '`' FROM fchg)
+SELECT repo_id, section, line, count(*) AS n FROM l GROUP BY ALL""")
+def diff_markdown_lines(spark, sf_dir):
+    ch, _ = _m_changes(spark, sf_dir)
+    return D.markdown_report_lines(ch).groupBy("repo_id", "section", "line").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 ALL_R = " UNION ALL ".join(f"SELECT * FROM ({s}) t_{k}" for k, s in ORACLE_BY_PARSER.items())
 
 

@@ -1,19 +1,22 @@
 """The canonical ``files`` table.
 
 ``files(repo_id, snapshot_id, project_name, rel_path, abs_path, base, ext, n_bytes, content)``
-unique on (repo_id, snapshot_id, rel_path).  A tree is ingested once (binaryFile
--> pruned -> parquet) and every job reads the parquet table, so later stages get
+unique on (repo_id, snapshot_id, rel_path).  A tree is ingested once (listed and
+pruned by tasks -> read by tasks -> parquet) and every job reads the parquet table, so later stages get
 column pruning and predicate pushdown on ``base`` / ``ext``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.paths import pruned_by
+from ..session import saved
 
 FILES_SCHEMA = T.StructType([
     T.StructField("repo_id", T.StringType()),
@@ -58,82 +61,92 @@ def files_from_rows(spark: SparkSession, rows, repo_id="repo", snapshot_id="s1",
     return files_from_frame(spark.createDataFrame(data, schema))
 
 
-def _dot_file_paths(spark: SparkSession, root: str) -> list[str]:
-    """Paths of files whose name starts with '.' (Spark's file listing hides them; the census keeps them).
+LISTED = "path string, is_dir boolean, length bigint"
 
-    Uses the Hadoop FileSystem listing, like the file source itself; only the
-    hidden file names are returned, and pruned directories are skipped later.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        p = st.getPath()
-        if p.getName().startswith("."):
-            out.append(p.toString())
-    return out
+
+def _list_folders(batches):
+    """Children of each folder: regular files and folders, links left alone."""
+    import os
+
+    import pandas as pd
+    from pyarrow import fs
+    for b in batches:
+        rows = []
+        for p in b["path"]:
+            store, inner = fs.FileSystem.from_uri(p)
+            scheme = p[:len(p) - len(inner)] if p.endswith(inner) else ""
+            for x in store.get_file_info(fs.FileSelector(inner)):
+                if isinstance(store, fs.LocalFileSystem) and os.path.islink(x.path):
+                    continue
+                if x.type in (fs.FileType.File, fs.FileType.Directory):
+                    rows.append((scheme + x.path, x.type == fs.FileType.Directory, x.size if x.type == fs.FileType.File else 0))
+        yield pd.DataFrame(rows, columns=["path", "is_dir", "length"]).astype({"path": "object", "is_dir": "bool", "length": "int64"})
 
 
-def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, content) for explicit paths, read inside tasks through pyarrow's filesystem layer."""
-    def read(batches):
-        import pandas as pd
-        from pyarrow import fs as pafs
-        for b in batches:
-            contents = []
-            for p in b["path"]:
-                filesystem, inner = pafs.FileSystem.from_uri(p)
-                with filesystem.open_input_stream(inner) as h:
-                    contents.append(h.read())
-            yield pd.DataFrame({"path": b["path"], "length": [len(c) for c in contents], "content": contents})
-    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
-    return (spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
-            .mapInPandas(read, "path string, length bigint, content binary"))
-
-
-def ingest_tree(spark: SparkSession, root: str, repo_id: str, snapshot_id: str,
-                max_bytes: int | None = None) -> DataFrame:
-    """S1 + S2: read every regular file under ``root`` with the binaryFile source.
-
-    Directory pruning (S2) is a filter on the relative path; binaryFile pushes
-    only ``length`` / ``modificationTime`` filters, so a size bound is applied at
-    the scan and the result is meant to be written once to parquet.  The file
-    source hides names starting with '.', so dot-files (``.env``) are read by
-    explicit path and unioned.
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of every file under ``root`` outside pruned folders, whatever its name starts with.
+
+    Folders are listed in tasks, level by level: a pruned folder is never entered, and the driver only learns whether
+    another level is left. One job per level of depth.
+    """
+    folders = spark.createDataFrame([(root,)], "path string")
+    levels = []
+    while True:
+        listed = saved(folders.mapInPandas(_list_folders, LISTED), "listing")
+        levels.append(listed.filter("not is_dir").select("path", "length"))
+        name = F.element_at(F.split("path", "/"), -1)
+        folders = listed.filter("is_dir").filter(~name.isin(*fixed.SKIP_DIRS_SCAN) & ~name.startswith(".")).select("path")
+        if not folders.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _read_files(batches):
+    """Contents of listed files, a file per Arrow batch row; a batch ends when READ_BYTES are in memory."""
+    import pyarrow as pa
+    from pyarrow import fs
+    for b in batches:
+        paths, contents, size = [], [], 0
+        for p in b.column("path").to_pylist():
+            store, inner = fs.FileSystem.from_uri(p)
+            with store.open_input_stream(inner) as h:
+                contents.append(h.read())
+            paths.append(p)
+            size += len(contents[-1])
+            if size >= READ_BYTES:
+                yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.large_binary()).cast(pa.binary())})
+                paths, contents, size = [], [], 0
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+
+
+READ_BYTES = 32 << 20
+
+
+def ingest_tree(spark: SparkSession, root: str, repo_id: str, snapshot_id: str) -> DataFrame:
+    """S1 + S2: every regular file under ``root`` outside pruned folders.
+
+    Spark's own file listing hides names that start with '.' or '_', which the census keeps (``.env``, ``__init__.py``,
+    ``_x/``), so the tree is listed by tasks (``list_tree``) and survivors are read by tasks. Bytes that are no UTF-8
+    are replaced.
     """
-    root_uri = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri)
-    hidden = _dot_file_paths(spark, root_uri)
-    if hidden:
-        raw = raw.select("path", "length", "content").unionByName(_read_paths(spark, hidden))
-    if max_bytes is not None:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    prefix = F.regexp_extract(F.col("path"), r"^(.*?" + _escape(root_uri.split("://")[-1]) + r")/", 1)
-    rel = F.substring(F.col("path"), F.length(prefix) + 2, 1 << 30)
-    project = root_uri.rstrip("/").split("/")[-1]
+    uri = root.rstrip("/")
+    found = list_tree(spark, uri)
+    raw = found.repartition(max(1, spark.sparkContext.defaultParallelism)).select("path").mapInArrow(_read_files, "path string, content binary")
+    start = uri if "://" in uri else uri.rstrip("/")
     df = raw.select(
         F.lit(repo_id).alias("repo_id"),
         F.lit(snapshot_id).alias("snapshot_id"),
-        F.lit(project).alias("project_name"),
-        rel.alias("rel_path"),
+        F.lit(uri.split("/")[-1]).alias("project_name"),
+        F.substring(F.col("path"), F.lit(len(start) + 2), F.length("path")).alias("rel_path"),
         F.expr("make_valid_utf8(cast(content as string))").alias("content"),
     )
-    return files_from_frame(df).dropDuplicates(FILE_KEY)
-
-
-def _escape(s: str) -> str:
-    import re
-    return re.escape(s)
+    return files_from_frame(df)
 
 
 def write_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist ``files`` partitioned by snapshot and clustered by (ext, base) for row-group skipping."""
-    (df.repartition("repo_id", "snapshot_id")
-       .sortWithinPartitions("ext", "base")
+    """Persist ``files`` partitioned by snapshot and clustered by (ext, base) for row-group skipping; a repository of any size spans tasks."""
+    (df.repartitionByRange("snapshot_id", "repo_id", "ext", "base", "rel_path")
+       .sortWithinPartitions("snapshot_id", "ext", "base")
        .write.mode(mode).partitionBy("snapshot_id").parquet(path))
 
 

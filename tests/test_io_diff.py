@@ -13,14 +13,16 @@ from codecensus.sources.snapshot_io import read_snapshots, write_snapshots
 
 def test_ingest_tree_prunes(spark, tmp_path):
     root = tmp_path / "proj"
-    for rel, text in [("go.mod", "module m\n"), (".env", "A=1\n"), ("node_modules/x/index.js", "x"),
-                      (".git/config", "x"), ("src/app.py", "print(1)\n"), ("build/out.txt", "x")]:
+    kept = ["go.mod", ".env", "src/app.py", "src/__init__.py", "src/_helper.py", "pkg/_private/mod.py", "a/b/_x/.keep"]
+    for rel, text in [(k, "x\n") for k in kept] + [("node_modules/x/index.js", "x"), (".git/config", "x"), ("build/out.txt", "x"),
+                                                    ("src/node_modules/y.js", "x"), (".github/workflows/ci.yml", "x"), ("a/.hidden/_x", "x")]:
         p = root / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     f = ingest_tree(spark, str(root), "r1", "s1")
     got = {r.rel_path: (r.base, r.ext, r.abs_path) for r in f.collect()}
-    assert set(got) == {"go.mod", ".env", "src/app.py"}
+    walked = {os.path.relpath(os.path.join(d, n), root) for d, _, ns in os.walk(root) for n in ns}
+    assert set(got) == set(kept) and set(kept) < walked
     assert got["src/app.py"] == ("app.py", ".py", "/proj/src/app.py")
 
 
@@ -68,6 +70,56 @@ def test_drift_check(spark):
     assert got == {("b.md", "outdated"), ("c.md", "missing"), ("index.html", "stale")}
 
 
+def test_update_removes_stale_documents(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame(xs, "repo_id string, artifact string, line_no bigint, line string")
+    path = str(tmp_path / "docs")
+    DR.write_update(path, rows([("r", "old.md", 1, "x"), ("r", "a.md", 1, "x"), ("s", "a.md", 1, "s")]))
+    after = DR.write_update(path, rows([("r", "a.md", 1, "y"), ("r", "index.html", 1, "h")]), ["a.md"])
+    assert {(r.repo_id, r.artifact, r.line) for r in after.collect()} == {("r", "a.md", "y"), ("s", "a.md", "s")}
+    a = rows([("r", "README.generated.md", 1, "| Scanned at | 2024 |"), ("r", "README.generated.md", 2, "x")])
+    b = rows([("r", "README.generated.md", 1, "| Scanned at | 2025 |"), ("r", "README.generated.md", 2, "x")])
+    assert DR.check(a, b).count() == 0
+
+
+def test_load_or_scan_persists(spark, tmp_path):
+    wanted = spark.createDataFrame([("a", "s1"), ("b", "s1")], "repo_id string, snapshot_id string")
+    path, scanned = str(tmp_path / "snaps"), []
+
+    def scan(missing):
+        scanned.append({r.repo_id for r in missing.collect()})
+        return missing.withColumn("languages", F.array(F.lit("go")))
+    assert DR.load_or_scan(wanted.limit(1), path, scan).count() == 1
+    assert DR.load_or_scan(wanted, path, scan).count() == 2
+    assert DR.load_or_scan(wanted, path, scan).count() == 2
+    assert scanned == [{"a"}, {"b"}]
+
+
+def test_one_repository_spans_partitions(spark):
+    from codecensus.functions.running import running_total
+    from codecensus.plans.materialize import write_table
+    from codecensus.session import saved
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("repo_id"),
+                                  F.concat(F.lit("f"), F.col("id")).alias("rel_path"), F.lit(".py").alias("ext"), F.lit("x.py").alias("base"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = write_table(df, spark, "hot-repository")
+        files = out.filter("repo_id = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+        pos = running_total(df, ["repo_id"], [F.col("rel_path")], {"n": F.lit(1)}, lambda d: saved(d, "t"))
+        hot = [r.n for r in pos.filter("repo_id = 'hot'").orderBy("rel_path").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert files > 1 and hot == list(range(2000))
+
+
+def test_row_order_holds_at_large_keys(spark):
+    from codecensus.plans.corpus_manifests import ORD
+    rows = spark.createDataFrame([(600_000_000_000, 1, 2_000_000_000), (600_000_000_000, 1, 5), (600_000_000_000, 7, 1), (3, 9, 9)],
+                                 ", ".join(f"{c} long" for c in ORD))
+    got = rows.select(F.struct(*ORD).alias("o")).orderBy("o").select("o.*").collect()
+    assert [tuple(r) for r in got] == sorted(tuple(r) for r in rows.collect())
+
+
 def test_streaming_census(spark, tmp_path):
     from codecensus.sources.files import files_from_rows
     from codecensus.streaming.incremental import start_census_stream
