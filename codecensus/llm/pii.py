@@ -49,7 +49,7 @@ def luhn(digits: str) -> bool:
 
 def _number(s: str) -> int:
     s = s.lstrip("0")
-    return int(s) if len(s) < 4 else 1000
+    return int(s or 0) if len(s) < 4 else 1000
 
 
 def base_spans(t: str) -> list[tuple[str, int, int]]:
