@@ -12,6 +12,8 @@ never parses the generated text.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +61,10 @@ SPECS = {
 MANAGER_OF_SPEC = {"pyproject_pip": "pip"}
 
 
-def _rows(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def _rows(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
-    if before is not None:
-        li = li.filter(F.col("l_shipdate") < F.lit(before).cast("timestamp"))
+    if where is not None:
+        li = li.filter(where)
     return li.select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("repo_id"),
         F.expr(f"l_orderkey div {CHUNK}").alias("chunk"),
@@ -180,15 +182,15 @@ BUILDERS = [
 ]
 
 
-def manifest_corpus(spark: SparkSession, sf_dir: str, before: str | None = None, snapshot_id: str = "s1") -> DataFrame:
-    """Corpus M as a ``files`` table (9 manifests per (supplier, chunk))."""
+def manifest_corpus(spark: SparkSession, sf_dir: str, where: str | None = None, snapshot_id: str = "s1") -> DataFrame:
+    """Corpus M as a ``files`` table (9 manifests per (supplier, chunk)) of the rows that ``where`` (SQL) keeps."""
     from .materialize import corpus
-    return corpus(spark, sf_dir, f"manifests:{before}:{snapshot_id}",
-                  lambda: _manifest_corpus(spark, sf_dir, before, snapshot_id))
+    return corpus(spark, sf_dir, f"manifests:{zlib.crc32((where or '').encode())}:{snapshot_id}",
+                  lambda: _manifest_corpus(spark, sf_dir, where, snapshot_id))
 
 
-def _manifest_corpus(spark: SparkSession, sf_dir: str, before: str | None, snapshot_id: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, before)
+def _manifest_corpus(spark: SparkSession, sf_dir: str, where: str | None, snapshot_id: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, where)
     fields = [c for c in rows.columns if c not in ("repo_id", "chunk")]
     per_file = rows.groupBy("repo_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))

@@ -10,6 +10,8 @@ The oracle states the expected rows from ``events`` directly.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def _events(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
-    if before is not None:
-        e = e.filter(F.col("ts") < F.lit(before).cast("timestamp"))
+    if where is not None:
+        e = e.filter(where)
     verb = F.element_at(F.array(*[F.lit(v) for v in VERBS]), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select(
         F.concat(F.lit("u"), _s(F.col("user_id"))).alias("repo_id"), "user_id",
@@ -110,13 +112,13 @@ LAYOUT = {
 SEPARATOR = {6: ",\n"}
 
 
-def route_corpus(spark: SparkSession, sf_dir: str, before: str | None = None, snapshot_id: str = "s1") -> DataFrame:
+def route_corpus(spark: SparkSession, sf_dir: str, where: str | None = None, snapshot_id: str = "s1") -> DataFrame:
     from .materialize import corpus
-    return corpus(spark, sf_dir, f"routes:{before}:{snapshot_id}", lambda: _route_corpus(spark, sf_dir, before, snapshot_id))
+    return corpus(spark, sf_dir, f"routes:{zlib.crc32((where or '').encode())}:{snapshot_id}", lambda: _route_corpus(spark, sf_dir, where, snapshot_id))
 
 
-def _route_corpus(spark: SparkSession, sf_dir: str, before: str | None, snapshot_id: str) -> DataFrame:
-    ev = _events(spark, sf_dir, before)
+def _route_corpus(spark: SparkSession, sf_dir: str, where: str | None, snapshot_id: str) -> DataFrame:
+    ev = _events(spark, sf_dir, where)
     fields = [c for c in ev.columns if c not in ("repo_id", "fw", "chunk")]
     grouped = ev.filter(F.col("fw") != 8).groupBy("repo_id", "fw", "chunk").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))

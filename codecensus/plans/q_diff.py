@@ -1,7 +1,9 @@
 """Driver queries comparing two snapshots.
 
-Old side: corpus M from lineitem rows shipped before 1998-07-01 and corpus R
-from events before 2024-01-15; new side: all rows.
+The old side of corpus M has the rows shipped before a day, the new side those of
+later days too, but for suppliers that don't change, rows that go, suppliers that
+only the old side has and suppliers that only the new side has. Corpus R likewise,
+by users and events.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from .corpus_manifests import manifest_corpus, oracle_truth_cte
 from .corpus_routes import ORACLE_BY_PARSER, oracle_events, route_corpus
 from .registry import query
 
-CUT_M = "1998-07-01"
-CUT_R = "2024-01-15"
+OLD_M = "l_shipdate < TIMESTAMP '1998-07-01' AND l_suppkey % 10 <> 7"
+NEW_M = ("(l_shipdate < TIMESTAMP '1998-07-01' OR l_suppkey % 5 <> 0) AND l_suppkey % 10 <> 4"
+         " AND NOT (l_suppkey % 5 = 1 AND l_partkey % 4 = 1)")
+OLD_R = "ts < TIMESTAMP '2024-01-15'"
+NEW_R = "(ts < TIMESTAMP '2024-01-15' OR user_id % 5 <> 0) AND NOT (user_id % 5 = 1 AND event_id % 4 = 1)"
 SPECS = [("go", "go"), ("npm", "npm"), ("composer", "composer"), ("cargo", "cargo"), ("pip", "pip"),
          ("pyproject_pip", "pip"), ("poetry", "poetry"), ("maven", "maven"), ("gradle", "gradle"), ("nuget", "nuget")]
 
@@ -31,8 +36,8 @@ def _truth(where: str) -> str:
 
 
 ORACLE_DEPS = f"""
-new_d AS ({_truth('TRUE')}),
-old_d AS ({_truth(f"l_shipdate < DATE '{CUT_M}'")}),
+new_d AS ({_truth(NEW_M)}),
+old_d AS ({_truth(OLD_M)}),
 added_d AS (SELECT repo_id, 'added' AS op, manager, name, version FROM new_d n
   WHERE NOT EXISTS (SELECT 1 FROM old_d o WHERE o.repo_id = n.repo_id AND o.manager = n.manager AND o.name = n.name AND o.version = n.version)),
 removed_d AS (SELECT repo_id, 'removed' AS op, manager, name, version FROM old_d o
@@ -76,8 +81,8 @@ fchg AS (
 
 
 def _m_sides(spark, sf_dir):
-    old_files = manifest_corpus(spark, sf_dir, CUT_M, "old")
-    new_files = manifest_corpus(spark, sf_dir, None, "new")
+    old_files = manifest_corpus(spark, sf_dir, OLD_M, "old")
+    new_files = manifest_corpus(spark, sf_dir, NEW_M, "new")
     return old_files, new_files
 
 
@@ -159,7 +164,7 @@ def _routes_side(name: str) -> str:
     return f"(SELECT DISTINCT repo_id, method, path, controller FROM ({ALL_R.replace('FROM ev', 'FROM ' + name)}) a)"
 
 
-@query("diff_routes", f"""WITH {oracle_events(f"ts < TIMESTAMP '{CUT_R}'", 'ev_old')}, {oracle_events('TRUE', 'ev_new')},
+@query("diff_routes", f"""WITH {oracle_events(OLD_R, 'ev_old')}, {oracle_events(NEW_R, 'ev_new')},
 o AS {_routes_side('ev_old')}, n AS {_routes_side('ev_new')}
 SELECT repo_id, 'added' AS op, method, path, controller FROM n WHERE NOT EXISTS
   (SELECT 1 FROM o WHERE o.repo_id = n.repo_id AND o.method = n.method AND o.path = n.path AND o.controller = n.controller)
@@ -167,7 +172,7 @@ UNION ALL
 SELECT repo_id, 'removed' AS op, method, path, controller FROM o WHERE NOT EXISTS
   (SELECT 1 FROM n WHERE o.repo_id = n.repo_id AND o.method = n.method AND o.path = n.path AND o.controller = n.controller)""")
 def diff_routes(spark, sf_dir):
-    old = R.routes(route_corpus(spark, sf_dir, CUT_R, "old")).select("repo_id", "method", "path", "controller")
-    new = R.routes(route_corpus(spark, sf_dir, None, "new")).select("repo_id", "method", "path", "controller")
+    old = R.routes(route_corpus(spark, sf_dir, OLD_R, "old")).select("repo_id", "method", "path", "controller")
+    new = R.routes(route_corpus(spark, sf_dir, NEW_R, "new")).select("repo_id", "method", "path", "controller")
     ch = D.compare_routes(old, new)
     return ch.select("repo_id", "op", F.col("key1").alias("method"), F.col("key2").alias("path"), F.col("key3").alias("controller"))
