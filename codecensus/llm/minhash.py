@@ -201,7 +201,7 @@ class Join:
         return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        """Members (node, cid, sketch) with their component so far."""
+        """Members (node, cid) with their component so far."""
         if self.known is None:
             return members.withColumn("comp", F.col("cid"))
         known = self.known.select(F.col("node").alias("cid"), "comp")
@@ -269,36 +269,43 @@ def _branch(node: Column, position: Column) -> Column:
     return F.xxhash64(node, position, F.element_at("sketch", position + 1))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of a written table (node, cid) the rows whose node has another member."""
+    many = rows.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
+    return saved(rows.join(many, "node"), "members")
+
+
 def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(cid, comp) for classes that have a link, from a written table (cid, n, s1, s2, text_key, sketch)."""
     least = percent / 100
     join = Join(classes, docs, percent)
+    sketches = classes.select("cid", "sketch")
     root = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("cid", "sketch", root.alias("tree")).withColumn("node", _branch(F.col("tree"), (F.col("tree") * (POSITIONS // TREES)).cast("int")))
-    # nodes with one member end here; their number is counted on narrow rows
-    shared = saved(rows.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node"), "shared")
-    members = saved(rows.select("node", "cid", "sketch").join(shared, "node"), "members")
+    rows = classes.select("cid", "sketch", root.alias("tree")).select(
+        _branch(F.col("tree"), (F.col("tree") * (POSITIONS // TREES)).cast("int")).alias("node"), "cid")
+    members = _shared(saved(rows, "rooted"))
     for level in range(LEVELS + 1):
+        # members are narrow; their minwise values come along only where they are looked at
         members = join.labelled(members)
         sizes = saved(_node_sizes(members), "node-sizes")
         if not sizes.limit(1).count():
             break
         members = saved(members.join(sizes, "node"), "open-members")
         large = members.filter(F.col("outer_n") > SMALL)
-        found = _tiled(members.filter(F.col("outer_n") <= SMALL), least)
-        found = found.union(_hubs(large, least) if level < LEVELS else _blocked(large, least))
+        found = _tiled(members.filter(F.col("outer_n") <= SMALL).join(sketches, "cid"), least)
+        if large.limit(1).count():
+            wide = saved(large.join(sketches, "cid"), "large-members")
+            found = found.union(_hubs(wide, least) if level < LEVELS else _blocked(wide, least))
         join.confirm(found)
         if level == LEVELS or not large.limit(1).count():
             break
         # members of large nodes branch; nodes that have become one component end
-        members = join.labelled(large.select("node", "cid", "sketch"))
-        open_ = saved(_node_sizes(members).select("node"), "open-nodes")
-        members = members.join(open_, "node")
+        left = join.labelled(large.select("node", "cid"))
+        left = left.join(saved(_node_sizes(left).select("node"), "open-nodes"), "node").join(sketches, "cid")
         turns = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
-        rows = members.select("node", "cid", "sketch", turns.alias("turn")).withColumn("at", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(POSITIONS)).cast("int"))
-        rows = saved(rows.select(_branch(F.xxhash64("node", "turn"), F.col("at")).alias("node"), "cid", "sketch").distinct(), "branched")
-        shared = rows.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
-        members = saved(rows.join(shared, "node"), "members")
+        rows = left.select("node", "cid", "sketch", turns.alias("turn")).withColumn("at", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(POSITIONS)).cast("int"))
+        rows = rows.select(_branch(F.xxhash64("node", "turn"), F.col("at")).alias("node"), "cid").distinct()
+        members = _shared(saved(rows, "branched"))
     if join.known is None:
         return classes.select("cid", F.col("cid").alias("comp")).limit(0)
     return join.known.select(F.col("node").alias("cid"), "comp")
