@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import patterns as X
 from ..functions.text import WS_CLASS, quoted_tokens, strip_inline_comment, trim_chars, trim_space
 from ..sources.files import FILE_KEY, SNAP_KEY
 from ..sources.lines import explode_lines, nonblank
@@ -175,19 +176,16 @@ def parse_pom(files: DataFrame) -> DataFrame:
 
 
 # D8
-_CFG = "(?:" + "|".join(fixed.GRADLE_CONFIGURATIONS) + ")"
-GRADLE_SHORT = r"^\s*" + _CFG + r"""\s*(?:\(\s*)?["']([^:"']+):([^:"']+)(?::([^"')]+))?["']"""
-GRADLE_NAMED = r"^\s*" + _CFG + r"""\s+group:\s*["']([^"']+)["']\s*,\s*name:\s*["']([^"']+)["'](?:\s*,\s*version:\s*["']([^"']+)["'])?"""
 
 
 def parse_gradle(files: DataFrame) -> DataFrame:
     ln = nonblank(explode_lines(files.filter(F.col("base").isin("build.gradle", "build.gradle.kts"))), ("//",))
     line = F.col("line")
-    short = F.regexp_extract(line, GRADLE_SHORT, 1) != ""
-    named = F.regexp_extract(line, GRADLE_NAMED, 1) != ""
+    short = F.regexp_extract(line, X.GRADLE_SHORT, 1) != ""
+    named = F.regexp_extract(line, X.GRADLE_NAMED, 1) != ""
 
     def grp(i):
-        return F.when(short, F.regexp_extract(line, GRADLE_SHORT, i)).otherwise(F.regexp_extract(line, GRADLE_NAMED, i))
+        return F.when(short, F.regexp_extract(line, X.GRADLE_SHORT, i)).otherwise(F.regexp_extract(line, X.GRADLE_NAMED, i))
     return ln.filter(short | named).select(
         *FILE_KEY, F.lit("gradle").alias("manager"),
         F.concat(trim_space(grp(1)), F.lit(":"), trim_space(grp(2))).alias("name"),
@@ -195,13 +193,12 @@ def parse_gradle(files: DataFrame) -> DataFrame:
 
 
 # D9
-NUGET_REF = r'<PackageReference\s+Include="([^"]+)"\s+Version="([^"]+)"\s*/?>'
 
 
 def parse_csproj(files: DataFrame) -> DataFrame:
     f = files.filter(F.lower("base").endswith(".csproj"))
-    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(NUGET_REF), F.lit(1)).alias("n"),
-                         F.regexp_extract_all("content", F.lit(NUGET_REF), F.lit(2)).alias("v"))
+    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(X.NUGET_REF), F.lit(1)).alias("n"),
+                         F.regexp_extract_all("content", F.lit(X.NUGET_REF), F.lit(2)).alias("v"))
     d = f.select(*FILE_KEY, F.posexplode(pairs).alias("k", "p"))
     return d.select(*FILE_KEY, F.lit("nuget").alias("manager"), trim_space("p.n").alias("name"),
                     trim_space("p.v").alias("version"), F.col("k").cast("bigint").alias("ord")).filter(F.col("name") != "")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import patterns as X
 from ..functions import paths as P
 from ..functions.text import (drop_suffix, join_attribute_paths, join_route_paths, normalize_next_segments,
                               normalize_openapi_path, normalize_route_path, quoted_tokens, route_group_prefix,
@@ -25,7 +26,6 @@ from ..sources.files import FILE_KEY, SNAP_KEY
 from ..sources.lines import explode_lines, nonblank
 
 ROUTE_COLS = [*FILE_KEY, "framework", "method", "path", "controller"]
-ID = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def _w(*extra):
@@ -51,57 +51,48 @@ def _out(df: DataFrame, framework: str | Column, method, path, controller) -> Da
 
 
 def _scan(files: DataFrame, cond: Column, comments=()) -> DataFrame:
-    """Line-scanner input: long-line files yield nothing; blank/comment lines dropped."""
+    """Lines of the selected files; blank and comment lines dropped."""
     return nonblank(explode_lines(files.filter(cond)), comments)
 
 
 def _split_lines(files: DataFrame, cond: Column, comments=()) -> DataFrame:
-    """Whole-text input split on newlines (no line-length limit)."""
+    """Whole-text input split on newlines."""
     return nonblank(explode_lines(files.filter(cond)), comments)
 
 
 # ---------------------------------------------------------------- R1 Laravel
-_VERBS_L = "(get|post|put|patch|delete|options|any)"
-LARAVEL_CLASS = r"Route::(?i)" + _VERBS_L + r"""\s*\(\s*['"]([^'"]+)['"]\s*,\s*\[\s*([A-Za-z0-9_\\]+)::class\s*,\s*['"]([A-Za-z0-9_]+)['"]\s*\]"""
-LARAVEL_STRING = r"Route::(?i)" + _VERBS_L + r"""\s*\(\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]+)['"]"""
 
 
 def parse_laravel(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_laravel_routes_file(), ("//", "#")).filter(F.col("line").contains("Route::"))
     line = F.col("line")
-    cls = _has(line, LARAVEL_CLASS)
-    strg = _has(line, LARAVEL_STRING)
+    cls = _has(line, X.LARAVEL_CLASS)
+    strg = _has(line, X.LARAVEL_STRING)
     d = ln.filter(cls | strg)
-    method = F.upper(F.when(cls, _rx(line, LARAVEL_CLASS, 1)).otherwise(_rx(line, LARAVEL_STRING, 1)))
-    path = normalize_route_path(F.when(cls, _rx(line, LARAVEL_CLASS, 2)).otherwise(_rx(line, LARAVEL_STRING, 2)))
-    ctrl = F.when(cls, F.concat(short_class_name(_rx(line, LARAVEL_CLASS, 3)), F.lit("@"), _rx(line, LARAVEL_CLASS, 4))) \
-        .otherwise(_rx(line, LARAVEL_STRING, 3))
+    method = F.upper(F.when(cls, _rx(line, X.LARAVEL_CLASS, 1)).otherwise(_rx(line, X.LARAVEL_STRING, 1)))
+    path = normalize_route_path(F.when(cls, _rx(line, X.LARAVEL_CLASS, 2)).otherwise(_rx(line, X.LARAVEL_STRING, 2)))
+    ctrl = F.when(cls, F.concat(short_class_name(_rx(line, X.LARAVEL_CLASS, 3)), F.lit("@"), _rx(line, X.LARAVEL_CLASS, 4))) \
+        .otherwise(_rx(line, X.LARAVEL_STRING, 3))
     return _out(d, "laravel", method, path, ctrl)
 
 
 # ---------------------------------------------------------------- R2 Express
-EXPRESS_ROUTE = r"""\b(?:app|router)\.(get|post|put|patch|delete|options|head|all)\s*\(\s*['"\x60]([^'"\x60]+)['"\x60](?:\s*,\s*([A-Za-z0-9_$.]+))?"""
-EXPRESS_CHAIN = r"""\b(?:app|router)\.route\s*\(\s*['"\x60]([^'"\x60]+)['"\x60]\s*\)\.(get|post|put|patch|delete|options|head|all)\s*\("""
 
 
 def parse_express(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_express_file(), ("//",))
     line = F.col("line")
-    direct = ln.filter(_has(line, EXPRESS_ROUTE))
-    h = _rx(line, EXPRESS_ROUTE, 3)
-    a = _out(direct, "express", F.upper(_rx(line, EXPRESS_ROUTE, 1)), normalize_route_path(_rx(line, EXPRESS_ROUTE, 2)),
+    direct = ln.filter(_has(line, X.EXPRESS_ROUTE))
+    h = _rx(line, X.EXPRESS_ROUTE, 3)
+    a = _out(direct, "express", F.upper(_rx(line, X.EXPRESS_ROUTE, 1)), normalize_route_path(_rx(line, X.EXPRESS_ROUTE, 2)),
              F.when(h != "", h).otherwise(F.lit("handler")))
-    chain = ln.filter(_has(line, EXPRESS_CHAIN))
-    b = _out(chain, "express", F.upper(_rx(line, EXPRESS_CHAIN, 2)), normalize_route_path(_rx(line, EXPRESS_CHAIN, 1)),
+    chain = ln.filter(_has(line, X.EXPRESS_CHAIN))
+    b = _out(chain, "express", F.upper(_rx(line, X.EXPRESS_CHAIN, 2)), normalize_route_path(_rx(line, X.EXPRESS_CHAIN, 1)),
              F.lit("handler"))
     return a.unionByName(b)
 
 
 # ---------------------------------------------------------------- R3 FastAPI
-FASTAPI_ROUTER = r"^(" + ID + r")\s*=\s*APIRouter\((.*)\)"
-FASTAPI_PREFIX = r"""prefix\s*=\s*["']([^"']+)["']"""
-FASTAPI_DECO = r"^@(" + ID + r")\.(get|post|put|patch|delete|options|head)\(\s*[\"']([^\"']+)[\"']"
-PY_DEF = r"^(?:async\s+)?def\s+(" + ID + r")\s*\("
 
 
 def _decl_prefix(line: Column, decl_rx: str, prefix_rx: str) -> Column:
@@ -130,16 +121,16 @@ def _as_of_prefix(routes: DataFrame, decls: DataFrame) -> DataFrame:
 def parse_fastapi(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_python_routes_file(), ("#",))
     line = F.col("line")
-    deco = _has(line, FASTAPI_DECO)
-    is_def = _has(line, PY_DEF)
-    decls = ln.filter(_has(line, FASTAPI_ROUTER)).select(
-        *FILE_KEY, _rx(line, FASTAPI_ROUTER, 1).alias("var"), "line_no",
-        _decl_prefix(line, FASTAPI_ROUTER, FASTAPI_PREFIX).alias("decl_prefix"))
+    deco = _has(line, X.FASTAPI_DECO)
+    is_def = _has(line, X.PY_DEF)
+    decls = ln.filter(_has(line, X.FASTAPI_ROUTER)).select(
+        *FILE_KEY, _rx(line, X.FASTAPI_ROUTER, 1).alias("var"), "line_no",
+        _decl_prefix(line, X.FASTAPI_ROUTER, X.FASTAPI_PREFIX).alias("decl_prefix"))
     ev = ln.filter(deco | is_def | line.startswith("@")).select(
         *FILE_KEY, "line_no",
         F.when(deco, "deco").when(is_def, "def").otherwise("cancel").alias("kind"),
-        _rx(line, FASTAPI_DECO, 1).alias("recv"), F.upper(_rx(line, FASTAPI_DECO, 2)).alias("verb"),
-        normalize_route_path(_rx(line, FASTAPI_DECO, 3)).alias("rpath"), _rx(line, PY_DEF, 1).alias("fn"))
+        _rx(line, X.FASTAPI_DECO, 1).alias("recv"), F.upper(_rx(line, X.FASTAPI_DECO, 2)).alias("verb"),
+        normalize_route_path(_rx(line, X.FASTAPI_DECO, 3)).alias("rpath"), _rx(line, X.PY_DEF, 1).alias("fn"))
     w = _w()
     ev = ev.select("*", *[F.lag(c).over(w).alias("p_" + c) for c in ("kind", "recv", "verb", "rpath")])
     hits = ev.filter((F.col("kind") == "def") & (F.col("p_kind") == "deco")).select(
@@ -151,35 +142,29 @@ def parse_fastapi(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R4 Flask
-FLASK_APP = r"^(" + ID + r")\s*=\s*Flask\("
-FLASK_BP = r"^(" + ID + r")\s*=\s*Blueprint\((.*)\)"
-FLASK_URL_PREFIX = r"""url_prefix\s*=\s*["']([^"']+)["']"""
-FLASK_ROUTE = r"""^@(""" + ID + r""")\.route\(\s*["']([^"']+)["'](?:\s*,\s*methods\s*=\s*\[([^\]]+)\])?"""
-FLASK_VERB = r"^@(" + ID + r")\.(get|post|put|patch|delete|options|head)\(\s*[\"']([^\"']+)[\"']"
-METHOD_TOKEN = r"""["']([A-Za-z]+)["']"""
 
 
 def flask_methods(value: Column) -> Column:
     """Quoted alphabetic tokens, upper-cased."""
-    return F.transform(F.regexp_extract_all(value, F.lit(METHOD_TOKEN), F.lit(1)), lambda t: F.upper(trim_space(t)))
+    return F.transform(F.regexp_extract_all(value, F.lit(X.METHOD_TOKEN), F.lit(1)), lambda t: F.upper(trim_space(t)))
 
 
 def parse_flask(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_python_routes_file(), ("#",))
     line = F.col("line")
-    app_decl, bp_decl = _has(line, FLASK_APP), _has(line, FLASK_BP)
-    is_route, is_verb = _has(line, FLASK_ROUTE), _has(line, FLASK_VERB)
-    is_def = _has(line, PY_DEF)
-    var = F.when(app_decl, _rx(line, FLASK_APP, 1)).when(bp_decl, _rx(line, FLASK_BP, 1)) \
-        .when(is_route, _rx(line, FLASK_ROUTE, 1)).when(is_verb, _rx(line, FLASK_VERB, 1))
-    methods = F.when(is_route, F.when(F.size(flask_methods(_rx(line, FLASK_ROUTE, 3))) > 0, flask_methods(_rx(line, FLASK_ROUTE, 3)))
-                     .otherwise(F.array(F.lit("ANY")))).when(is_verb, F.array(F.upper(_rx(line, FLASK_VERB, 2))))
-    rpath = F.when(is_route, _rx(line, FLASK_ROUTE, 2)).when(is_verb, _rx(line, FLASK_VERB, 3))
+    app_decl, bp_decl = _has(line, X.FLASK_APP), _has(line, X.FLASK_BP)
+    is_route, is_verb = _has(line, X.FLASK_ROUTE), _has(line, X.FLASK_VERB)
+    is_def = _has(line, X.PY_DEF)
+    var = F.when(app_decl, _rx(line, X.FLASK_APP, 1)).when(bp_decl, _rx(line, X.FLASK_BP, 1)) \
+        .when(is_route, _rx(line, X.FLASK_ROUTE, 1)).when(is_verb, _rx(line, X.FLASK_VERB, 1))
+    methods = F.when(is_route, F.when(F.size(flask_methods(_rx(line, X.FLASK_ROUTE, 3))) > 0, flask_methods(_rx(line, X.FLASK_ROUTE, 3)))
+                     .otherwise(F.array(F.lit("ANY")))).when(is_verb, F.array(F.upper(_rx(line, X.FLASK_VERB, 2))))
+    rpath = F.when(is_route, _rx(line, X.FLASK_ROUTE, 2)).when(is_verb, _rx(line, X.FLASK_VERB, 3))
     kind = (F.when(app_decl | bp_decl, "decl").when(is_route | is_verb, "deco").when(is_def, "def")
             .when(line.startswith("@"), "cancel"))
     base = ln.select(*FILE_KEY, "line_no", kind.alias("kind"), var.alias("var"), methods.alias("methods"),
-                     normalize_route_path(F.coalesce(rpath, F.lit(""))).alias("rpath"), _rx(line, PY_DEF, 1).alias("fn"),
-                     F.when(bp_decl, _decl_prefix(line, FLASK_BP, FLASK_URL_PREFIX)).alias("bp_prefix")
+                     normalize_route_path(F.coalesce(rpath, F.lit(""))).alias("rpath"), _rx(line, X.PY_DEF, 1).alias("fn"),
+                     F.when(bp_decl, _decl_prefix(line, X.FLASK_BP, X.FLASK_URL_PREFIX)).alias("bp_prefix")
                      ).filter(F.col("kind").isNotNull())
     # A decorator counts only if its receiver was declared (Flask or Blueprint) on an earlier line.
     wv = Window.partitionBy(*FILE_KEY, "var").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,23 +184,18 @@ def parse_flask(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R6 Django
-DJANGO_PATH = r"""(?:path|re_path)\(\s*["']([^"']+)["']\s*,\s*([A-Za-z_][A-Za-z0-9_\.]*)(?:\.as_view\(\))?"""
 
 
 def parse_django(files: DataFrame) -> DataFrame:
-    ln = _scan(files, P.is_django_urls_file(), ("#",)).filter(_has("line", DJANGO_PATH))
+    ln = _scan(files, P.is_django_urls_file(), ("#",)).filter(_has("line", X.DJANGO_PATH))
     line = F.col("line")
-    ctrl = drop_suffix(_rx(line, DJANGO_PATH, 2), ".as_view")
+    ctrl = drop_suffix(_rx(line, X.DJANGO_PATH, 2), ".as_view")
     ctrl = F.when(line.contains(".as_view("), F.concat(ctrl, F.lit("@as_view"))).otherwise(ctrl)
-    d = ln.filter(drop_suffix(_rx(line, DJANGO_PATH, 2), ".as_view") != "include")
-    return _out(d, "django", F.lit("ANY"), normalize_route_path(_rx(line, DJANGO_PATH, 1)), ctrl)
+    d = ln.filter(drop_suffix(_rx(line, X.DJANGO_PATH, 2), ".as_view") != "include")
+    return _out(d, "django", F.lit("ANY"), normalize_route_path(_rx(line, X.DJANGO_PATH, 1)), ctrl)
 
 
 # ---------------------------------------------------------------- R7 Gin / Echo (fold)
-GIN_ROOT = r"(" + ID + r")\s*:=\s*gin\.(Default|New)\s*\("
-ECHO_ROOT = r"(" + ID + r")\s*:=\s*echo\.New\s*\("
-GO_GROUP = r"(" + ID + r")\s*:=\s*(" + ID + r")\.Group\(\s*[\"\x60]([^\"\x60]*)[\"\x60]"
-GO_ROUTE = r"(" + ID + r")\.(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|Any|Match)\(\s*[\"\x60]([^\"\x60]+)[\"\x60](?:\s*,\s*([A-Za-z_][A-Za-z0-9_./]*))?"
 _ROUTE_T = "array<struct<method:string,path:string,controller:string>>"
 
 
@@ -255,10 +235,10 @@ def _go_events(x: Column) -> Column:
     def ev(kind, var, parent, arg, fwname):
         return F.struct(F.lit(kind).alias("kind"), var.alias("var"), parent.alias("parent"), arg.alias("arg"), fwname.alias("fwname"))
     e = F.lit("")
-    gin = ev(0, _rx(x, GIN_ROOT, 1), e, e, F.lit("gin"))
-    echo = ev(0, _rx(x, ECHO_ROOT, 1), e, e, F.lit("echo"))
-    grp = ev(1, _rx(x, GO_GROUP, 1), _rx(x, GO_GROUP, 2), _rx(x, GO_GROUP, 3), e)
-    rte = ev(2, _rx(x, GO_ROUTE, 1), _rx(x, GO_ROUTE, 2), _rx(x, GO_ROUTE, 3), _rx(x, GO_ROUTE, 4))
+    gin = ev(0, _rx(x, X.GIN_ROOT, 1), e, e, F.lit("gin"))
+    echo = ev(0, _rx(x, X.ECHO_ROOT, 1), e, e, F.lit("echo"))
+    grp = ev(1, _rx(x, X.GO_GROUP, 1), _rx(x, X.GO_GROUP, 2), _rx(x, X.GO_GROUP, 3), e)
+    rte = ev(2, _rx(x, X.GO_ROUTE, 1), _rx(x, X.GO_ROUTE, 2), _rx(x, X.GO_ROUTE, 3), _rx(x, X.GO_ROUTE, 4))
     return F.filter(F.array(gin, echo, grp, rte), lambda v: v.var != "")
 
 
@@ -267,7 +247,7 @@ def go_route_state(files: DataFrame) -> DataFrame:
     raw = F.split(F.col("content"), "\n", -1)
     lines = F.transform(raw, lambda x: trim_space(x))
     cand = F.filter(lines, lambda x: (x != "") & ~x.startswith("//") & (
-        x.contains("gin.") | x.contains("echo.New") | x.contains(".Group(") | x.rlike(GO_ROUTE)))
+        x.contains("gin.") | x.contains("echo.New") | x.contains(".Group(") | x.rlike(X.GO_ROUTE)))
     init = F.struct(F.expr("cast(map() as map<string,string>)").alias("fw"),
                     F.expr("cast(map() as map<string,string>)").alias("gp"),
                     F.expr(f"cast(array() as {_ROUTE_T})").alias("out"),
@@ -313,10 +293,6 @@ def parse_openapi_json(files: DataFrame) -> DataFrame:
     return _out(m, "openapi", F.upper(trim_space("verb")), normalize_openapi_path(F.col("rpath")), ctrl)
 
 
-OPENAPI_METHOD = r"^\s{2,}(get|post|put|patch|delete|options|head|trace)\s*:\s*$"
-OPENAPI_OPID = r"""^\s{4,}operationId\s*:\s*['"]?([^'"]+)['"]?\s*$"""
-
-
 def parse_openapi_yaml(files: DataFrame) -> DataFrame:
     ln = _split_lines(_openapi_files(files, (".yaml", ".yml")), F.lit(True), ("#",))
     raw, t = F.col("raw"), F.col("line")
@@ -324,12 +300,12 @@ def parse_openapi_yaml(files: DataFrame) -> DataFrame:
     is_paths = t == "paths:"
     is_exit = ~is_paths & (indent == 0) & ~t.startswith("/")
     is_pathline = (indent == 2) & t.endswith(":") & t.startswith("/")
-    is_method = _has(raw, OPENAPI_METHOD)
-    is_opid = _has(raw, OPENAPI_OPID)
+    is_method = _has(raw, X.OPENAPI_METHOD)
+    is_opid = _has(raw, X.OPENAPI_OPID)
     ev = ln.select(*FILE_KEY, "line_no", is_paths.alias("is_paths"), is_exit.alias("is_exit"),
                    is_pathline.alias("is_pathline"), is_method.alias("is_method"), is_opid.alias("is_opid"),
                    F.when(is_pathline, drop_suffix(t, ":")).alias("pth"),
-                   F.upper(_rx(raw, OPENAPI_METHOD, 1)).alias("verb"), trim_space(_rx(raw, OPENAPI_OPID, 1)).alias("opid"))
+                   F.upper(_rx(raw, X.OPENAPI_METHOD, 1)).alias("verb"), trim_space(_rx(raw, X.OPENAPI_OPID, 1)).alias("opid"))
     ev = ev.filter("is_paths or is_exit or is_pathline or is_method or is_opid")
     w = _before(_w())
     ev = ev.withColumn("in_paths", F.coalesce(F.last(F.when(F.col("is_paths"), True).when(F.col("is_exit"), False), True).over(w), F.lit(False)))
@@ -389,20 +365,14 @@ def nextjs_usage(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R12 ASP.NET
-DOTNET_MINIMAL = r"\b" + ID + r"\.Map(Get|Post|Put|Patch|Delete|Options|Head)\(\s*\"([^\"]+)\"(?:\s*,\s*([A-Za-z_][A-Za-z0-9_\.]*))?"
-DOTNET_METHODS = r"\b" + ID + r"\.MapMethods\(\s*\"([^\"]+)\"\s*,\s*(?:new\s*\[\]\s*)?\{\s*([^}]*)\}\s*,\s*([A-Za-z_][A-Za-z0-9_\.]*)"
-DOTNET_ROUTE_ATTR = r"^\s*\[Route\(\"([^\"]+)\"\)\]"
-DOTNET_HTTP_ATTR = r"^\s*\[Http(Get|Post|Put|Patch|Delete|Options|Head)(?:\(\"([^\"]*)\"\))?\]"
-CLASS_DECL = r"\bclass\s+(" + ID + r")\b"
-DOTNET_METHOD = r"\b(?:public|protected|internal|private)(?:\s+async)?(?:\s+[A-Za-z0-9_<>\[\],?.]+)+\s+(" + ID + r")\s*\("
 
 
 def _dotnet_lines(files: DataFrame) -> DataFrame:
     ln = _split_lines(files, P.is_dotnet_routes_file(), ("//",))
     line = F.col("line")
-    kind = (F.when(_has(line, DOTNET_MINIMAL), "minimal").when(_has(line, DOTNET_METHODS), "methods")
-            .when(_has(line, DOTNET_ROUTE_ATTR), "route_attr").when(_has(line, CLASS_DECL), "class")
-            .when(_has(line, DOTNET_HTTP_ATTR), "http").when(_has(line, DOTNET_METHOD), "sig")
+    kind = (F.when(_has(line, X.DOTNET_MINIMAL), "minimal").when(_has(line, X.DOTNET_METHODS), "methods")
+            .when(_has(line, X.DOTNET_ROUTE_ATTR), "route_attr").when(_has(line, X.CLASS_DECL), "class")
+            .when(_has(line, X.DOTNET_HTTP_ATTR), "http").when(_has(line, X.DOTNET_METHOD), "sig")
             .when(line.startswith("["), "cancel"))
     return ln.select(*FILE_KEY, "line_no", "line", kind.alias("kind")).filter(F.col("kind").isNotNull())
 
@@ -410,21 +380,21 @@ def _dotnet_lines(files: DataFrame) -> DataFrame:
 def parse_aspnet(files: DataFrame) -> DataFrame:
     ev = _dotnet_lines(files)
     line = F.col("line")
-    h = trim_space(_rx(line, DOTNET_MINIMAL, 3))
-    minimal = _out(ev.filter(F.col("kind") == "minimal"), "asp.net", F.upper(_rx(line, DOTNET_MINIMAL, 1)),
-                   normalize_route_path(_rx(line, DOTNET_MINIMAL, 2)), F.when(h != "", h).otherwise(F.lit("handler")))
-    mm = ev.filter(F.col("kind") == "methods").select("*", F.explode(quoted_tokens(_rx(line, DOTNET_METHODS, 2))).alias("tok"))
+    h = trim_space(_rx(line, X.DOTNET_MINIMAL, 3))
+    minimal = _out(ev.filter(F.col("kind") == "minimal"), "asp.net", F.upper(_rx(line, X.DOTNET_MINIMAL, 1)),
+                   normalize_route_path(_rx(line, X.DOTNET_MINIMAL, 2)), F.when(h != "", h).otherwise(F.lit("handler")))
+    mm = ev.filter(F.col("kind") == "methods").select("*", F.explode(quoted_tokens(_rx(line, X.DOTNET_METHODS, 2))).alias("tok"))
     mm = mm.filter(F.upper(trim_space("tok")) != "")
-    mapped = _out(mm, "asp.net", F.upper(trim_space("tok")), normalize_route_path(_rx(line, DOTNET_METHODS, 1)),
-                  trim_space(_rx(line, DOTNET_METHODS, 3)))
+    mapped = _out(mm, "asp.net", F.upper(trim_space("tok")), normalize_route_path(_rx(line, X.DOTNET_METHODS, 1)),
+                  trim_space(_rx(line, X.DOTNET_METHODS, 3)))
     # Attribute routing: prefix epochs start at each [Route] line; the first class after it fills [controller].
     st = ev.filter(F.col("kind").isin("route_attr", "class", "http", "sig", "cancel")).select(
         *FILE_KEY, "line_no", "kind",
-        F.when(F.col("kind") == "route_attr", trim_space(_rx(line, DOTNET_ROUTE_ATTR, 1))).alias("route_val"),
-        F.when(F.col("kind") == "class", trim_space(_rx(line, CLASS_DECL, 1))).alias("cls"),
-        F.upper(trim_space(_rx(line, DOTNET_HTTP_ATTR, 1))).alias("verb"),
-        trim_space(_rx(line, DOTNET_HTTP_ATTR, 2)).alias("suffix"),
-        trim_space(_rx(line, DOTNET_METHOD, 1)).alias("fn"))
+        F.when(F.col("kind") == "route_attr", trim_space(_rx(line, X.DOTNET_ROUTE_ATTR, 1))).alias("route_val"),
+        F.when(F.col("kind") == "class", trim_space(_rx(line, X.CLASS_DECL, 1))).alias("cls"),
+        F.upper(trim_space(_rx(line, X.DOTNET_HTTP_ATTR, 1))).alias("verb"),
+        trim_space(_rx(line, X.DOTNET_HTTP_ATTR, 2)).alias("suffix"),
+        trim_space(_rx(line, X.DOTNET_METHOD, 1)).alias("fn"))
     st = st.withColumn("epoch", F.sum(F.when(F.col("kind") == "route_attr", 1).otherwise(0)).over(
         _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     we = _w("epoch").rowsBetween(Window.unboundedPreceding, -1)
@@ -450,22 +420,17 @@ def aspnet_usage(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R13 Spring
-SPRING_MAPPING = r"^\s*@(?:(Get|Post|Put|Patch|Delete|Options|Head)Mapping|RequestMapping)(?:\((.*)\))?\s*$"
-SPRING_PATH_ATTR = r"""(?:value|path)\s*=\s*"([^"]*)\""""
-SPRING_METHOD_ENUM = r"RequestMethod\.(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)"
-SPRING_QUOTED = r"\"([^\"]*)\""
-JAVA_METHOD = r"\b(?:public|protected|private)(?:\s+static)?(?:\s+final)?(?:\s+[A-Za-z0-9_<>\[\],?.]+)+\s+(" + ID + r")\s*\("
 
 
 def spring_mapping(kind: Column, args: Column) -> tuple[Column, Column]:
     """(path, sorted methods) of a mapping annotation."""
     a = trim_space(F.coalesce(args, F.lit("")))
     path = (F.when(a == "", F.lit("/"))
-            .when(_has(a, SPRING_PATH_ATTR), trim_space(_rx(a, SPRING_PATH_ATTR, 1)))
-            .when(_has(a, SPRING_QUOTED), trim_space(_rx(a, SPRING_QUOTED, 1)))
+            .when(_has(a, X.SPRING_PATH_ATTR), trim_space(_rx(a, X.SPRING_PATH_ATTR, 1)))
+            .when(_has(a, X.SPRING_QUOTED), trim_space(_rx(a, X.SPRING_QUOTED, 1)))
             .otherwise(F.lit("/")))
     k = F.upper(trim_space(F.coalesce(kind, F.lit(""))))
-    enum = F.array_sort(F.array_distinct(F.regexp_extract_all(a, F.lit(SPRING_METHOD_ENUM), F.lit(1))))
+    enum = F.array_sort(F.array_distinct(F.regexp_extract_all(a, F.lit(X.SPRING_METHOD_ENUM), F.lit(1))))
     methods = F.when(k != "", F.array(k)).otherwise(enum)
     return path, methods
 
@@ -473,13 +438,13 @@ def spring_mapping(kind: Column, args: Column) -> tuple[Column, Column]:
 def parse_spring(files: DataFrame) -> DataFrame:
     ln = _split_lines(files, P.is_java_routes_file(), ("//",))
     line = F.col("line")
-    is_map, is_cls, is_sig = _has(line, SPRING_MAPPING), _has(line, CLASS_DECL), _has(line, JAVA_METHOD)
+    is_map, is_cls, is_sig = _has(line, X.SPRING_MAPPING), _has(line, X.CLASS_DECL), _has(line, X.JAVA_METHOD)
     has_args = _has(line, r"^\s*@(?:(?:Get|Post|Put|Patch|Delete|Options|Head)Mapping|RequestMapping)\(")
-    mpath, mmethods = spring_mapping(_rx(line, SPRING_MAPPING, 1), F.when(has_args, _rx(line, SPRING_MAPPING, 2)))
+    mpath, mmethods = spring_mapping(_rx(line, X.SPRING_MAPPING, 1), F.when(has_args, _rx(line, X.SPRING_MAPPING, 2)))
     kind = F.when(is_map, "map").when(is_cls, "class").when(is_sig, "sig")
     ev = ln.select(*FILE_KEY, "line_no", kind.alias("kind"), mpath.alias("mpath"), mmethods.alias("mmethods"),
-                   F.when(is_cls, trim_space(_rx(line, CLASS_DECL, 1))).alias("cls"),
-                   trim_space(_rx(line, JAVA_METHOD, 1)).alias("fn")).filter(F.col("kind").isNotNull())
+                   F.when(is_cls, trim_space(_rx(line, X.CLASS_DECL, 1))).alias("cls"),
+                   trim_space(_rx(line, X.JAVA_METHOD, 1)).alias("fn")).filter(F.col("kind").isNotNull())
     w = _w()
     ev = ev.select("*", F.lag("kind").over(w).alias("p_kind"), F.lag("mpath").over(w).alias("p_path"),
                    F.lag("mmethods").over(w).alias("p_methods"))
@@ -496,7 +461,7 @@ def parse_spring(files: DataFrame) -> DataFrame:
 
 
 def spring_usage(files: DataFrame) -> DataFrame:
-    ln = _split_lines(files, P.is_java_routes_file(), ("//",)).filter(_has("line", SPRING_MAPPING))
+    ln = _split_lines(files, P.is_java_routes_file(), ("//",)).filter(_has("line", X.SPRING_MAPPING))
     return ln.select(*SNAP_KEY, F.lit("spring").alias("framework"))
 
 
