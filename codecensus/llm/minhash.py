@@ -143,11 +143,12 @@ def _compared(rows: DataFrame, by: list[str], least: float) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+    """Of the pairs (a, b, ca, cb) those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
+            ca, cb = b.column("ca").to_numpy(), b.column("cb").to_numpy()
             ok = np.zeros(b.num_rows, bool)
             last, x = None, None
             for i, (p, q) in enumerate(zip(b.column("sa"), b.column("sb"), strict=True)):
@@ -157,19 +158,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 y = np.cumsum(unpack(q.as_py(), np.uint64), dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch(a=a[ok], b=c[ok])
+            yield batch(a=a[ok], b=c[ok], ca=ca[ok], cb=cb[ok])
 
     one = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
 class Join:
-    """State of one similarity join over classes of equal sets: confirmed edges and the components they make."""
+    """State of one similarity join over classes of equal sets: the components that confirmed links make so far."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, percent: int):
         self.classes, self.docs, self.percent = classes, docs, percent
-        self.edges: DataFrame | None = None
         self.known: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -187,18 +187,25 @@ class Join:
             if not left.limit(1).count():
                 continue
             new = saved(_verify(left, sets, self.percent), "links")
-            if not new.limit(1).count():
-                continue
-            self.edges = new if self.edges is None else saved(self.edges.union(new), "links")
-            self.known = saved(components(self.edges).withColumnRenamed("component", "comp"), "known")
+            if new.limit(1).count():
+                self.join(new)
+
+    def join(self, links: DataFrame) -> None:
+        """Join the components ca and cb of confirmed links; only components meet, whatever their size."""
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")),
+                                              F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x")).select("x.*")
+        nodes = (ends if self.known is None else self.known.union(ends)).distinct()
+        met = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
+        self.known = saved(nodes.join(met, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")), "known")
 
     def unjoined(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ca, cb) between two components."""
         if self.known is None:
-            return pairs
+            return pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
         a = self.known.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         b = self.known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        out = pairs.join(a, "a", "left").join(b, "b", "left")
-        return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        out = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return out.filter("ca <> cb")
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members (node, cid) with their component so far."""
