@@ -1,45 +1,52 @@
 """Language-model scoring: Katz backoff bigrams with Good-Turing discounts over the whole training part of a corpus.
 
-Words below VOCABULARY of all training tokens share one class, inside which their counts give them their shares, so that
-the tables by word that every task needs stay below a million rows however large the corpus is; no token is left out.
-
-Keys are 64-bit word hashes, and pairs of vocabulary numbers. Between tasks they travel as packed sorted arrays, one row
-per chunk of documents and bucket, and each frequent key only once per chunk:
+Every word counts as itself. Keys are 64-bit hashes of words, and of pairs of them; no table by word or by pair is held
+whole by a task or the driver. Between tasks keys travel as packed sorted arrays, one row per chunk of documents and
+bucket, and each key only once per chunk:
   counts   chunk -> (bucket, keys, counts) -> one sorted table per bucket, written
+  model    the distinct pairs meet the counts of their words and the totals of their histories by joins
   lookups  chunk -> (bucket, keys, which documents hold them how often), met by the bucket's table; what a document
            gains in a bucket goes back to its chunk and is added up there
+A token's log probability is that of backing off, log backoff(history) + log p(word), which two lookups by word give, and
+for a pair seen in training what the pair's own estimate is above that, which the lookup by pair gives.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, pack, unpack, word_hashes
 from .common import Batches, batch, pick, prepare, remainder, saved, table
 
-#: Share of all training tokens from which on a word has a number of its own.
-VOCABULARY = 1e-6
+#: Words below this share of all training tokens are merged into one class; 0: none are.
+VOCABULARY = 0.0
 #: Counts up to this are discounted.
 GT_MAX = 5
 #: Tokens and documents of a chunk.
 CHUNK, CHUNK_DOCS = 2_000_000, (1 << 20) - 1
+#: Keys of a long table that are packed at a time.
+PIECE = 1 << 20
 #: Log probabilities are added up as whole multiples of this, in any order with one result.
 UNIT = 1e-9
-END = np.uint64(0x5EED0FE2D0C5E7D1)
+#: Stand for the end of a text, its begin (only as a history), and the class of merged words.
+END, BEGIN, RARE = np.uint64(0x5EED0FE2D0C5E7D1), np.uint64(0xB16B00571A27ED03), np.uint64(0x3A4E0C1A5500D9F7)
 _SHIFT = np.uint64(20)
 _LOW = np.uint64((1 << 20) - 1)
 
 COUNTS = "bucket int, keys binary, counts binary"
 TABLE = "bucket int, keys binary, counts binary, total long, n array<long>"
+PAIRS = "bucket int, h binary, w binary, counts binary"
+PAIR_TABLE = "bucket int, h binary, w binary, counts binary, total long, n array<long>"
 LOOKUPS = "bucket int, kind int, block long, keys binary, counts binary, lengths binary, docs binary"
-GAINS = "block long, kind int, a binary, b binary, c binary, d binary"
+GAINS = "block long, kind int, a binary, b binary, c binary"
 
 
 @dataclass
@@ -119,13 +126,98 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
                          "counts": [pack(counts)], "total": [int(counts.sum())], "n": [[*n, len(keys)]]})
 
 
-def _tabled(counts: DataFrame, name: str) -> tuple[DataFrame, int, list[int]]:
+def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(h) + w)
+
+
+def _counted_pairs(h: np.ndarray, w: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct pairs of one chunk with their counts, by bucket of the pair and sorted by history inside each."""
+    _, first, n = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
+    h, w = h[first], w[first]
+    order = np.argsort(h)
+    h, w, n = h[order], w[order], n[order]
+    order, b = _by_bucket(_pair_keys(h, w), buckets)
+    h, w, n = h[order], w[order], n[order].astype(np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else [], len(b)).astype(int)
+    cut = list(zip(edge, edge[1:], strict=False))
+    return batch(bucket=pa.array([int(b[i]) for i, _ in cut], pa.int32()),
+                 h=pa.array([pack(np.diff(h[i:j], prepend=np.uint64(0))) for i, j in cut], pa.binary()),
+                 w=pa.array([w[i:j].tobytes() for i, j in cut], pa.binary()), counts=pa.array([pack(n[i:j]) for i, j in cut], pa.binary()))
+
+
+def _merged_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """One bucket's pairs with their summed counts, and how many have the counts 1 to GT_MAX + 1."""
+    h, w, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(group), 64):
+        part = group.iloc[at:at + 64]
+        h = np.concatenate([h, *map(_keys, part["h"])])
+        w = np.concatenate([w, *(np.frombuffer(x, np.uint64) for x in part["w"])])
+        c = np.concatenate([counts, *(unpack(x, np.int64) for x in part["counts"])])
+        _, first, where = np.unique(_pair_keys(h, w), return_index=True, return_inverse=True)
+        h, w, counts = h[first], w[first], np.bincount(where, c, len(first)).astype(np.int64)
+    n = [int((counts == r).sum()) for r in range(1, GT_MAX + 2)]
+    order = np.argsort(h)
+    return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "h": [pack(np.diff(h[order], prepend=np.uint64(0)))], "w": [w[order].tobytes()],
+                         "counts": [pack(counts[order])], "total": [int(counts.sum())], "n": [[*n, len(h)]]})
+
+
+def _tabled(counts: DataFrame, name: str, merged: object = _merged, schema: str = TABLE) -> tuple[DataFrame, int, list[int]]:
     """The written tables by bucket, the sum of all counts, and the numbers of keys by count (the last: of all keys)."""
-    out = saved(counts.groupBy("bucket").applyInPandas(_merged, TABLE), name)
+    out = _written(counts.groupBy("bucket").applyInPandas(merged, schema), name)
     row = out.agg(F.sum("total"), *[F.sum(F.col("n")[i]) for i in range(GT_MAX + 2)]).first()
     return out, row[0] or 0, [x or 0 for x in row[1:]]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """saved(), after which the shuffle files that made the table go."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return saved(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete a table of ``_written`` that only served to make others."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _slices(size: int = 50_000, **columns: np.ndarray) -> Batches:
+    """Long rows of equally long arrays, some at a time."""
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, size):
+        yield batch(**{k: v[at:at + size] for k, v in columns.items()})
+
+
+def _pieces(batches: Batches, buckets: int, key: object) -> Iterator[pa.RecordBatch]:
+    """Long rows (..., value) packed by bucket; ``key`` makes the 64-bit keys of a batch."""
+    keys, values, n = [], [], 0
+
+    def made() -> pa.RecordBatch:
+        k, v = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(k)
+        return _counted(k[order], v[order], buckets)
+
+    for b in batches:
+        keys.append(key(b))
+        values.append(b.column("value").to_numpy())
+        n += len(b)
+        if n >= PIECE:
+            yield made()
+            keys, values, n = [], [], 0
+    if n:
+        yield made()
+
+
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy().view(np.uint64)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Good-Turing discounts of the counts 0 to GT_MAX, renormalised so that higher counts keep all; 1 where the
     numbers of counts do not give a proper discount."""
@@ -142,58 +234,55 @@ def discounts(n: list[int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What every task needs, by vocabulary number; less than 1 / VOCABULARY + 3 rows each.
-
-    Numbers: the words, then the class of rarer words, then the begin of a text (only as a history).
-    """
+    """What every task needs: a few numbers, and with VOCABULARY the sorted words that are no part of the class."""
 
     tokens: int
     types: int
-    keys: np.ndarray
-    counts: np.ndarray
+    least: int
+    d1: np.ndarray
+    #: What the discounted counts are divided by, and the probability left for unseen words or the class of merged ones.
+    total: float
+    left: float
     rare_tokens: int
     rare_types: int
-    p1: np.ndarray
-    d2: np.ndarray = field(default_factory=lambda: np.ones(GT_MAX + 1))
-    history: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @property
-    def rare(self) -> int:
-        return len(self.keys)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, self.rare).astype(np.uint64)
+    named: np.ndarray | None = None
+    backoff_begin: float = 0.0
+    backoff_rare: float = 0.0
+
+    def classes(self, hashes: np.ndarray) -> np.ndarray:
+        if self.named is None:
+            return hashes
+        if not len(self.named):
+            return np.full(len(hashes), RARE)
+        at = np.minimum(np.searchsorted(self.named, hashes), len(self.named) - 1)
+        return np.where(self.named[at] == hashes, hashes, RARE)
 
     def pairs(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's pair (history, token) and its vocabulary number."""
-        w = self.numbers(c.hashes)
-        h = np.append(np.uint64(self.rare + 1), w[:-1])
-        h[np.cumsum(c.n_tokens)[:-1]] = self.rare + 1
-        return h << _SHIFT | w, w
+        """Each token's history and the token."""
+        w = self.classes(c.hashes)
+        h = np.append(BEGIN, w[:-1])
+        h[np.cumsum(c.n_tokens)[:-1]] = BEGIN
+        return h, w
 
-    def log_p(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair's token after its history, the class of rarer words as one token."""
-        h, w = (pairs >> _SHIFT).astype(np.int64), (pairs & _LOW).astype(np.int64)
-        d = np.where(counts <= GT_MAX, self.d2[np.minimum(counts, GT_MAX)], 1.0)
-        seen = d * counts / np.maximum(self.history[h], 1e-300)
-        return np.log10(np.where(counts > 0, seen, self.backoff[h] * self.p1[w]))
+    def own(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which words have a probability of their own."""
+        return (counts > 0) & ((counts >= self.least) | (keys == END))
 
+    def log_p1(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of words by their counts; the others share what is left."""
+        d = np.where(counts <= GT_MAX, self.d1[np.minimum(counts, GT_MAX)], 1.0)
+        share = (counts + 0.5) / (self.rare_tokens + 0.5 * (self.rare_types + 1))
+        return np.log10(np.where(self.own(keys, counts), d * counts / self.total, self.left * share))
 
-def _unigrams(tokens: int, keys: np.ndarray, counts: np.ndarray, n: list[int]) -> np.ndarray:
-    """Discounted probabilities of the words; the class of rarer words takes all that is left, which is never nothing."""
-    d = discounts(n)
-    mass = np.where(counts <= GT_MAX, d[np.minimum(counts, GT_MAX)], 1.0) * counts
-    total = tokens if mass.sum() < tokens - 0.5 else tokens + 1
-    p = mass / max(total, 1)
-    return np.append(p, max(1 - p.sum(), 1e-300))
+
+def _discounted(counts: Column, d: np.ndarray) -> Column:
+    """Which part of a count discounting leaves."""
+    kept = F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(counts, F.lit(GT_MAX)).cast("int") + 1)
+    return F.when(counts <= GT_MAX, kept).otherwise(1.0)
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the written word table and the written pair table, from the rows of docs with ``train``."""
+    """The model, the written tables by word (kind 0: counts, -1: backoff) and by pair, from the rows of docs with ``train``."""
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     train = docs.filter("train")
@@ -203,63 +292,70 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
             yield _counted(*np.unique(c.hashes, return_counts=True), buckets)
 
     unigrams, tokens, n1 = _tabled(train.mapInArrow(words, COUNTS), "unigrams")
-    least = max(1, int(np.ceil(tokens * VOCABULARY)))
+    model = Model(tokens, n1[-1], max(1, int(np.ceil(tokens * VOCABULARY))), discounts(n1), 1.0, 1.0, 0, 0)
 
-    def frequent(batches: Batches) -> Batches:
+    def own_words(batches: Batches) -> Batches:
         for b in batches:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 keys, counts = _keys(k), unpack(c, np.int64)
-                keep = (counts >= least) | (keys == END)
-                yield batch(key=keys[keep].view(np.int64), n=counts[keep])
-
-    vocab = unigrams.select("keys", "counts").mapInArrow(frequent, "key long, n long").toArrow()
-    keys = vocab["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], vocab["n"].to_numpy()[order].astype(np.int64)
-    model = Model(tokens, n1[-1], keys, counts, tokens - int(counts.sum()), n1[-1] - len(keys), _unigrams(tokens, keys, counts, n1))
+                own = model.own(keys, counts)
+                yield from _slices(w=keys[own].view(np.int64), u=counts[own])
+
+    named = unigrams.select("keys", "counts").mapInArrow(own_words, "w long, u long")
+    mass, own_tokens, own_types = named.agg(F.sum(F.round(F.col("u") * _discounted(F.col("u"), model.d1) * (1 << 20)).cast("long")), F.sum("u"), F.count("*")).first()
+    mass, own_tokens = (mass or 0) / (1 << 20), own_tokens or 0
+    # what discounting and merging leave is never nothing
+    model.total = max(tokens if mass < tokens - 0.5 else tokens + 1, 1)
+    model.left = max((model.total - mass) / model.total, 1e-300)
+    model.rare_tokens, model.rare_types = tokens - own_tokens, n1[-1] - own_types
+    if model.least > 1:
+        model.named = np.sort(named.select("w").toArrow()["w"].to_numpy().view(np.uint64))
     held = spark.sparkContext.broadcast(model)
+    parts = 4 * buckets  # a pair takes more room than a word
 
     def pairs(batches: Batches) -> Batches:
         for c in chunks(batches):
-            yield _counted(*np.unique(held.value.pairs(c)[0], return_counts=True), buckets)
+            yield _counted_pairs(*held.value.pairs(c), parts)
 
-    bigrams, _, n2 = _tabled(train.mapInArrow(pairs, COUNTS), "bigrams")
+    counted, _, n2 = _tabled(train.mapInArrow(pairs, PAIRS), "bigrams", _merged_pairs, PAIR_TABLE)
     d2 = discounts(n2)
 
-    def histories(batches: Batches) -> Batches:
-        """By history: its count, what discounting frees, and the unigram mass of the words seen after it."""
-        p1 = held.value.p1
+    def rows(batches: Batches) -> Batches:
         for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                pair, n = _keys(k), unpack(c, np.int64)
-                h, where = np.unique(pair >> _SHIFT, return_inverse=True)
-                freed = np.where(n <= GT_MAX, 1 - d2[np.minimum(n, GT_MAX)], 0) * n
-                add = lambda x, u: np.bincount(where, np.rint(x * u), len(h)).astype(np.int64)  # noqa: B023, E731
-                yield batch(h=h.astype(np.int64), n=add(n, 1), freed=add(freed, 1 << 20), mass=add(p1[(pair & _LOW).astype(np.int64)], 1 << 50))
-
-    rows = bigrams.select("keys", "counts").mapInArrow(histories, "h long, n long, freed long, mass long")
-    rows = rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("freed").alias("freed"), F.sum("mass").alias("mass")).toArrow()
-    history, backoff = np.zeros(model.rare + 2), np.ones(model.rare + 2)
-    h = rows["h"].to_numpy()
-    n, freed, mass = rows["n"].to_numpy().astype(float), rows["freed"].to_numpy() / (1 << 20), rows["mass"].to_numpy() / (1 << 50)
-    rest = 1 - mass
-    open_ = rest > 1e-9
+            for h, w, c in zip(*(b.column(x).to_pylist() for x in ("h", "w", "counts")), strict=True):
+                yield from _slices(h=_keys(h).view(np.int64), w=np.frombuffer(w, np.int64), n=unpack(c, np.int64))
+
+    seen = counted.select("h", "w", "counts").mapInArrow(rows, "h long, w long, n long")
+    seen = _written(seen.join(named, "w", "left").select("h", "w", "n", "u"), "pairs")
+    _drop(counted)
+    p1 = F.when(F.col("u").isNull(), F.lit(model.left)).otherwise(F.col("u") * _discounted(F.col("u"), model.d1) / F.lit(float(model.total)))
+    n, left = F.col("n"), _discounted(F.col("n"), d2)
+    # by history: its count, what discounting frees, and the unigram mass of the words seen after it
+    sums = seen.groupBy("h").agg(F.sum("n").alias("n"), (F.sum(F.round((1 - left) * n * (1 << 20)).cast("long")) / (1 << 20)).alias("freed"),
+                                 (1 - F.sum(F.round(p1 * (1 << 50)).cast("long")) / (1 << 50)).alias("rest"))
     # a history without discounted counts frees one count; one after which every word was seen needs nothing for the rest
-    total = np.where(~open_, n - freed, np.where(freed > 0, n, n + 1))
-    history[h] = total
-    backoff[h] = np.where(open_, np.where(freed > 0, freed, 1.0) / np.maximum(total, 1) / np.maximum(rest, 1e-9), 1.0)
-    model.d2, model.history, model.backoff = d2, history, backoff
-    return model, unigrams, bigrams
+    open_, frees = F.col("rest") > 1e-9, F.col("freed") > 0
+    total = F.when(~open_, n - F.col("freed")).when(frees, n).otherwise(n + 1)
+    backoff = F.when(open_, F.when(frees, F.col("freed")).otherwise(1.0) / F.greatest(total, F.lit(1.0)) / F.col("rest")).otherwise(1.0)
+    histories = _written(sums.select("h", F.log10(total).alias("total"), F.log10(backoff).alias("backoff")), "histories")
+    for h, x in histories.filter(F.col("h").isin(int(BEGIN.view(np.int64)), int(RARE.view(np.int64)))).select("h", "backoff").collect():
+        setattr(model, "backoff_begin" if h == int(BEGIN.view(np.int64)) else "backoff_rare", x)
+
+    unit = lambda x: F.round(x / UNIT).cast("long").alias("value")
+    above = seen.join(histories, "h").select("h", "w", unit(F.log10(n * left) - F.col("total") - F.col("backoff") - F.log10(p1)))
+    above = above.mapInArrow(lambda bs: _pieces(bs, parts, lambda b: _pair_keys(_column(b, "h"), _column(b, "w"))), COUNTS)
+    by_word = histories.select("h", unit(F.col("backoff"))).mapInArrow(lambda bs: _pieces(bs, buckets, lambda b: _column(b, "h")), COUNTS)
+    by_word = by_word.select(F.lit(-1).alias("kind"), "*").unionByName(unigrams.select(F.lit(0).alias("kind"), "bucket", "keys", "counts"))
+    by_word, by_pair = _written(by_word, "by-word"), _written(above, "by-pair")
+    _drop(seen)
+    return model, by_word, by_pair
 
 
 def _postings(keys: np.ndarray, docs: np.ndarray, buckets: int, offset: int, kind: int, block: int) -> pa.RecordBatch:
     """Lookups of one chunk: per bucket the sorted keys, how many documents hold each, which, and how often."""
-    order = np.lexsort((docs, keys)) if kind == 2 else None
-    if order is None:  # pairs take 40 bits and documents of a chunk 20
-        both = np.sort(keys << _SHIFT | docs.astype(np.uint64))
-        keys, docs = both >> _SHIFT, (both & _LOW).astype(np.int64)
-    else:
-        keys, docs = keys[order], docs[order]
+    each, where = np.unique(keys, return_inverse=True)
+    both = np.sort(where.astype(np.uint64) << _SHIFT | docs.astype(np.uint64))  # documents of a chunk take 20 bits
+    keys, docs = each[(both >> _SHIFT).astype(np.int64)], (both & _LOW).astype(np.int64)
     new = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])) if len(keys) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(keys)))
@@ -281,80 +377,80 @@ def _postings(keys: np.ndarray, docs: np.ndarray, buckets: int, offset: int, kin
                  **{x: pa.array(cols[x], pa.binary()) for x in ("keys", "counts", "lengths", "docs")})
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, train): doc_id, train, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
     buckets = buckets_of(spark)
+    parts = 4 * buckets
     held = spark.sparkContext.broadcast(model)
     base_low = model.tokens + 0.5 * (model.types + 1)
-    rare_low = model.rare_tokens + 0.5 * (model.rare_types + 1)
 
     def look(batches: Batches) -> Batches:
-        m = held.value
         for c in chunks(batches):
-            pair, w = m.pairs(c)
-            yield _postings(pair, c.doc, buckets, 0, 1, c.block)
-            odd = w == m.rare
-            yield _postings(c.hashes[odd], c.doc[odd], buckets, buckets, 2, c.block)
-            own = m.counts[np.where(odd, 0, w).astype(np.int64)] if len(m.counts) else np.zeros(len(w))
-            base = np.rint(np.where(odd, -np.log10(base_low), np.log10((own + 0.5) / base_low)) / UNIT)
-            n = len(c.ids)
-            sums = [np.bincount(c.doc, x, n).astype(np.int64) for x in (base, ~odd, np.where(odd, np.rint(-np.log10(rare_low) / UNIT), 0))]
+            yield _postings(_pair_keys(*held.value.pairs(c)), c.doc, parts, 0, 1, c.block)
+            yield _postings(c.hashes, c.doc, buckets, parts, 2, c.block)
             ids = pa.array(c.ids, pa.int64())
-            head = [pack(ids.fill_null(0).to_numpy()), pack(np.vstack([c.train, ids.is_null().to_numpy(False)]).astype(np.uint8).ravel()),
-                    pack(c.n_tokens.astype(np.int64)), b"".join(len(x).to_bytes(8, "little") + x for x in map(pack, sums))]
-            yield batch(bucket=pa.array([c.block % (2 * buckets)], pa.int32()), kind=pa.array([3], pa.int32()), block=pa.array([c.block], pa.int64()),
-                        keys=head[:1], counts=head[1:2], lengths=head[2:3], docs=head[3:4])
+            head = [pack(ids.fill_null(0).to_numpy()), pack(np.vstack([c.train, ids.is_null().to_numpy(False)]).astype(np.uint8).ravel()), pack(c.n_tokens.astype(np.int64))]
+            yield batch(bucket=pa.array([c.block % (parts + buckets)], pa.int32()), kind=pa.array([3], pa.int32()), block=pa.array([c.block], pa.int64()),
+                        keys=head[:1], counts=head[1:2], lengths=head[2:], docs=[b""])
 
     def meet(batches: Batches) -> Batches:
-        """A bucket's table comes first (kind 0), then the lookups of all chunks, one at a time."""
+        """A bucket's tables come first (kinds -1 and 0), then the lookups of all chunks, one at a time."""
         m = held.value
-        bucket, keys, counts = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        bucket, pieces, tables = -1, {}, {}
+
+        def found(kind: int, k: np.ndarray) -> np.ndarray:
+            if kind not in tables:
+                got = pieces.pop(kind, [])
+                keys = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in got)])
+                order = np.argsort(keys)
+                tables[kind] = keys[order], np.concatenate([np.zeros(0, np.int64), *(x for _, x in got)])[order]
+            keys, values = tables[kind]
+            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            return np.where(keys[at] == k, values[at], 0) if len(keys) else np.zeros(len(k), np.int64)
+
         for b in batches:
             for r in b.to_pylist():
                 if r["kind"] == 3:
-                    yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([3], pa.int32()), a=[r["keys"]], b=[r["counts"]], c=[r["lengths"]], d=[r["docs"]])
+                    yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([3], pa.int32()), a=[r["keys"]], b=[r["counts"]], c=[r["lengths"]])
                     continue
                 if r["bucket"] != bucket:
-                    bucket, keys, counts = r["bucket"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if r["kind"] == 0:
-                    keys, counts = _keys(r["keys"]), unpack(r["counts"], np.int64)
+                    bucket, pieces, tables = r["bucket"], {}, {}
+                if r["kind"] <= 0:
+                    pieces.setdefault(r["kind"], []).append((_keys(r["keys"]), unpack(r["counts"], np.int64)))
                     continue
                 k = _keys(r["keys"])
-                at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                n = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-                gain = m.log_p(k, n) if r["kind"] == 1 else np.log10(n + 0.5)
-                doc, times = unpack(r["docs"], np.int32), unpack(r["counts"], np.int32)
-                each = unpack(r["lengths"], np.int32)
-                add = np.bincount(doc, np.repeat(np.rint(gain / UNIT), each) * times).astype(np.int64)
-                known = np.bincount(doc, np.repeat(n > 0, each) * times).astype(np.int32) if r["kind"] == 2 else np.zeros(0, np.int32)
-                yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([r["kind"]], pa.int32()), a=[pack(add)], b=[pack(known)], c=[b""], d=[b""])
+                n = found(0, k)
+                doc, times, each = unpack(r["docs"], np.int32), unpack(r["counts"], np.int32), unpack(r["lengths"], np.int32)
+                add = lambda x: pack(np.bincount(doc, np.repeat(x, each) * times).astype(np.int64))  # noqa: B023, E731
+                if r["kind"] == 1:
+                    sums = [add(n), b"", b""]
+                else:  # a word's own probability, and its backoff as the next token's history
+                    after = np.where(m.own(k, n), found(-1, k), round(m.backoff_rare / UNIT))
+                    gain = np.rint(m.log_p1(k, n) / UNIT) + np.where(k == END, 0, after)
+                    sums = [add(gain), add(n > 0), add(np.rint(np.log10((n + 0.5) / base_low) / UNIT))]
+                yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([r["kind"]], pa.int32()), a=sums[:1], b=sums[1:2], c=sums[2:])
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["kind"] == 3].iloc[0]
         ids, tokens = unpack(head["a"], np.int64), unpack(head["c"], np.int64)
         n = len(ids)
         train, absent = unpack(head["b"], np.uint8).reshape(2, n).astype(bool)
-        sums, at = [], 0
-        for _ in range(3):
-            size = int.from_bytes(head["d"][at:at + 8], "little")
-            sums.append(unpack(head["d"][at + 8:at + 8 + size], np.int64).copy())
-            at += 8 + size
-        base, known, total = sums
-        for kind, a, b in zip(group["kind"], group["a"], group["b"], strict=True):
+        total, known, base = np.full(n, round(held.value.backoff_begin / UNIT)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for kind, a, b, c in zip(group["kind"], group["a"], group["b"], group["c"], strict=True):
             if kind == 3:
                 continue
             x = unpack(a, np.int64)
             total[:len(x)] += x
             if kind == 2:
-                base[:len(x)] += x
-                known[:len(x)] += unpack(b, np.int32)
+                known[:len(x)] += unpack(b, np.int64)
+                base[:len(x)] += unpack(c, np.int64)
         return pd.DataFrame({"doc_id": pd.array(np.where(absent, 0, ids), "Int64").copy() if not absent.any() else pd.array([None if z else int(i) for i, z in zip(ids, absent, strict=True)], "Int64"),
                              "train": train, "n_tokens": tokens, "n_known": known, "base_score": base * UNIT, "score": total * UNIT})
 
     none = [F.lit(None).cast("binary").alias(x) for x in ("lengths", "docs")]
-    tables = [t.select((F.col("bucket") + add).alias("bucket"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "keys", "counts", *none)
-              for t, add in ((bigrams, 0), (unigrams, buckets))]
+    tables = [t.select((F.col("bucket") + add).alias("bucket"), kind.alias("kind"), F.lit(-1).cast("long").alias("block"), "keys", "counts", *none)
+              for t, kind, add in ((by_pair, F.lit(0), 0), (by_word, F.col("kind"), parts))]
     rows = docs.mapInArrow(look, LOOKUPS).unionByName(tables[0]).unionByName(tables[1])
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "kind", "block")
     gains = rows.mapInArrow(meet, GAINS)

@@ -396,6 +396,37 @@ def test_katz_scores(spark, docs, empty, monkeypatch, share):
     assert {r.n_known for r in katz.score(src, m, u, b).collect()} == {0}
 
 
+def test_katz_keeps_rare_pairs_of_a_large_corpus(spark, docs):
+    rng = random.Random(9)
+    rows = [(0, "filler " * 1_200_000)] + [(i, prose(rng, 40)) for i in range(2, 40)]
+    rows += [(100 + i, f"before rarea{i % 3} rareb{i % 3} after") for i in range(3)]  # each word once in 1.2 million tokens
+    rows += [(200, "before rarea1 rareb1 after"), (201, "before rarea1 rareb2 after"), (202, "rareb1 unseen rarea1")]
+    src = spark.createDataFrame([(*r, r[0] < 200) for r in rows], "doc_id long, text string, train boolean")
+    out = {r.doc_id: r.score for r in katz.score(src, *katz.learn(src)).collect()}
+    toks = {i: [*t.split(), None] for i, t in rows}
+    c = collections.Counter(w for i, t in toks.items() if i < 200 for w in t)
+    pair = collections.Counter(x for i, t in toks.items() if i < 200 for x in itertools.pairwise(["<s>", *t]))
+    d1, d2 = (katz.discounts([sum(v == r for v in x.values()) for r in range(1, 7)]) for x in (c, pair))
+    mass = {w: (d1[k] if k <= 5 else 1) * k for w, k in c.items()}
+    total = sum(c.values()) + (sum(mass.values()) >= sum(c.values()) - 0.5)
+    p1 = collections.defaultdict(lambda: 1 - sum(mass.values()) / total, {w: m / total for w, m in mass.items()})
+    n, freed, seen = collections.Counter(), collections.Counter(), collections.Counter()
+    for (h, w), k in pair.items():
+        n[h] += k
+        freed[h] += (1 - d2[k]) * k if k <= 5 else 0
+        seen[h] += p1[w]
+
+    def p(h, w):
+        bottom = n[h] if freed[h] > 0 else n[h] + 1
+        if pair[h, w]:
+            return (d2[pair[h, w]] if pair[h, w] <= 5 else 1) * pair[h, w] / bottom
+        return (freed[h] or 1) / bottom / (1 - seen[h]) * p1[w] if h in n else p1[w]
+
+    for i in (2, 100, 200, 201, 202):
+        assert abs(out[i] - sum(np.log10(p(h, w)) for h, w in itertools.pairwise(["<s>", *toks[i]]))) < 1e-3, i
+    assert out[200] > out[201] + 1
+
+
 def test_long_texts_are_hashed_alike(monkeypatch):
     import pyarrow as pa
 
