@@ -318,13 +318,15 @@ def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     return join.known.select(F.col("node").alias("cid"), "comp")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, n_copies, text_key.
 
+    With ``groups`` also comp: equal in the rows of a component, null where no other row is in it.
+
     A text's set: its distinct windows of 5 lower-cased words, or its whole sequence when it is shorter. Texts with
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable. Null, empty and blank
     texts have no set and link with nothing. Equal sets form one class that is compared once. Repeated rows share a class;
-    of rows with one doc_id all are kept or none. A null doc_id is a component's id only where no other is. Every link
+    of equal rows all are kept or none. A null doc_id is a component's id only where no other is. Every link
     returned was confirmed on full sets; a pair of which
     some shared node is small is missed with a probability below (1 - J) ** TREES, 1e-8 at 0.85.
     """
@@ -334,19 +336,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     cls = signed.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     cls = saved(cls.withColumn("cid", F.monotonically_increasing_id()), "set-classes")
     comp = near_classes(cls, src, percent)
-    return _with_components(signed, cls, comp, keys)
+    return _with_components(signed, cls, comp, keys, groups)
 
 
-def _with_components(signed: DataFrame, cls: DataFrame, comp: DataFrame, keys: list[str]) -> DataFrame:
+def _with_components(signed: DataFrame, cls: DataFrame, comp: DataFrame, keys: list[str], groups: bool = False) -> DataFrame:
     cls = cls.select("cid", *keys, "low", "copies").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     cls = saved(cls, "set-components")
-    lows = cls.groupBy("comp").agg(F.min("low").alias("component_id"))
+    lows = cls.groupBy("comp").agg(F.min("low").alias("component_id"), *[F.count("*").alias("classes")] * groups)
     # only classes that say more than their row does come along
-    told = saved(cls.join(lows, "comp").filter("copies > 1 or not (low <=> component_id)").select(*keys, "component_id", "copies"), "told")
+    tells = "copies > 1 or not (low <=> component_id)" + " or classes > 1" * groups
+    told = saved(cls.join(lows, "comp").filter(tells).select(*keys, "component_id", "copies", *["comp"] * groups), "told")
     out = joined(signed.select("doc_id", "text_key", *keys), told, keys)
     cid = F.when(F.col("copies").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"),
-                      F.coalesce("copies", F.lit(1)).alias("n_copies"), "text_key")
+                      F.coalesce("copies", F.lit(1)).alias("n_copies"), "text_key", *["comp"] * groups)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -356,16 +359,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays, and one of
-    those that repeat it. Columns as in docs."""
-    names = docs.columns
-    found = saved(near_duplicates(docs, percent), "near-duplicates")
-    gone = saved(found.filter(~F.col("kept")).select("text_key", F.lit(True).alias("gone")).distinct(), "gone")
-    again = saved(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    """The rows of docs without near-duplicates: of each component one row with the smallest doc_id stays, of several texts
+    under that doc_id the one with the smallest key. Of equal rows (doc_id, text) without words one stays. Rows that share
+    no more than a doc_id, or have none, are different documents. Columns as in docs."""
+    names, key = docs.columns, ["doc_id", "text_key"]
+    found = saved(near_duplicates(docs, percent, groups=True), "near-duplicates")
+    kept = found.filter("kept")
+    stay = kept.filter("comp is not null").groupBy("comp").agg(F.min("text_key").alias("stays"), F.max("text_key").alias("most")).filter("stays < most")
+    second = joined(kept.filter("comp is not null"), saved(stay.select("comp", "stays"), "several-texts"), ["comp"], "inner").filter("text_key > stays")
+    gone = found.filter(~F.col("kept")).select(*key).union(second.select(*key)).distinct()
+    gone = saved(gone.withColumn("gone", F.lit(True)), "gone")
+    again = saved(kept.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key, F.lit(True).alias("again")), "again")
     rows = pick(docs, "doc_id", "text", row="_row").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "_row")
-    rows = joined(joined(rows, gone, ["text_key"]).filter("gone is null"), again, ["doc_id"])
-    once = unpacked(rows.filter("again is not null").dropDuplicates(["doc_id"]), "_row", names)
+    rows = joined(joined(rows, gone, key).filter("gone is null"), again, key)
+    once = unpacked(rows.filter("again is not null").dropDuplicates(key), "_row", names)
     return unpacked(rows.filter("again is null"), "_row", names).union(once)
 
 

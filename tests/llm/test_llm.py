@@ -253,6 +253,18 @@ def test_minhash_components(spark, docs, empty, monkeypatch):
     assert sorted(r[0] for r in left.collect() if r[0] is not None) == sorted({i for i in sets if root[i] == i})
 
 
+def test_deduplicated_keeps_different_documents_of_one_id(spark, docs):
+    rng = random.Random(33)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a + " end"), (7, c), (7, d), (8, c + " end"), (9, e), (9, e + " end"), (9, e), (None, f), (20, f), (None, None), (None, None), (30, None), (31, "")]
+    left = minhash.deduplicated(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")).collect()
+    assert all(r.source == "x" for r in left)
+    out = collections.Counter((r.doc_id, r.text) for r in left)
+    one = lambda *of: sum(out.pop(x, 0) for x in of) == 1
+    assert one((None, a), (None, a + " end")) and one((9, e), (9, e + " end"))
+    assert out == collections.Counter([(None, b), (7, c), (7, d), (20, f), (None, None), (30, None), (31, "")])
+
+
 def test_embedding_links(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
