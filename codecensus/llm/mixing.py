@@ -34,7 +34,7 @@ class Mix:
     """The written tables of a mix.
 
     sources(source, n_blocks, source_size, target, whole), draws(source, block, pass, shard, part): block ``block`` of the
-    source goes to ``shard``; with ``part`` only the rows in ``picked`` (key) do.
+    source goes to ``shard``; with ``part`` only the rows in ``picked`` (source, key) do.
     """
 
     sources: DataFrame
@@ -120,8 +120,9 @@ def plan(sizes: DataFrame, seed: int = 0) -> Mix:
 
     A source's rows fall into blocks by key, and its blocks into a permutation. The target is met by whole passes over
     the blocks, then by blocks in permuted order as long as they fit, then by those rows of the next block that still fit,
-    in the order of their keys: what is missing is less than the smallest row left out of that block. The tree decides
-    which shard takes which part of the permutation.
+    in the order of their keys, then by rows of all later blocks (``_later``): what is missing is less than the smallest
+    row with words left out of the source. Equal rows are taken together. The tree decides which shard takes which part
+    of the permutation.
     """
     src = saved(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "sources")
     src = targets(src)
@@ -139,19 +140,35 @@ def plan(sizes: DataFrame, seed: int = 0) -> Mix:
     # empty blocks of a small source leave gaps in block numbers, not in positions
     run = saved(run.withColumn("full", full).withColumn("part", part), "placed-blocks")
 
-    edge = run.filter("part").select("source", "block", (F.col("rest") - F.col("before")).alias("room"))
-    held = joined(rows, edge, ["source", "block"], "inner")
+    edge = saved(run.filter("part").select("source", "block", (F.col("rest") - F.col("before")).alias("room"), F.col("pos").alias("edge")), "edge-blocks")
+    held = joined(rows, edge.select("source", "block", "room"), ["source", "block"], "inner")
+    held = held.groupBy("source", "block", "key").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
     fit = held.groupBy("source", "block").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("key", "size"))).alias("docs"))
-    fit = fit.select(F.explode(F.expr("""aggregate(docs, named_struct('room', room, 'out', cast(array() as array<bigint>)), (s, d) ->
-        if(d.size <= s.room, named_struct('room', s.room - d.size, 'out', array_append(s.out, d.key)), s), s -> s.out)""")).alias("key"))
-    picked = saved(fit.distinct(), "picked")
+    fit = fit.select("source", "block", F.explode(F.expr("""aggregate(docs, named_struct('room', room, 'out', cast(array() as array<struct<key: bigint, size: bigint>>)), (s, d) ->
+        if(d.size <= s.room, named_struct('room', s.room - d.size, 'out', array_append(s.out, d)), s), s -> s.out)""")).alias("d"))
+    picked = saved(fit.select("source", "block", "d.key", "d.size"), "picked")
+    taken = picked.groupBy("source").agg(F.sum("size").alias("taken"))
+    room = joined(edge.select("source", "room", "edge"), saved(taken, "edge-words"), ["source"])
+    room = saved(room.select("source", "edge", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")), "room")
+    later = _later(rows, run, room, order)
+    if later is not None:
+        picked = picked.select("source", "block", "key").union(later)
+        # later blocks follow the first partial one in the permutation, without gaps
+        spots = joined(run.select("source", "block"), later.select("source", "block").distinct(), ["source", "block"], "inner")
+        spots = running_total(saved(spots, "later-blocks"), ["source"], order, {"nth": F.lit(1)}, lambda d: saved(d, "ordered-later-blocks"))
+        spots = joined(spots, room.select("source", "edge"), ["source"]).select("source", "block", (F.col("edge") + 1 + F.col("nth")).alias("spot"))
+        run = joined(run, saved(spots, "later-spots"), ["source", "block"])
+        run = saved(run.withColumn("part", F.col("part") | F.col("spot").isNotNull()), "placed-later-blocks")
+    else:
+        run = run.withColumn("spot", F.lit(None).cast("long"))
+    picked = picked.select("source", "key")
 
     passes = F.expr("""concat(transform(if(whole > 0, sequence(1L, whole), cast(array() as array<bigint>)), p -> named_struct('pass', p - 1, 'part', false)),
         if(full or part, array(named_struct('pass', whole, 'part', part)), cast(array() as array<struct<pass: bigint, part: boolean>>)))""")
     count = run.groupBy("source").agg(F.count("*").alias("filled"))
     draws = joined(run, saved(count, "filled"), ["source"]).withColumn("p", F.explode(passes))
     draws = draws.select("source", "sid", "block", F.col("p.pass").alias("pass"), F.col("p.part").alias("part"),
-                         (F.col("p.pass") * F.col("filled") + F.col("pos")).alias("at"))
+                         (F.col("p.pass") * F.col("filled") + F.when(F.col("p.part"), F.coalesce("spot", "pos")).otherwise(F.col("pos"))).alias("at"))
     draws = saved(draws, "draws")
     total, words = draws.count(), src.agg(F.sum("target")).first()[0] or 0
     shards = max(1, min(math.ceil(words / SHARD_WORDS), total, MAX_SHARDS))
@@ -163,6 +180,30 @@ def plan(sizes: DataFrame, seed: int = 0) -> Mix:
     return Mix(src, draws, picked)
 
 
+def _later(rows: DataFrame, run: DataFrame, room: DataFrame, order: list[Column]) -> DataFrame | None:
+    """Rows (source, block, key) of blocks behind the first that doesn't fit, which fill the written ``room`` of their source.
+
+    Each round takes rows in order as long as they fit, rows of up to half the room first. So two rounds at least halve
+    the room, until no row fits: their number grows with the logarithm of the room, and a round sees only rows that fit.
+    """
+    behind = joined(run.select("source", "block", "pos"), room, ["source"], "inner").filter("pos > edge and room > 0").select("source", "block")
+    left = joined(rows, saved(behind, "behind"), ["source", "block"], "inner")
+    left = joined(left, room.select("source", "room"), ["source"], "inner").filter("size > 0 and size <= room")
+    left = saved(left.groupBy("source", "block", "key").agg(F.sum("size").alias("size"), F.first("room").alias("room")).filter("size <= room"), "left")
+    out = None
+    while left.limit(1).count():
+        big = F.col("size") * 2 > F.col("room")
+        done = running_total(left, ["source"], [big, *order, F.col("key")], {"before": F.col("size")}, lambda d: saved(d, "ordered-left"))
+        done = saved(done.withColumn("fits", F.col("before") + F.col("size") <= F.col("room")), "filled-rows")
+        new = done.filter("fits").select("source", "block", "key")
+        out = new if out is None else out.union(new)
+        taken = saved(done.groupBy("source").agg(F.sum(F.when(F.col("fits"), F.col("size"))).alias("taken")), "filled-words")
+        left = joined(done.filter("not fits").select("source", "block", "key", "size", "room"), taken, ["source"])
+        left = left.withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0))).drop("taken").filter("size <= room")
+        left = saved(left, "left")
+    return out
+
+
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Add the block of each row (source, key)."""
     out = joined(rows, sources.select("source", F.col("n_blocks").alias("_n")), ["source"])
@@ -173,7 +214,7 @@ def drawn(rows: DataFrame, mix: Mix) -> DataFrame:
     """Add ``shards``: the shards that take each row (source, key), an empty list if none does."""
     blocks = mix.draws.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "part"))).alias("_to"))
     out = joined(in_blocks(rows, mix.sources), saved(blocks, "block-draws"), ["source", "block"])
-    out = joined(out, mix.picked.withColumn("_in", F.lit(True)), ["key"])
+    out = joined(out, mix.picked.withColumn("_in", F.lit(True)), ["source", "key"])
     to = F.filter(F.coalesce("_to", F.array()), lambda d: ~d["part"] | F.coalesce(F.col("_in"), F.lit(False)))
     return out.withColumn("shards", F.transform(to, lambda d: d["shard"])).drop("_to", "_in", "block")
 

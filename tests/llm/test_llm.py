@@ -203,6 +203,34 @@ def test_mixing_meets_targets(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_fills_a_source_behind_a_long_document(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1500)
+    rng = random.Random(12)
+    words_of = lambda i, n: " ".join(f"w{i}" for _ in range(n))
+    rows = [(i, words_of(i, rng.randint(3, 12)), "abc"[i % 3]) for i in range(900)]
+    rows += [(1000 + i, words_of(i, 900), "abc"[i % 3]) for i in range(6)] + [(2000, words_of(1, 9), "b")] * 5 + [(2000, words_of(1, 9), "c")]
+    src = mixing.sizes(common.saved(spark.createDataFrame(rows, "doc_id long, text string, source string"), "giants"))
+    short = 0
+    for seed in range(2):
+        mix = mixing.plan(src.select("source", "key", "size"), seed)
+        out = mixing.drawn(src, mix).collect()
+        assert len(out) == len(rows)
+        draws = mix.draws.collect()
+        assert len({(d.source, d.block, d["pass"]) for d in draws}) == len(draws)
+        for r in mix.sources.collect():
+            mine = [x for x in out if x.source == r.source]
+            taken = sum(x["size"] * len(x.shards) for x in mine)
+            left = collections.Counter()
+            for x in mine:
+                if len(x.shards) <= r.whole:
+                    assert len(x.shards) == r.whole
+                    left[x.key] += x["size"]
+            assert r.target - min(left.values()) < taken <= r.target + 1e-6
+            short += any(d.part for d in draws if d.source == r.source)
+    assert short == 4  # the third source is taken twice, whole
+
+
 def test_split_tree_spends_quotas_exactly_and_draws_hypergeometric(spark):
     quotas = common.saved(spark.createDataFrame([(1, 40), (2, 25), (3, 7)], "sid long, q long"), "q")
     out = mixing.split_tree(quotas, 72, 5, 9).collect()
