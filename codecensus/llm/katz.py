@@ -33,7 +33,7 @@ GT_MAX = 5
 #: Tokens and documents of a chunk.
 CHUNK, CHUNK_DOCS = 2_000_000, (1 << 20) - 1
 #: Keys of a long table that are packed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Log probabilities are added up as whole multiples of this, in any order with one result.
 UNIT = 1e-9
 #: Stand for the end of a text, its begin (only as a history), and the class of merged words.
@@ -130,6 +130,15 @@ def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h) + w)
 
 
+def _quarters(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Where the keys of each quarter of the buckets are, so that a task sorts fewer at a time."""
+    quarter = (mix(keys) >> np.uint64(62)).astype(np.uint8)
+    for q in range(4):
+        at = np.flatnonzero(quarter == q)
+        if len(at):
+            yield at
+
+
 def _counted_pairs(h: np.ndarray, w: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Distinct pairs of one chunk with their counts, by bucket of the pair and sorted by history inside each."""
     _, first, n = np.unique(_pair_keys(h, w), return_index=True, return_counts=True)
@@ -315,7 +324,9 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 
     def pairs(batches: Batches) -> Batches:
         for c in chunks(batches):
-            yield _counted_pairs(*held.value.pairs(c), parts)
+            h, w = held.value.pairs(c)
+            for at in _quarters(_pair_keys(h, w)):
+                yield _counted_pairs(h[at], w[at], parts)
 
     counted, _, n2 = _tabled(train.mapInArrow(pairs, PAIRS), "bigrams", _merged_pairs, PAIR_TABLE)
     d2 = discounts(n2)
@@ -387,7 +398,9 @@ def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame)
 
     def look(batches: Batches) -> Batches:
         for c in chunks(batches):
-            yield _postings(_pair_keys(*held.value.pairs(c)), c.doc, parts, 0, 1, c.block)
+            keys = _pair_keys(*held.value.pairs(c))
+            for at in _quarters(keys):
+                yield _postings(keys[at], c.doc[at], parts, 0, 1, c.block)
             yield _postings(c.hashes, c.doc, buckets, parts, 2, c.block)
             ids = pa.array(c.ids, pa.int64())
             head = [pack(ids.fill_null(0).to_numpy()), pack(np.vstack([c.train, ids.is_null().to_numpy(False)]).astype(np.uint8).ravel()), pack(c.n_tokens.astype(np.int64))]
