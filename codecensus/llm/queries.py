@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, katz, language_id, minhash, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts
+from . import embeddings, fill_in_middle, katz, language_id, licenses, minhash, mixing, pii, quality, rules, sentencepiece_viterbi, token_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,5 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_katz": katz.op10_katz,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_license_scan": licenses.op13_license_scan,
+}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": rules.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_embedding_dedup": embeddings.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": rules.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_embedding_dedup": embeddings.ORACLE}
