@@ -8,6 +8,7 @@ column pruning and predicate pushdown on ``base`` / ``ext``.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.paths import pruned_by
-from ..session import saved
+from ..functions.running import running_total
+from ..session import ensure_checkpoint_dir, saved, ship_package
+from .tree import FORMAT, register
 
 FILES_SCHEMA = T.StructType([
     T.StructField("repo_id", T.StringType()),
@@ -62,25 +65,33 @@ def files_from_rows(spark: SparkSession, rows, repo_id="repo", snapshot_id="s1",
 
 
 LISTED = "path string, is_dir boolean, length bigint"
+#: Bytes of a shard of a listing, what opening a file costs in the same measure, and the number of shards that a plan looks at.
+SHARD_BYTES, OPEN_BYTES, MAX_SHARDS = 128 << 20, 64 << 10, 50_000
 
 
 def _list_folders(batches):
-    """Children of each folder: regular files and folders, links left alone."""
+    """Children of each folder. A link is a file, wherever it leads: the walk doesn't follow links to folders."""
     import os
 
     import pandas as pd
     from pyarrow import fs
+
+    from codecensus.sources.tree import open_store
     for b in batches:
         rows = []
         for p in b["path"]:
-            store, inner = fs.FileSystem.from_uri(p)
+            store, inner = open_store(p)
             scheme = p[:len(p) - len(inner)] if p.endswith(inner) else ""
             for x in store.get_file_info(fs.FileSelector(inner)):
-                if isinstance(store, fs.LocalFileSystem) and os.path.islink(x.path):
-                    continue
-                if x.type in (fs.FileType.File, fs.FileType.Directory):
-                    rows.append((scheme + x.path, x.type == fs.FileType.Directory, x.size if x.type == fs.FileType.File else 0))
-        yield pd.DataFrame(rows, columns=["path", "is_dir", "length"]).astype({"path": "object", "is_dir": "bool", "length": "int64"})
+                link = isinstance(store, fs.LocalFileSystem) and os.path.islink(x.path)
+                folder = x.type == fs.FileType.Directory and not link
+                if folder or link or x.type == fs.FileType.File:
+                    rows.append((scheme + x.path, folder, x.size or 0 if x.type == fs.FileType.File else 0))
+            if isinstance(store, fs.LocalFileSystem):  # links to nothing are no entry of the listing above
+                for e in os.scandir(inner):
+                    if e.is_symlink() and not os.path.exists(e.path):
+                        rows.append((scheme + e.path, False, 0))
+        yield pd.DataFrame(rows, columns=["path", "is_dir", "length"]).astype({"path": "object", "is_dir": "bool", "length": "int64"}).drop_duplicates("path")
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -89,6 +100,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     Folders are listed in tasks, level by level: a pruned folder is never entered, and the driver only learns whether
     another level is left. One job per level of depth.
     """
+    ship_package(spark)
     folders = spark.createDataFrame([(root,)], "path string")
     levels = []
     while True:
@@ -101,46 +113,45 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         folders = folders.repartition(spark.sparkContext.defaultParallelism)
 
 
-def _read_files(batches):
-    """Contents of listed files, a file per Arrow batch row; a batch ends when READ_BYTES are in memory."""
-    import pyarrow as pa
-    from pyarrow import fs
-    for b in batches:
-        paths, contents, size = [], [], 0
-        for p in b.column("path").to_pylist():
-            store, inner = fs.FileSystem.from_uri(p)
-            with store.open_input_stream(inner) as h:
-                contents.append(h.read())
-            paths.append(p)
-            size += len(contents[-1])
-            if size >= READ_BYTES:
-                yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.large_binary()).cast(pa.binary())})
-                paths, contents, size = [], [], 0
-        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
-
+def write_listing(listed: DataFrame) -> str:
+    """Deal a listing (path, length) to shards of about equal bytes, in path order; returns the folder of the shards.
 
-READ_BYTES = 32 << 20
+    A file's shard follows from the bytes listed before it, a running total over range partitions. Beyond MAX_SHARDS the
+    shards grow instead, which readers take batch by batch.
+    """
+    spark = listed.sparkSession
+    base = F.element_at(F.split("path", "/"), -1)
+    cost = F.col("n_bytes") + OPEN_BYTES
+    rows = listed.select("path", base.alias("base"), F.lower(F.regexp_extract(base, r"(\.[^.]*)$", 1)).alias("ext"), F.col("length").alias("n_bytes"))
+    placed = running_total(rows, [], [F.col("path")], {"before": cost}, lambda d: saved(d, "listed-files"))
+    total = placed.agg(F.max(F.col("before") + cost)).first()[0] or 0
+    shard = F.expr(f"cast(before div {max(SHARD_BYTES, total // MAX_SHARDS + 1)} as int)").alias("shard")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/codecensus-listing-{uuid.uuid4().hex}"
+    placed.select("path", "base", "ext", "n_bytes", shard).repartition("shard").write.partitionBy("shard").parquet(path)
+    return path
 
 
 def ingest_tree(spark: SparkSession, root: str, repo_id: str, snapshot_id: str) -> DataFrame:
-    """S1 + S2: every regular file under ``root`` outside pruned folders.
+    """S1 + S2: every file under ``root`` outside pruned folders, links to files with what they lead to.
 
     Spark's own file listing hides names that start with '.' or '_', which the census keeps (``.env``, ``__init__.py``,
-    ``_x/``), so the tree is listed by tasks (``list_tree``) and survivors are read by tasks. Bytes that are no UTF-8
-    are replaced.
+    ``_x/``), so the tree is listed by tasks, dealt to shards of equal bytes and read by the ``source_tree`` source; a
+    filter on ``base`` or ``ext`` of the result decides which files are opened. Bytes that are no UTF-8 are replaced.
+    A link to a folder or to nothing is a file with null content.
     """
     uri = root.rstrip("/")
-    found = list_tree(spark, uri)
-    raw = found.repartition(max(1, spark.sparkContext.defaultParallelism)).select("path").mapInArrow(_read_files, "path string, content binary")
-    start = uri if "://" in uri else uri.rstrip("/")
-    df = raw.select(
-        F.lit(repo_id).alias("repo_id"),
-        F.lit(snapshot_id).alias("snapshot_id"),
-        F.lit(uri.split("/")[-1]).alias("project_name"),
-        F.substring(F.col("path"), F.lit(len(start) + 2), F.length("path")).alias("rel_path"),
-        F.expr("make_valid_utf8(cast(content as string))").alias("content"),
-    )
-    return files_from_frame(df)
+    register(spark)
+    raw = spark.read.format(FORMAT).option("listing", write_listing(list_tree(spark, uri))).load()
+    rel = F.substring(F.col("path"), F.lit(len(uri) + 2), F.length("path"))
+    project = uri.split("/")[-1]
+    return raw.select(
+        F.lit(repo_id).alias("repo_id"), F.lit(snapshot_id).alias("snapshot_id"), F.lit(project).alias("project_name"), rel.alias("rel_path"),
+        F.concat(F.lit(f"/{project}/"), rel).alias("abs_path"), "base", "ext", "n_bytes", F.expr("make_valid_utf8(cast(content as string))").alias("content"))
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(repo_id, snapshot_id, n_files, n_unreadable): files of each snapshot, and those whose content could not be had."""
+    return files.groupBy(*SNAP_KEY).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("content").isNull()).alias("n_unreadable"))
 
 
 def write_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -140,3 +140,27 @@ def test_entry_contract(spark):
     assert df.columns == ["repo_id", "framework"]
     assert df.filter(F.col("framework").isNull()).count() == 0
     assert os.path.basename(E.SMOKE_DIR) == "sf0.001"
+
+
+def test_ingest_links_shards_and_pushed_filters(spark, tmp_path, monkeypatch):
+    from codecensus.sources import files as S
+    root = tmp_path / "proj"
+    for k in range(30):
+        p = root / f"d{k % 4}" / f"f{k}.{'py' if k % 3 else 'Go'}"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x" * (k * 100) + bytes([255]) * (k % 2))
+    os.symlink("d0/f0.Go", root / "to_file.py")
+    os.symlink("d1", root / "to_folder.py")
+    os.symlink("nowhere", root / "to_nothing.py")
+    monkeypatch.setattr(S, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(S, "OPEN_BYTES", 10)
+    f = S.ingest_tree(spark, str(root), "r", "s1")
+    assert f.rdd.getNumPartitions() >= 8
+    got = {r.rel_path: r for r in f.collect()}
+    assert len(got) == 33 and got["to_file.py"].content == "" and got["to_folder.py"].content is None and got["to_nothing.py"].content is None
+    assert got["d1/f5.py"].content == "x" * 500 + "�" and got["d1/f5.py"].n_bytes == 501
+    assert S.unreadable(f).collect()[0][2:] == (33, 2)
+    some = f.filter((F.col("ext") == ".go") & F.col("base").isin("f0.Go", "f3.Go", "f4.py") & (F.col("n_bytes") > 0))
+    assert {r.rel_path for r in some.collect()} == {"d3/f3.Go"}
+    plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    assert "EqualTo(ext,.go)" in plan and "In(base, [f0.Go,f3.Go,f4.py])" in plan
