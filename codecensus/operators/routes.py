@@ -1,12 +1,11 @@
-"""HTTP route extraction.
+"""HTTP route extraction.
 
-Output of every parser: ``(repo_id, snapshot_id, rel_path, framework, method, path, controller)``.
+Output of every parser: ``(repo_id, snapshot_id, rel_path, framework, method, path, controller)``; a row without a method
+says that the file uses the framework, whether or not it declares a route (A7), so routes and usage come from one scan.
 Line parsers with "pending" state keep only the lines that can change the
 state (event lines) and read the previous event with ``lag`` over a window
 keyed by file; as-of lookups (J4) are ``last(..., ignorenulls)`` over the same
-file-keyed window, so one exchange on the file key serves all of them.  The
-self-referential Gin/Echo group state is a fold (``aggregate``) over a file's
-event lines inside its own row: no shuffle at all.
+file-keyed window, so one exchange on the file key serves all of them.
 """
 
 from __future__ import annotations
@@ -44,6 +43,29 @@ def _has(c, pattern) -> Column:
     return F.col(c).rlike(pattern) if isinstance(c, str) else c.rlike(pattern)
 
 
+def _by_file(events: DataFrame) -> DataFrame:
+    """Events dealt by file, once for all windows and groupings whose keys begin with the file."""
+    return events.repartition(*FILE_KEY)
+
+
+ROUTE_T = "struct<framework:string,method:string,path:string,controller:string>"
+
+
+def _route(framework: str, method: Column, path: Column, controller: Column) -> Column:
+    return F.struct(F.lit(framework).alias("framework"), method.alias("method"), path.alias("path"), controller.alias("controller"))
+
+
+def _usage(framework: str | Column) -> Column:
+    fw = F.lit(framework) if isinstance(framework, str) else framework
+    null = F.lit(None).cast("string")
+    return F.struct(fw.alias("framework"), null.alias("method"), null.alias("path"), null.alias("controller"))
+
+
+def _rows(df: DataFrame, routes: Column) -> DataFrame:
+    """A row per element of an array of routes."""
+    return df.select(*FILE_KEY, F.explode(routes).alias("_x")).select(*FILE_KEY, "_x.framework", "_x.method", "_x.path", "_x.controller")
+
+
 def _out(df: DataFrame, framework: str | Column, method, path, controller) -> DataFrame:
     fw = F.lit(framework) if isinstance(framework, str) else framework
     return df.select(*FILE_KEY, fw.alias("framework"), method.alias("method"), path.alias("path"),
@@ -82,14 +104,12 @@ def parse_laravel(files: DataFrame) -> DataFrame:
 def parse_express(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_express_file(), ("//",))
     line = F.col("line")
-    direct = ln.filter(_has(line, X.EXPRESS_ROUTE))
     h = _rx(line, X.EXPRESS_ROUTE, 3)
-    a = _out(direct, "express", F.upper(_rx(line, X.EXPRESS_ROUTE, 1)), normalize_route_path(_rx(line, X.EXPRESS_ROUTE, 2)),
-             F.when(h != "", h).otherwise(F.lit("handler")))
-    chain = ln.filter(_has(line, X.EXPRESS_CHAIN))
-    b = _out(chain, "express", F.upper(_rx(line, X.EXPRESS_CHAIN, 2)), normalize_route_path(_rx(line, X.EXPRESS_CHAIN, 1)),
-             F.lit("handler"))
-    return a.unionByName(b)
+    direct = _route("express", F.upper(_rx(line, X.EXPRESS_ROUTE, 1)), normalize_route_path(_rx(line, X.EXPRESS_ROUTE, 2)),
+                    F.when(h != "", h).otherwise(F.lit("handler")))
+    chain = _route("express", F.upper(_rx(line, X.EXPRESS_CHAIN, 2)), normalize_route_path(_rx(line, X.EXPRESS_CHAIN, 1)), F.lit("handler"))
+    found = F.array(F.when(_has(line, X.EXPRESS_ROUTE), direct), F.when(_has(line, X.EXPRESS_CHAIN), chain))
+    return _rows(ln, F.filter(found, lambda x: x.isNotNull()))
 
 
 # ---------------------------------------------------------------- R3 FastAPI
@@ -101,44 +121,38 @@ def _decl_prefix(line: Column, decl_rx: str, prefix_rx: str) -> Column:
     return F.when(p != "", normalize_route_path(p)).otherwise(F.lit(""))
 
 
-def _as_of_prefix(routes: DataFrame, decls: DataFrame) -> DataFrame:
-    """For each route row (var, line_no) the prefix of the latest declaration of var before it.
+def _with_prefix(events: DataFrame, routes: Column) -> DataFrame:
+    """The route rows of (var, line_no, decl_prefix) events, with the prefix of var's latest declaration before them.
 
-    routes: FILE_KEY, var, line_no, ... ; decls: FILE_KEY, var, line_no, decl_prefix.
+    Declarations are the rows with a ``decl_prefix``; rows that are neither fall away.
     """
-    r = routes.withColumn("decl_prefix", F.lit(None).cast("string")).withColumn("_is_route", F.lit(True))
-    d = decls.withColumn("_is_route", F.lit(False))
-    for c in r.columns:
-        if c not in d.columns:
-            d = d.withColumn(c, F.lit(None).cast(r.schema[c].dataType))
-    u = r.unionByName(d.select(*r.columns))
-    w = Window.partitionBy(*FILE_KEY, "var").orderBy("line_no", F.col("_is_route").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("prefix", F.last("decl_prefix", ignorenulls=True).over(w))
-    return u.filter("_is_route").drop("decl_prefix", "_is_route")
+    w = Window.partitionBy(*FILE_KEY, "var").orderBy("line_no")
+    e = events.withColumn("_is_route", routes).filter(F.col("_is_route") | F.col("decl_prefix").isNotNull())
+    return e.withColumn("prefix", F.last("decl_prefix", ignorenulls=True).over(w)).filter("_is_route").drop("_is_route")
+
+
+def _prefixed(prefix: str, path: str) -> Column:
+    return F.when(F.coalesce(F.col(prefix), F.lit("")) != "", join_route_paths(prefix, path)).otherwise(F.col(path))
 
 
 def parse_fastapi(files: DataFrame) -> DataFrame:
     ln = _scan(files, P.is_python_routes_file(), ("#",))
     line = F.col("line")
-    deco = _has(line, X.FASTAPI_DECO)
-    is_def = _has(line, X.PY_DEF)
-    decls = ln.filter(_has(line, X.FASTAPI_ROUTER)).select(
-        *FILE_KEY, _rx(line, X.FASTAPI_ROUTER, 1).alias("var"), "line_no",
-        _decl_prefix(line, X.FASTAPI_ROUTER, X.FASTAPI_PREFIX).alias("decl_prefix"))
-    ev = ln.filter(deco | is_def | line.startswith("@")).select(
-        *FILE_KEY, "line_no",
+    deco, is_def, router = _has(line, X.FASTAPI_DECO), _has(line, X.PY_DEF), _has(line, X.FASTAPI_ROUTER)
+    ev = ln.filter(deco | is_def | router | line.startswith("@")).select(
+        *FILE_KEY, "line_no", router.alias("is_decl"),
         F.when(deco, "deco").when(is_def, "def").otherwise("cancel").alias("kind"),
-        _rx(line, X.FASTAPI_DECO, 1).alias("recv"), F.upper(_rx(line, X.FASTAPI_DECO, 2)).alias("verb"),
-        normalize_route_path(_rx(line, X.FASTAPI_DECO, 3)).alias("rpath"), _rx(line, X.PY_DEF, 1).alias("fn"))
-    w = _w()
-    ev = ev.select("*", *[F.lag(c).over(w).alias("p_" + c) for c in ("kind", "recv", "verb", "rpath")])
-    hits = ev.filter((F.col("kind") == "def") & (F.col("p_kind") == "deco")).select(
-        *FILE_KEY, F.col("p_recv").alias("var"), "line_no", F.col("p_verb").alias("verb"),
-        F.col("p_rpath").alias("rpath"), "fn")
-    r = _as_of_prefix(hits, decls)
-    full = F.when(F.coalesce(F.col("prefix"), F.lit("")) != "", join_route_paths("prefix", "rpath")).otherwise(F.col("rpath"))
-    return _out(r, "fastapi", F.col("verb"), full, F.col("fn"))
+        F.when(router, _rx(line, X.FASTAPI_ROUTER, 1)).otherwise(_rx(line, X.FASTAPI_DECO, 1)).alias("recv"),
+        F.when(router, _decl_prefix(line, X.FASTAPI_ROUTER, X.FASTAPI_PREFIX)).alias("decl_prefix"),
+        F.upper(_rx(line, X.FASTAPI_DECO, 2)).alias("verb"), normalize_route_path(_rx(line, X.FASTAPI_DECO, 3)).alias("rpath"),
+        _rx(line, X.PY_DEF, 1).alias("fn"))
+    # declarations don't come between a decorator and its function
+    w = _w("is_decl")
+    ev = _by_file(ev).select("*", *[F.lag(c).over(w).alias("p_" + c) for c in ("kind", "recv", "verb", "rpath")])
+    hit = ~F.col("is_decl") & (F.col("kind") == "def") & F.coalesce(F.col("p_kind") == "deco", F.lit(False))
+    ev = ev.withColumn("var", F.when(F.col("is_decl"), F.col("recv")).otherwise(F.col("p_recv")))
+    r = _with_prefix(ev, hit)
+    return _out(r, "fastapi", F.col("p_verb"), _prefixed("prefix", "p_rpath"), F.col("fn"))
 
 
 # ---------------------------------------------------------------- R4 Flask
@@ -169,18 +183,14 @@ def parse_flask(files: DataFrame) -> DataFrame:
     # A decorator counts only if its receiver was declared (Flask or Blueprint) on an earlier line.
     wv = Window.partitionBy(*FILE_KEY, "var").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     known = F.max(F.when(F.col("kind") == "decl", F.lit(1))).over(wv)
-    base = base.withColumn("known", F.when(F.col("kind") == "deco", F.coalesce(known, F.lit(0)) == 1))
-    ev = base.filter((F.col("kind").isin("def", "cancel")) | ((F.col("kind") == "deco") & F.col("known")))
-    w = _w()
-    ev = ev.select("*", *[F.lag(c).over(w).alias("p_" + c) for c in ("kind", "var", "methods", "rpath")])
-    hits = ev.filter((F.col("kind") == "def") & (F.col("p_kind") == "deco")).select(
-        *FILE_KEY, F.col("p_var").alias("var"), "line_no", F.col("p_methods").alias("methods"),
-        F.col("p_rpath").alias("rpath"), "fn")
-    decls = base.filter(F.col("bp_prefix").isNotNull()).select(*FILE_KEY, "var", "line_no", F.col("bp_prefix").alias("decl_prefix"))
-    r = _as_of_prefix(hits, decls)
-    full = F.when(F.coalesce(F.col("prefix"), F.lit("")) != "", join_route_paths("prefix", "rpath")).otherwise(F.col("rpath"))
-    r = r.select("*", F.explode("methods").alias("m"))
-    return _out(r, "flask", F.col("m"), full, F.col("fn"))
+    base = _by_file(base).withColumn("known", (F.col("kind") != "deco") | (F.coalesce(known, F.lit(0)) == 1)).filter("known")
+    base = base.withColumn("is_decl", F.col("kind") == "decl")
+    w = _w("is_decl")
+    ev = base.select("*", *[F.lag(c).over(w).alias("p_" + c) for c in ("kind", "var", "methods", "rpath")])
+    hit = (F.col("kind") == "def") & F.coalesce(F.col("p_kind") == "deco", F.lit(False))
+    ev = ev.withColumn("var", F.when(F.col("is_decl"), F.col("var")).otherwise(F.col("p_var"))).withColumnRenamed("bp_prefix", "decl_prefix")
+    r = _with_prefix(ev, hit).select("*", F.explode("p_methods").alias("m"))
+    return _out(r, "flask", F.col("m"), _prefixed("prefix", "p_rpath"), F.col("fn"))
 
 
 # ---------------------------------------------------------------- R6 Django
@@ -195,35 +205,9 @@ def parse_django(files: DataFrame) -> DataFrame:
     return _out(d, "django", F.lit("ANY"), normalize_route_path(_rx(line, X.DJANGO_PATH, 1)), ctrl)
 
 
-# ---------------------------------------------------------------- R7 Gin / Echo (fold)
-_ROUTE_T = "array<struct<method:string,path:string,controller:string>>"
-
-
-def _put(m: Column, k: Column, v: Column) -> Column:
-    return F.map_concat(F.map_filter(m, lambda a, b: a != k), F.create_map(k, v))
-
-
-def _go_step(acc: Column, e: Column) -> Column:
-    """One state transition; every event does exactly one thing, so each branch reads ``acc`` directly."""
-    fw, gp, out, ug, ue = acc.fw, acc.gp, acc.out, acc.used_gin, acc.used_echo
-
-    def st(fw_, gp_, out_, ug_, ue_):
-        return F.struct(fw_.alias("fw"), gp_.alias("gp"), out_.alias("out"), ug_.alias("used_gin"), ue_.alias("used_echo"))
-
-    root = st(_put(fw, e.var, e.fwname), gp, out, ug | (e.fwname == "gin"), ue | (e.fwname == "echo"))
-    pfw = F.element_at(fw, e.parent)
-    group = st(F.when(pfw.isNotNull(), _put(fw, e.var, pfw)).otherwise(fw),
-               _put(gp, e.var, join_route_paths(F.coalesce(F.element_at(gp, e.parent), F.lit("")), normalize_route_path(e.arg))),
-               out, ug | F.coalesce(pfw == "gin", F.lit(False)), ue | F.coalesce(pfw == "echo", F.lit(False)))
-    rfw = F.element_at(fw, e.var)
-    rpath = normalize_route_path(e.arg)
-    full = join_route_paths(F.coalesce(F.element_at(gp, e.var), F.lit("")), rpath)
-    route = F.struct(F.upper(e.parent).alias("method"), F.when(full == "", rpath).otherwise(full).alias("path"),
-                     F.when(e.fwname != "", e.fwname).otherwise(F.lit("handler")).alias("controller"))
-    emit = rfw.isNotNull() | e.var.isin("r", "router", "engine")
-    routed = st(fw, gp, F.when(emit, F.concat(out, F.array(route))).otherwise(out),
-                ug | F.coalesce(rfw == "gin", F.lit(False)), ue | F.coalesce(rfw == "echo", F.lit(False)))
-    return F.when(e.kind == 0, root).when(e.kind == 1, group).otherwise(routed)
+# ---------------------------------------------------------------- R7 Gin / Echo
+#: Receivers whose routes count without a declaration in the file.
+GO_ROUTERS = ("r", "router", "engine")
 
 
 def _go_events(x: Column) -> Column:
@@ -242,31 +226,83 @@ def _go_events(x: Column) -> Column:
     return F.filter(F.array(gin, echo, grp, rte), lambda v: v.var != "")
 
 
-def go_route_state(files: DataFrame) -> DataFrame:
-    """Per .go file: the routes and whether gin / echo were used (one fold per file row)."""
-    raw = F.split(F.col("content"), "\n", -1)
-    lines = F.transform(raw, lambda x: trim_space(x))
-    cand = F.filter(lines, lambda x: (x != "") & ~x.startswith("//") & (
-        x.contains("gin.") | x.contains("echo.New") | x.contains(".Group(") | x.rlike(X.GO_ROUTE)))
-    init = F.struct(F.expr("cast(map() as map<string,string>)").alias("fw"),
-                    F.expr("cast(map() as map<string,string>)").alias("gp"),
-                    F.expr(f"cast(array() as {_ROUTE_T})").alias("out"),
-                    F.lit(False).alias("used_gin"), F.lit(False).alias("used_echo"))
-    state = F.aggregate(F.flatten(F.transform(cand, _go_events)), init, _go_step)
-    f = files.filter(P.is_go_routes_file())
-    return f.select(*FILE_KEY, state.alias("st")).select(*FILE_KEY, "st.out", "st.used_gin", "st.used_echo")
+def go_events(files: DataFrame) -> DataFrame:
+    """(file key, pos, kind, var, parent, arg, fwname): every root, group and route of the Go files, in order of ``pos``."""
+    ln = _scan(files, P.is_go_routes_file(), ("//",))
+    x = F.col("line")
+    ln = ln.filter(x.contains("gin.") | x.contains("echo.New") | x.contains(".Group(") | x.rlike(X.GO_ROUTE))
+    ev = ln.select(*FILE_KEY, "line_no", F.posexplode(_go_events(x)).alias("k", "e"))
+    return ev.select(*FILE_KEY, (F.col("line_no").cast("long") * 4 + F.col("k")).alias("pos"), "e.*")
 
 
-def parse_go(files: DataFrame) -> DataFrame:
-    st = go_route_state(files)
-    r = st.select(*FILE_KEY, F.explode("out").alias("r"))
-    return _out(r, "go", F.col("r.method"), F.col("r.path"), F.col("r.controller"))
+def _solve(declared: Column) -> Column:
+    """Liveness and prefix of a file's declarations, from an array of (root, arg, up, same, group) in their order.
+
+    ``up`` and ``same`` are the declarations of its parent and of its own variable that were in force before it, ``group``
+    the parent's group then (indexes; -1: none). A declaration is live when a root is among those it hangs on. Prefixes
+    are put together by pointer doubling: every round joins each declaration's part to that of the one it points at and
+    skips as far again, so rounds are the logarithm of the nesting and a round is linear in the declarations.
+    """
+    false = F.lit(False)
+    live = F.aggregate(declared, F.array().cast("array<boolean>"), lambda acc, d: F.array_append(
+        acc, d.root | F.coalesce(F.get(acc, d["up"]), false) | F.coalesce(F.get(acc, d["same"]), false)))
+    parts = F.transform(declared, lambda d: F.struct(d["arg"].alias("prefix"), d["group"].alias("at")))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(declared) + 1)).cast("int"))
 
+    def skip(t: Column, _: Column) -> Column:
+        def one(x: Column) -> Column:
+            on = F.get(t, x["at"])
+            return F.struct(F.when(x["at"] < 0, x["prefix"]).otherwise(join_route_paths(on["prefix"], x["prefix"])).alias("prefix"),
+                            F.coalesce(on["at"], F.lit(-1)).alias("at"))
+        return F.transform(t, one)
 
-def go_framework_usage(files: DataFrame) -> DataFrame:
-    st = go_route_state(files).filter(F.size("out") > 0)
-    fw = F.filter(F.array(F.when(F.col("used_gin"), F.lit("gin")), F.when(F.col("used_echo"), F.lit("echo"))), lambda x: x.isNotNull())
-    return st.select(*SNAP_KEY, F.explode(fw).alias("framework"))
+    return F.zip_with(live, F.aggregate(rounds, parts, skip), lambda a, b: F.struct(a.alias("live"), b["prefix"].alias("prefix")))
+
+
+def parse_go(files: DataFrame) -> DataFrame:
+    """Routes of declared Gin and Echo receivers, with the prefixes of the groups they hang on, and the frameworks used.
+
+    Every declaration and route looks up what was in force before it with one window by variable. Prefixes are then put
+    together along those pointers over a file's declarations alone; routes read theirs by its number. One scan, one exchange.
+    """
+    ev = _by_file(go_events(files))
+    here = Window.partitionBy(*FILE_KEY).orderBy("pos")
+    kind, decl = F.col("kind"), F.col("kind") < 2
+    ev = ev.withColumn("idx", F.when(decl, F.count(F.when(decl, 1)).over(here).cast("int") - 1))
+    # a row that declares under its variable, and a row that asks under its parent (a group) or its receiver (a route)
+    roles = F.array(F.when(decl, F.struct(F.lit(1).alias("role"), F.col("var").alias("name"))),
+                    F.when(kind == 1, F.struct(F.lit(0).alias("role"), F.col("parent").alias("name"))),
+                    F.when(kind == 2, F.struct(F.lit(0).alias("role"), F.col("var").alias("name"))))
+    both = ev.select("*", F.explode(F.filter(roles, lambda x: x.isNotNull())).alias("r")).select("*", "r.role", "r.name")
+    w = Window.partitionBy(*FILE_KEY, "name").orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, -1)
+    declares, asks = F.col("role") == 1, F.col("role") == 0
+    both = both.withColumn("latest", F.last(F.when(declares, F.col("idx")), True).over(w)) \
+               .withColumn("latest_group", F.last(F.when(declares & (kind == 1), F.col("idx")), True).over(w))
+    # each event on one row again: what it asked for, and its own variable's declaration before it
+    one = both.groupBy(*FILE_KEY, "pos").agg(
+        *[F.first(c).alias(c) for c in ("kind", "idx", "var", "parent", "arg", "fwname")], F.max(F.when(asks, F.col("latest"))).alias("up"),
+        F.max(F.when(asks, F.col("latest_group"))).alias("group"), F.max(F.when(declares, F.col("latest"))).alias("same"))
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    path = normalize_route_path("arg")
+    d = F.struct("idx", (kind == 0).alias("root"), F.when(kind == 1, path).otherwise(F.lit("")).alias("arg"), none("up"), none("same"), none("group"))
+    r = F.struct("pos", F.upper("parent").alias("method"), path.alias("path"), F.when(F.col("fwname") != "", F.col("fwname")).otherwise(F.lit("handler")).alias("controller"),
+                 F.col("var").isin(*GO_ROUTERS).alias("known"), none("up"), none("group"))
+    whole = one.groupBy(*FILE_KEY).agg(
+        F.array_sort(F.collect_list(F.when(decl, d))).alias("ds"), F.array_sort(F.collect_list(F.when(kind == 2, r))).alias("rs"),
+        F.array_sort(F.collect_set(F.when(kind == 0, F.col("fwname")))).alias("roots")).filter(F.size("rs") > 0)
+    found = whole.select(*FILE_KEY, "roots", F.transform(F.array(_solve(F.col("ds"))), _resolved)[0].alias("found")).filter(F.size("found") > 0)
+    # a framework counts in a file that has its root and any route
+    out = found.select(*FILE_KEY, F.explode(F.concat("found", F.transform("roots", lambda x: F.struct(
+        x.alias("framework"), *[F.lit(None).cast("string").alias(c) for c in ("method", "path", "controller", "prefix")])))).alias("x")).select(*FILE_KEY, "x.*")
+    full = join_route_paths(F.coalesce("prefix", F.lit("")), "path")
+    return out.select(*FILE_KEY, "framework", "method", F.when(F.col("method").isNotNull(), F.when(full == "", F.col("path")).otherwise(full)).alias("path"), "controller")
+
+
+def _resolved(solved: Column) -> Column:
+    """The routes of a file (column rs) whose receiver is live or known by name, and its prefix."""
+    live = F.filter("rs", lambda r: r["known"] | F.coalesce(F.get(solved, r["up"])["live"], F.lit(False)))
+    return F.transform(live, lambda r: F.struct(F.lit("go").alias("framework"), r["method"].alias("method"), r["path"].alias("path"),
+                                                r["controller"].alias("controller"), F.get(solved, r["group"])["prefix"].alias("prefix")))
 
 
 # ---------------------------------------------------------------- R8 / R9 / R10 OpenAPI
@@ -284,13 +320,14 @@ def _openapi_json_docs(files: DataFrame) -> DataFrame:
 
 def parse_openapi_json(files: DataFrame) -> DataFrame:
     d = _openapi_json_docs(files)
-    p = d.select(*FILE_KEY, F.explode(F.try_variant_get("v", "$.paths", "map<string,variant>")).alias("rpath", "item"))
-    m = p.select(*FILE_KEY, "rpath", F.explode(F.try_variant_get("item", "$", "map<string,variant>")).alias("verb", "body"))
-    m = m.filter(P.is_http_method(F.col("verb")))
+    p = d.select(*FILE_KEY, F.explode_outer(F.try_variant_get("v", "$.paths", "map<string,variant>")).alias("rpath", "item"))
+    m = p.select(*FILE_KEY, "rpath", F.explode_outer(F.try_variant_get("item", "$", "map<string,variant>")).alias("verb", "body"))
+    is_route = F.coalesce(P.is_http_method(F.col("verb")), F.lit(False))
     op = F.try_variant_get("body", "$.operationId", "string")
     op_ok = F.schema_of_variant(F.try_variant_get("body", "$.operationId", "variant")) == "STRING"
     ctrl = F.when(op_ok & (trim_space(op) != ""), trim_space(op)).otherwise(F.lit("openapi"))
-    return _out(m, "openapi", F.upper(trim_space("verb")), normalize_openapi_path(F.col("rpath")), ctrl)
+    route = _route("openapi", F.upper(trim_space("verb")), normalize_openapi_path(F.col("rpath")), ctrl)
+    return _rows(m, F.array(F.when(is_route, route).otherwise(_usage("openapi"))))
 
 
 def parse_openapi_yaml(files: DataFrame) -> DataFrame:
@@ -304,32 +341,29 @@ def parse_openapi_yaml(files: DataFrame) -> DataFrame:
     is_opid = _has(raw, X.OPENAPI_OPID)
     ev = ln.select(*FILE_KEY, "line_no", is_paths.alias("is_paths"), is_exit.alias("is_exit"),
                    is_pathline.alias("is_pathline"), is_method.alias("is_method"), is_opid.alias("is_opid"),
+                   (t.startswith("openapi:") | t.startswith("swagger:")).alias("is_version"),
                    F.when(is_pathline, drop_suffix(t, ":")).alias("pth"),
                    F.upper(_rx(raw, X.OPENAPI_METHOD, 1)).alias("verb"), trim_space(_rx(raw, X.OPENAPI_OPID, 1)).alias("opid"))
-    ev = ev.filter("is_paths or is_exit or is_pathline or is_method or is_opid")
+    ev = _by_file(ev.filter("is_paths or is_exit or is_pathline or is_method or is_opid or is_version"))
     w = _before(_w())
     ev = ev.withColumn("in_paths", F.coalesce(F.last(F.when(F.col("is_paths"), True).when(F.col("is_exit"), False), True).over(w), F.lit(False)))
-    # Lines outside the paths section are skipped before anything else.
-    ev = ev.filter(F.col("is_paths") | F.col("in_paths"))
-    path_ev = F.when(F.col("is_paths") | F.col("is_exit"), F.lit("")).when(F.col("is_pathline"), F.col("pth"))
+    # Lines outside the paths section change nothing; a version line says that the file is a specification.
+    inside = F.col("is_paths") | F.col("in_paths")
+    path_ev = F.when(inside, F.when(F.col("is_paths") | F.col("is_exit"), F.lit("")).when(F.col("is_pathline"), F.col("pth")))
     ev = ev.withColumn("path_ev", path_ev)
     ev = ev.withColumn("cur_path", F.coalesce(F.last("path_ev", True).over(w), F.lit("")))
-    live = ~F.col("is_paths") & ~F.col("is_exit") & ~F.col("is_pathline") & (F.col("cur_path") != "")
-    meth_ev = F.when(F.col("is_paths") | F.col("is_exit") | F.col("is_pathline"), F.lit(-1)).when(live & F.col("is_method"), F.col("line_no"))
-    ev = ev.withColumn("meth_ev", meth_ev)
-    ev = ev.withColumn("cur_method", F.coalesce(F.last("meth_ev", True).over(w), F.lit(-1)))
-    routes = ev.filter(live & F.col("is_method")).select(*FILE_KEY, "line_no", "verb", "cur_path")
-    ops = ev.filter(live & ~F.col("is_method") & F.col("is_opid") & (F.col("cur_method") > 0)).groupBy(
-        *FILE_KEY, F.col("cur_method").alias("line_no")).agg(F.max_by("opid", "line_no").alias("opid"))
-    r = routes.join(ops, [*FILE_KEY, "line_no"], "left")
-    return _out(r, "openapi", F.col("verb"), normalize_openapi_path(F.col("cur_path")), F.coalesce("opid", F.lit("openapi")))
-
-
-def openapi_usage(files: DataFrame) -> DataFrame:
-    j = _openapi_json_docs(files).select(*SNAP_KEY)
-    y = _split_lines(_openapi_files(files, (".yaml", ".yml")), F.lit(True), ("#",)).filter(
-        F.col("line").startswith("openapi:") | F.col("line").startswith("swagger:")).select(*SNAP_KEY)
-    return j.unionByName(y).select(*SNAP_KEY, F.lit("openapi").alias("framework"))
+    live = inside & ~F.col("is_paths") & ~F.col("is_exit") & ~F.col("is_pathline") & (F.col("cur_path") != "")
+    ev = ev.withColumn("live", live)
+    # the block that a method line opens: up to the next method, path or section line of the paths section
+    opens = F.when(inside & (F.col("is_paths") | F.col("is_exit") | F.col("is_pathline")), F.lit(-1)).when(live & F.col("is_method"), F.col("line_no"))
+    ev = ev.withColumn("block", F.coalesce(F.last(opens, True).over(_w().rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(-1)))
+    is_op = F.col("live") & F.col("is_opid") & ~F.col("is_method") & (F.col("block") > 0)
+    of_block = Window.partitionBy(*FILE_KEY, "block")
+    opid = F.max_by(F.when(is_op, F.col("opid")), F.when(is_op, F.col("line_no"))).over(of_block)
+    ev = ev.withColumn("op", opid)
+    route = _route("openapi", F.col("verb"), normalize_openapi_path(F.col("cur_path")), F.coalesce("op", F.lit("openapi")))
+    found = F.array(F.when(F.col("live") & F.col("is_method"), route), F.when(F.col("is_version"), _usage("openapi")))
+    return _rows(ev, F.filter(found, lambda x: x.isNotNull()))
 
 
 # ---------------------------------------------------------------- R11 Next.js
@@ -359,11 +393,6 @@ def parse_nextjs(files: DataFrame) -> DataFrame:
     return _out(r, "next.js", F.col("m"), F.col("rp"), F.col("base"))
 
 
-def nextjs_usage(files: DataFrame) -> DataFrame:
-    f = files.filter(P.is_nextjs_api_file()).filter(next_route_path() != "")
-    return f.select(*SNAP_KEY, F.lit("next.js").alias("framework"))
-
-
 # ---------------------------------------------------------------- R12 ASP.NET
 
 
@@ -378,45 +407,37 @@ def _dotnet_lines(files: DataFrame) -> DataFrame:
 
 
 def parse_aspnet(files: DataFrame) -> DataFrame:
-    ev = _dotnet_lines(files)
-    line = F.col("line")
+    ev = _by_file(_dotnet_lines(files))
+    line, kind = F.col("line"), F.col("kind")
     h = trim_space(_rx(line, X.DOTNET_MINIMAL, 3))
-    minimal = _out(ev.filter(F.col("kind") == "minimal"), "asp.net", F.upper(_rx(line, X.DOTNET_MINIMAL, 1)),
-                   normalize_route_path(_rx(line, X.DOTNET_MINIMAL, 2)), F.when(h != "", h).otherwise(F.lit("handler")))
-    mm = ev.filter(F.col("kind") == "methods").select("*", F.explode(quoted_tokens(_rx(line, X.DOTNET_METHODS, 2))).alias("tok"))
-    mm = mm.filter(F.upper(trim_space("tok")) != "")
-    mapped = _out(mm, "asp.net", F.upper(trim_space("tok")), normalize_route_path(_rx(line, X.DOTNET_METHODS, 1)),
-                  trim_space(_rx(line, X.DOTNET_METHODS, 3)))
+    minimal = _route("asp.net", F.upper(_rx(line, X.DOTNET_MINIMAL, 1)), normalize_route_path(_rx(line, X.DOTNET_MINIMAL, 2)),
+                     F.when(h != "", h).otherwise(F.lit("handler")))
+    verbs = F.filter(F.transform(quoted_tokens(_rx(line, X.DOTNET_METHODS, 2)), lambda t: F.upper(trim_space(t))), lambda t: t != "")
+    mapped = F.transform(verbs, lambda t: _route("asp.net", t, normalize_route_path(_rx(line, X.DOTNET_METHODS, 1)), trim_space(_rx(line, X.DOTNET_METHODS, 3))))
     # Attribute routing: prefix epochs start at each [Route] line; the first class after it fills [controller].
-    st = ev.filter(F.col("kind").isin("route_attr", "class", "http", "sig", "cancel")).select(
+    st = ev.select(
         *FILE_KEY, "line_no", "kind",
-        F.when(F.col("kind") == "route_attr", trim_space(_rx(line, X.DOTNET_ROUTE_ATTR, 1))).alias("route_val"),
-        F.when(F.col("kind") == "class", trim_space(_rx(line, X.CLASS_DECL, 1))).alias("cls"),
+        F.when(kind == "minimal", F.array(minimal)).when(kind == "methods", mapped).alias("direct"),
+        F.when(kind == "route_attr", trim_space(_rx(line, X.DOTNET_ROUTE_ATTR, 1))).alias("route_val"),
+        F.when(kind == "class", trim_space(_rx(line, X.CLASS_DECL, 1))).alias("cls"),
         F.upper(trim_space(_rx(line, X.DOTNET_HTTP_ATTR, 1))).alias("verb"),
         trim_space(_rx(line, X.DOTNET_HTTP_ATTR, 2)).alias("suffix"),
         trim_space(_rx(line, X.DOTNET_METHOD, 1)).alias("fn"))
-    st = st.withColumn("epoch", F.sum(F.when(F.col("kind") == "route_attr", 1).otherwise(0)).over(
-        _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    we = _w("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    st = st.withColumn("epoch_route", F.first("route_val", ignorenulls=True).over(
-        _w("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    st = st.withColumn("epoch_cls", F.first("cls", ignorenulls=True).over(we))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    st = st.withColumn("epoch", F.sum(F.when(kind == "route_attr", 1).otherwise(0)).over(_w().rowsBetween(*upto)))
+    st = st.withColumn("epoch_route", F.first("route_val", ignorenulls=True).over(_w("epoch").rowsBetween(*upto)))
+    st = st.withColumn("epoch_cls", F.first("cls", ignorenulls=True).over(_before(_w("epoch"))))
     prefix = F.coalesce(F.when(F.col("epoch_route").contains("[controller]") & F.col("epoch_cls").isNotNull(),
                                F.replace(F.col("epoch_route"), F.lit("[controller]"), drop_suffix(F.col("epoch_cls"), "Controller")))
                         .otherwise(F.col("epoch_route")), F.lit(""))
-    st = st.withColumn("prefix", prefix)
-    pend = st.filter(F.col("kind").isin("http", "sig", "cancel"))
-    w = _w()
-    pend = pend.select("*", F.lag("kind").over(w).alias("p_kind"), F.lag("verb").over(w).alias("p_verb"),
-                       F.lag("suffix").over(w).alias("p_suffix"))
-    hits = pend.filter((F.col("kind") == "sig") & (F.col("p_kind") == "http"))
-    attr = _out(hits, "asp.net", F.col("p_verb"), join_attribute_paths(F.col("prefix"), F.col("p_suffix")), F.col("fn"))
-    return reduce(DataFrame.unionByName, [minimal, mapped, attr])
-
-
-def aspnet_usage(files: DataFrame) -> DataFrame:
-    ev = _dotnet_lines(files).filter(F.col("kind").isin("minimal", "methods", "route_attr", "http"))
-    return ev.select(*SNAP_KEY, F.lit("asp.net").alias("framework"))
+    # a verb waits for the next signature; only another verb or attribute comes between them
+    st = st.withColumn("waits", kind.isin("http", "sig", "cancel"))
+    w = _w("waits")
+    st = st.select("*", prefix.alias("prefix"), F.lag("kind").over(w).alias("p_kind"), F.lag("verb").over(w).alias("p_verb"),
+                   F.lag("suffix").over(w).alias("p_suffix"))
+    attr = _route("asp.net", F.col("p_verb"), join_attribute_paths(F.col("prefix"), F.col("p_suffix")), F.col("fn"))
+    return _rows(st, F.when(kind.isin("minimal", "methods"), F.array_append(F.col("direct"), _usage("asp.net")))
+                 .when((kind == "sig") & (F.col("p_kind") == "http"), F.array(attr)).when(kind.isin("route_attr", "http"), F.array(_usage("asp.net"))))
 
 
 # ---------------------------------------------------------------- R13 Spring
@@ -446,23 +467,18 @@ def parse_spring(files: DataFrame) -> DataFrame:
                    F.when(is_cls, trim_space(_rx(line, X.CLASS_DECL, 1))).alias("cls"),
                    trim_space(_rx(line, X.JAVA_METHOD, 1)).alias("fn")).filter(F.col("kind").isNotNull())
     w = _w()
-    ev = ev.select("*", F.lag("kind").over(w).alias("p_kind"), F.lag("mpath").over(w).alias("p_path"),
-                   F.lag("mmethods").over(w).alias("p_methods"))
+    ev = _by_file(ev).select("*", F.lag("kind").over(w).alias("p_kind"), F.lag("mpath").over(w).alias("p_path"),
+                             F.lag("mmethods").over(w).alias("p_methods"))
     ev = ev.withColumn("cls_prefix", F.when(F.col("kind") == "class",
                                             F.when(F.col("p_kind") == "map", F.col("p_path")).otherwise(F.lit(""))))
     wb = _before(w)
     ev = ev.withColumn("class_prefix", F.coalesce(F.last("cls_prefix", True).over(wb), F.lit(""))) \
            .withColumn("cur_class", F.coalesce(F.last("cls", True).over(wb), F.lit("")))
     pending = (F.col("p_kind") == "map") & ((F.col("p_path") != "") | (F.size("p_methods") > 0))
-    hits = ev.filter((F.col("kind") == "sig") & pending)
-    hits = hits.select("*", F.explode(F.when(F.size("p_methods") > 0, F.col("p_methods")).otherwise(F.array(F.lit("ANY")))).alias("m"))
-    return _out(hits, "spring", F.col("m"), join_attribute_paths(F.col("class_prefix"), F.col("p_path")),
-                spring_controller_name(F.col("cur_class"), F.col("fn")))
-
-
-def spring_usage(files: DataFrame) -> DataFrame:
-    ln = _split_lines(files, P.is_java_routes_file(), ("//",)).filter(_has("line", X.SPRING_MAPPING))
-    return ln.select(*SNAP_KEY, F.lit("spring").alias("framework"))
+    methods = F.when(F.size("p_methods") > 0, F.col("p_methods")).otherwise(F.array(F.lit("ANY")))
+    path, controller = join_attribute_paths(F.col("class_prefix"), F.col("p_path")), spring_controller_name(F.col("cur_class"), F.col("fn"))
+    found = F.transform(methods, lambda m: _route("spring", m, path, controller))
+    return _rows(ev, F.when((F.col("kind") == "sig") & pending, found).when(F.col("kind") == "map", F.array(_usage("spring"))))
 
 
 # ---------------------------------------------------------------- union, R14, A3, A4
@@ -473,10 +489,15 @@ PARSERS = {
 }
 
 
-def raw_routes(files: DataFrame, parsers=None) -> DataFrame:
+def scanned_routes(files: DataFrame, parsers=None) -> DataFrame:
+    """Routes and, without a method, signs of use: one scan of the files per family."""
     return reduce(DataFrame.unionByName, [PARSERS[p](files) for p in (parsers or PARSERS)])
 
 
+def raw_routes(files: DataFrame, parsers=None) -> DataFrame:
+    return scanned_routes(files, parsers).filter(F.col("method").isNotNull())
+
+
 # R14
 def dedupe_routes(routes: DataFrame) -> DataFrame:
     """Distinct (method, path, controller) per snapshot."""
@@ -487,12 +508,9 @@ def routes(files: DataFrame, parsers=None) -> DataFrame:
     return dedupe_routes(raw_routes(files, parsers))
 
 
-def route_frameworks(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """A7 route evidence: frameworks that need a route, plus the usage-only ones."""
-    raw = raw_routes(files, ["laravel", "express", "fastapi", "flask", "django"]) if raw is None else raw
-    need_route = raw.filter(F.col("framework").isin("laravel", "express", "fastapi", "flask", "django")).select(*SNAP_KEY, "framework")
-    parts = [need_route, go_framework_usage(files), openapi_usage(files), nextjs_usage(files), aspnet_usage(files), spring_usage(files)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+def route_frameworks(scanned: DataFrame) -> DataFrame:
+    """A7 route evidence from ``scanned_routes``: a route, or a sign of use where that is enough."""
+    return scanned.filter(F.col("framework") != "go").select(*SNAP_KEY, "framework").distinct()
 
 
 def _method_key(c="method") -> Column:

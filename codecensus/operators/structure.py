@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -65,19 +65,45 @@ def notable_files(facts: DataFrame) -> DataFrame:
     return _ranked(nf, SNAP_KEY + ["path"], "notable_file")
 
 
+def first_notable(facts: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` notable files of every directory: (repo, snapshot, dir_key, rel_path).
+
+    The rank filter becomes a group limit that runs before the exchange as well, so a task ships ``k`` names of a directory
+    at most, however many it holds.
+    """
+    w = Window.partitionBy(*SNAP_KEY, "dir_key").orderBy("rel_path")
+    nf = facts.filter("is_notable").select(*SNAP_KEY, "dir_key", "rel_path")
+    return nf.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
 # A2
-def directory_layout(facts: DataFrame) -> DataFrame:
-    """Per first-two-segment directory: counts, languages set and its notable files in order."""
+def directory_layout(facts: DataFrame, notable: int = fixed.REPORTED_NOTABLE_FILES) -> DataFrame:
+    """Per first-two-segment directory: counts, languages set and its first ``notable`` notable files in order.
+
+    Files and the names to report meet in one aggregate, which needs no join and keeps no list beyond ``notable``.
+    """
+    flags = ["is_test", "source_language", "manifest_kind", "is_config"]
+    files = facts.select(*SNAP_KEY, "dir_key", *flags, F.lit(None).cast("string").alias("name"))
+    types = {f.name: f.dataType for f in facts.schema.fields}
+    names = first_notable(facts, notable).select(*SNAP_KEY, "dir_key", *[F.lit(None).cast(types[c]).alias(c) for c in flags], F.col("rel_path").alias("name"))
     is_source = ~F.col("is_test") & F.col("source_language").isNotNull()
     c = _counts()
-    counts = facts.groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
+    return files.unionByName(names).groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
+        F.count_if(F.col("name").isNull()).cast("bigint").alias("file_count"), c[1], c[2], c[3], c[4],
+        F.array_sort(F.collect_set(F.when(is_source, F.col("source_language")))).alias("languages"),
+        F.array_sort(F.collect_list("name")).alias("notable_files"))
+
+
+def directory_layout_in_buckets(facts: DataFrame, notable: int = fixed.REPORTED_NOTABLE_FILES) -> DataFrame:
+    """``directory_layout`` of a table bucketed by snapshot: ranks and counts in one pass over sorted buckets, without an exchange."""
+    w = Window.partitionBy(*SNAP_KEY, "dir_key").orderBy(F.desc("is_notable"), "rel_path")
+    first = F.when(F.col("is_notable") & (F.row_number().over(w) <= notable), F.col("rel_path"))
+    is_source = ~F.col("is_test") & F.col("source_language").isNotNull()
+    c = _counts()
+    return facts.withColumn("name", first).groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
         c[0].alias("file_count"), c[1], c[2], c[3], c[4],
         F.array_sort(F.collect_set(F.when(is_source, F.col("source_language")))).alias("languages"),
-    )
-    nf = facts.filter("is_notable").groupBy(*SNAP_KEY, F.col("dir_key").alias("path")).agg(
-        F.array_sort(F.collect_set("rel_path")).alias("notable_files"))
-    return (counts.join(nf, SNAP_KEY + ["path"], "left")
-            .withColumn("notable_files", F.coalesce("notable_files", F.array().cast("array<string>"))))
+        F.array_sort(F.collect_list("name")).alias("notable_files"))
 
 
 # A9

@@ -18,7 +18,7 @@ def _routes_query(qname: str, parser: str):
 
     @query(qname, sql)
     def q(spark, sf_dir):
-        r = R.dedupe_routes(R.PARSERS[parser](route_corpus(spark, sf_dir)))
+        r = R.routes(route_corpus(spark, sf_dir), [parser])
         return r.select("repo_id", "method", "path", "controller")
     q.__name__ = qname
     return q
@@ -61,7 +61,7 @@ SELECT DISTINCT repo_id, framework FROM (
   SELECT repo_id, 'fastapi' FROM ev WHERE fw = 3 AND event_id % 2 = 0 AND NOT cancel AND NOT noise) x
 """)
 def route_frameworks(spark, sf_dir):
-    return R.route_frameworks(route_corpus(spark, sf_dir)).select("repo_id", "framework")
+    return R.route_frameworks(R.scanned_routes(route_corpus(spark, sf_dir))).select("repo_id", "framework")
 
 
 # Direct columns -------------------------------------------------------------------------

@@ -68,7 +68,7 @@ def test_routes_and_frameworks(files):
     routes = {(r.method, r.path, r.controller) for r in R.routes(f).collect()}
     assert routes == {("GET", "/api/health", "server.Health"), ("GET", "/py/health", "health"),
                       ("GET", "/web/health", "healthHandler")}
-    c = SN.census(f)
+    c = SN.census(f, materialize=True)
     fws = {r.framework for r in c.frameworks.collect()}
     assert fws == {"express", "fastapi", "gin", "react"}
     langs = sorted(r.language for r in c.languages.collect())
@@ -106,7 +106,7 @@ def test_dependency_graph(files):
 
 
 def test_snapshot_row_and_summary(files):
-    c = SN.census(_sample(files))
+    c = SN.census(_sample(files), materialize=True)
     snap = SN.snapshot_rows(c, "/work/").collect()[0]
     assert snap.projectStats.totalFiles == 14
     assert [g.prefix for g in snap.apiGroups] == ["/api", "/py", "/web"]
@@ -120,7 +120,7 @@ def test_snapshot_row_and_summary(files):
 def test_documents(files):
     from codecensus.operators import structure as S
     f = _sample(files)
-    c = SN.census(f)
+    c = SN.census(f, materialize=True)
     keys = f.select("repo_id").distinct()
     ep = RP.endpoints_doc_lines(keys, c.routes.select("repo_id", "method", "path", "controller"))
     text = RP.render_text(ep).collect()[0].body
@@ -141,7 +141,7 @@ def test_documents(files):
 def test_architecture_and_layers(files):
     from codecensus.operators import structure as S
     f = _sample(files)
-    c = SN.census(f)
+    c = SN.census(f, materialize=True)
     raw = G.raw_edges(f)
     doc = RP.architecture_doc_lines(SN.snapshot_rows(c), S.directory_layout(c.facts), G.layer_edges(raw, c.frameworks))
     body = RP.render_text(doc).collect()[0].body
@@ -156,7 +156,7 @@ def test_architecture_and_layers(files):
                 ("app/Http/Controllers/OrderController.php", "<?php\nnamespace App\\Http\\Controllers;\nuse App\\Services\\OrderService;\n"),
                 ("app/Services/OrderService.php", "<?php\nnamespace App\\Services;\nuse App\\Models\\{Order, Line as L};\n"),
                 ("tests/Feature/OrderTest.php", "<?php\nnamespace Tests\\Feature;\nuse App\\Models\\Order;\n")], repo="lv")
-    lc = SN.census(lf)
+    lc = SN.census(lf, materialize=True)
     lines = [r.line for r in RP.layer_graph_lines(G.layer_edges(G.raw_edges(lf), lc.frameworks)).orderBy("p").collect()]
     assert lines == ["~~~mermaid", "graph LR", '  L_Http["Http"]', '  L_Services["Services"]', '  L_Models["Models"]',
                      "  L_Http --> L_Services", "  L_Services --> L_Models", "~~~"]

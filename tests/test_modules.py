@@ -35,3 +35,17 @@ def test_go_imports(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()], "k string, c string")
     got = {r.k: r.i for r in df.select("k", import_paths(F.col("c")).alias("i")).collect()}
     assert got == {k: v[1] for k, v in CASES.items()}
+
+
+def test_go_routes_by_pointers(spark, files):
+    """Groups that hang on dead, renamed and redeclared variables, and a deep chain."""
+    from codecensus.operators import routes as R
+    odd = ('a := x.Group("/no")\na.GET("/dead", h)\nr.GET("/byname", h)\nb := gin.New()\nb := y.Group("/still")\nb.GET("/live", h)\n'
+           'c := b.Group("/c")\nc := c.Group("/d")\nc.POST("/e", h)\ne := echo.New()\nz := q.Group("/z")\nq := e.Group("/q")\nz.GET("/deadz", h)\n')
+    deep = "r := gin.Default()\n" + "".join(f'g{k} := {f"g{k - 1}" if k else "r"}.Group("/p{k}")\n' for k in range(70)) + 'g69.GET("/x", h)\n'
+    f = files([("odd.go", odd), ("deep.go", deep), ("none.go", "r := gin.Default()\n")])
+    rows = R.scanned_routes(f, ["go"]).collect()
+    got = {(r.rel_path, r.method, r.path) for r in rows if r.method}
+    assert got == {("odd.go", "GET", "/byname"), ("odd.go", "GET", "/still/live"), ("odd.go", "POST", "/still/c/d/e"),
+                   ("deep.go", "GET", "".join(f"/p{k}" for k in range(70)) + "/x")}
+    assert {(r.rel_path, r.framework) for r in rows if not r.method} == {("odd.go", "echo"), ("odd.go", "gin"), ("deep.go", "gin")}

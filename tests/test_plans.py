@@ -18,3 +18,21 @@ def test_parser_pushdown_and_partitioning(spark, tmp_path):
     # exactly one exchange: the file-keyed window; the last-wins aggregate reuses its partitioning
     assert plan.count("Exchange hashpartitioning(repo_id") == 1
     assert [tuple(r) for r in M.dependencies(files, ["go"]).select("name", "version").collect()] == [("a", "v1")]
+
+
+def test_snapshot_assembly_needs_no_exchange(spark, files):
+    """Over the bucketed tables of a census, all groupings and joins of the snapshot rows stay inside their bucket."""
+    from codecensus.operators import snapshot as SN
+    c = SN.census(files([("go.mod", "module m\nrequire a v1\n"), ("main.go", "package main\n")]), route_parsers=["express"], managers=["go"], materialize=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        snap = SN.snapshot_rows(c)
+        plan = snap._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") >= 8
+        row = snap.collect()[0]
+        assert row.projectStats.totalFiles == 2 and row.directoryLayout[0].notableFiles == ["go.mod", "main.go"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tables = list(c.tables)
+    c.drop()
+    assert tables and not any(spark.catalog.tableExists(t) for t in tables)
