@@ -164,3 +164,45 @@ def test_ingest_links_shards_and_pushed_filters(spark, tmp_path, monkeypatch):
     assert {r.rel_path for r in some.collect()} == {"d3/f3.Go"}
     plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
     assert "EqualTo(ext,.go)" in plan and "In(base, [f0.Go,f3.Go,f4.py])" in plan
+
+
+def test_lenient_snapshots(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from codecensus.sources.snapshot_io import read_snapshots_lenient
+    good = {"projectName": "x", "languages": ["go"], "routes": [{"method": "GET", "path": "/", "controller": "h"}], "unknown": 1}
+    (tmp_path / "pretty.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join([json.dumps(good), json.dumps({"projectName": 5, "routes": "none", "frameworks": None}), '{"torn": ', "[1]", ""]))
+    seen = Observation("snapshots")
+    rows = read_snapshots_lenient(spark, str(tmp_path), seen).collect()
+    assert sorted((r.projectName or "", r.corrupt, tuple(sorted(r.rescued))) for r in rows) == [
+        ("", True, ("_corrupt",)), ("", True, ("_corrupt",)), ("5", False, ("routes",)), ("x", False, ()), ("x", False, ())]
+    assert all(r.frameworks == [] and r.dependencies == {} for r in rows)
+    assert seen.get == {"documents": 5, "corrupt": 2, "rescued_fields": 1}
+
+
+def test_container_and_json_fragments(spark, tmp_path):
+    from codecensus.operators import json_documents as J
+    from codecensus.sources import containers as C
+    # one hot document that spans shards, and small ones around it
+    rows = [("hot", "a.md", i, f"line {i} é") for i in range(5000)] + [("r", "b.md", 1, ""), ("r", "b.md", 2, "x"), ("z", "b.md", 1, "only")]
+    lines = spark.createDataFrame(rows, "repo_id string, artifact string, line_no long, line string").repartition(5)
+    path = str(tmp_path / "c")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    index = C.write_container(lines, ["repo_id", "artifact"], ["line_no"], path)
+    spark.conf.set(merge, "true")
+    assert index.filter("repo_id = 'hot'").count() > 1
+    assert C.read_document(spark, path, repo_id="hot", artifact="a.md") == "".join(f"line {i} é\n" for i in range(5000))
+    assert C.read_document(spark, path, repo_id="r", artifact="b.md") == "\nx\n"
+    ch = spark.createDataFrame([("r", "languages", "added", None, 'q"\\', None, None), ("r", "languages", "added", None, "b", None, None),
+                                ("r", "dependencies", "removed", "pip", "n", "1", None), ("r", "dependencies", "removed", "go", "m", "2", None),
+                                ("r", "dependencies", "removed", "go", "a", "2", None), ("r", "routes", "added", None, "GET", "/a", "h")],
+                               "repo_id string, kind string, op string, manager string, key1 string, key2 string, key3 string")
+    repos = spark.createDataFrame([("r",), ("quiet",)], "repo_id string")
+    f = J.diff_fragments(repos, ch).orderBy("repo_id", *J.ORDER).collect()
+    docs = {k: json.loads("\n".join(r.text for r in f if r.repo_id == k)) for k in ("r", "quiet")}
+    assert list(docs["r"])[:2] == ["addedLanguages", "removedLanguages"] and docs["r"]["addedLanguages"] == ["b", 'q"\\']
+    assert docs["r"]["removedDependencies"] == {"go": [{"name": "a", "version": "2"}, {"name": "m", "version": "2"}], "pip": [{"name": "n", "version": "1"}]}
+    assert docs["r"]["addedRoutes"] == [{"method": "GET", "path": "/a", "controller": "h"}]
+    assert set(map(str, docs["quiet"].values())) == {"[]", "{}"}
