@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,14 +68,53 @@ def unpacked(df: DataFrame, row: str, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{row}.c{i}") for i in range(len(names))]).toDF(*names)
 
 
+#: Tables written inside each open scratch, innermost last.
+_OPEN: list[list[str]] = []
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write as parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """Write as parquet in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Inside a ``scratch`` the table goes with it, and the shuffle files that made it go at once.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not _OPEN:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    _OPEN[-1].append(path)
+    before = spark.conf.get(_FILES_GO, None)
+    try:
+        spark.conf.set(_FILES_GO, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FILES_GO) if before is None else spark.conf.set(_FILES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``saved`` inside are deleted at the end; what ``kept`` wrote stays for the caller."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``saved`` for a result that outlives the innermost scratch."""
+    out = saved(df, name)
+    if _OPEN:
+        path = _OPEN[-1].pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(path)
+    return out
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, mix, pack, shingles, unpack, word_hashes
-from .common import Batches, batch, joined, pick, prepare, saved, table, unpacked
+from .common import Batches, batch, joined, kept, pick, prepare, saved, scratch, table, unpacked
 from .components import components
 
-#: Minwise values of a document; a branch uses one of them.
+#: Minwise values of a document; a tree's root takes DEPTH of them, a branch one.
 POSITIONS = 64
-#: Independent trees. Two documents part at a tree's first branch with the probability 1 - J, in all of them with (1 - J) ** TREES.
-TREES = 10
-#: Branches that a member of a large node follows: more than 1 / J, so that a pair's paths multiply faster than they break.
-BRANCHES = 2
+#: Independent trees, and the branches that a root stands for. Two documents share no root with (1 - J ** DEPTH) ** TREES.
+TREES, DEPTH = 12, 2
 #: A node is small when this many members or fewer are outside its largest known component.
 SMALL = 64
 #: Members of a tile when few members are compared with many.
@@ -38,7 +36,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
     low = np.full(POSITIONS, np.iinfo(np.uint64).max, U)
     for at in range(0, len(h), _PART):
         low = np.minimum(low, (h[at:at + _PART, None] * _A[0] + _A[1]).min(0))
-    return (low >> U(32)).astype(np.uint32).view(np.int32)
+    return (mix(low) >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -284,19 +282,23 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(cid, comp) for classes that have a link, from a written table (cid, n, s1, s2, text_key, sketch)."""
-    least = percent / 100
     join = Join(classes, docs, percent)
-    sketches = classes.select("cid", "sketch")
-    root = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("cid", "sketch", root.alias("tree")).select(
-        _branch(F.col("tree"), (F.col("tree") * (POSITIONS // TREES)).cast("int")).alias("node"), "cid")
-    members = _shared(saved(rows, "rooted"))
+    _grow(join, classes.select("cid", "sketch"), percent / 100)
+    if join.known is None:
+        return classes.select("cid", F.col("cid").alias("comp")).limit(0)
+    return join.known.select(F.col("node").alias("cid"), "comp")
+
+
+def _grow(join: Join, sketches: DataFrame, least: float) -> None:
+    """Compare the nodes of all trees, level by level, until none is large."""
+    roots = [F.xxhash64(F.lit(t), *[F.element_at("sketch", t * DEPTH + d + 1) for d in range(DEPTH)]) for t in range(TREES)]
+    members = _shared(saved(sketches.select(F.explode(F.array(*roots)).alias("node"), "cid"), "rooted"))
     for level in range(LEVELS + 1):
         # members are narrow; their minwise values come along only where they are looked at
         members = join.labelled(members)
         sizes = saved(_node_sizes(members), "node-sizes")
         if not sizes.limit(1).count():
-            break
+            return
         members = saved(members.join(sizes, "node"), "open-members")
         large = members.filter(F.col("outer_n") > SMALL)
         found = _tiled(members.filter(F.col("outer_n") <= SMALL).join(sketches, "cid"), least)
@@ -305,17 +307,16 @@ def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
             found = found.union(_hubs(wide, least) if level < LEVELS else _blocked(wide, least))
         join.confirm(found)
         if level == LEVELS or not large.limit(1).count():
-            break
+            return
         # members of large nodes branch; nodes that have become one component end
         left = join.labelled(large.select("node", "cid"))
         left = left.join(saved(_node_sizes(left).select("node"), "open-nodes"), "node").join(sketches, "cid")
-        turns = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
+        # about 1 / J branches: pairs at the threshold then keep their number of common paths from level to level
+        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit("second")), F.lit(1 << 30)) / float(1 << 30) < 1 / least - 1
+        turns = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         rows = left.select("node", "cid", "sketch", turns.alias("turn")).withColumn("at", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(POSITIONS)).cast("int"))
         rows = rows.select(_branch(F.xxhash64("node", "turn"), F.col("at")).alias("node"), "cid").distinct()
         members = _shared(saved(rows, "branched"))
-    if join.known is None:
-        return classes.select("cid", F.col("cid").alias("comp")).limit(0)
-    return join.known.select(F.col("node").alias("cid"), "comp")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) -> DataFrame:
@@ -328,8 +329,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) ->
     texts have no set and link with nothing. Equal sets form one class that is compared once. Repeated rows share a class;
     of equal rows all are kept or none. A null doc_id is a component's id only where no other is. Every link
     returned was confirmed on full sets; a pair of which
-    some shared node is small is missed with a probability below (1 - J) ** TREES, 1e-8 at 0.85.
+    some shared node is small is missed with a probability below (1 - J ** DEPTH) ** TREES, 1e-6 at 0.85 and 1e-5 at 0.8.
+    The tables written on the way are deleted; the result is a written table.
     """
+    with scratch(docs.sparkSession):
+        return kept(_near_duplicates(docs, percent, groups), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, groups: bool) -> DataFrame:
     src = keyed(docs)
     signed = saved(src.mapInArrow(sign, SIGNED), "signed")
     keys = ["n", "s1", "s2"]
@@ -362,14 +369,18 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without near-duplicates: of each component one row with the smallest doc_id stays, of several texts
     under that doc_id the one with the smallest key. Of equal rows (doc_id, text) without words one stays. Rows that share
     no more than a doc_id, or have none, are different documents. Columns as in docs."""
+    with scratch(docs.sparkSession):
+        return _deduplicated(docs, near_duplicates(docs, percent, groups=True))
+
+
+def _deduplicated(docs: DataFrame, found: DataFrame) -> DataFrame:
     names, key = docs.columns, ["doc_id", "text_key"]
-    found = saved(near_duplicates(docs, percent, groups=True), "near-duplicates")
-    kept = found.filter("kept")
-    stay = kept.filter("comp is not null").groupBy("comp").agg(F.min("text_key").alias("stays"), F.max("text_key").alias("most")).filter("stays < most")
-    second = joined(kept.filter("comp is not null"), saved(stay.select("comp", "stays"), "several-texts"), ["comp"], "inner").filter("text_key > stays")
+    first = found.filter("kept")
+    stay = first.filter("comp is not null").groupBy("comp").agg(F.min("text_key").alias("stays"), F.max("text_key").alias("most")).filter("stays < most")
+    second = joined(first.filter("comp is not null"), saved(stay.select("comp", "stays"), "several-texts"), ["comp"], "inner").filter("text_key > stays")
     gone = found.filter(~F.col("kept")).select(*key).union(second.select(*key)).distinct()
-    gone = saved(gone.withColumn("gone", F.lit(True)), "gone")
-    again = saved(kept.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key, F.lit(True).alias("again")), "again")
+    gone = kept(gone.withColumn("gone", F.lit(True)), "gone")
+    again = kept(first.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key, F.lit(True).alias("again")), "again")
     rows = pick(docs, "doc_id", "text", row="_row").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "_row")
     rows = joined(joined(rows, gone, key).filter("gone is null"), again, key)
