@@ -47,7 +47,7 @@ def read_census(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     if name == "project_stats":
         counts = [c for c in df.columns if c not in SNAP_KEY]
         return df.groupBy(*SNAP_KEY).agg(*[F.sum(c).alias(c) for c in counts])
-    return df.distinct() if name == "routes" else df
+    return df.distinct() if name in ("routes", "infrastructure") else df
 
 
 def start_census_stream(spark: SparkSession, files_dir: str, out_dir: str, checkpoint: str,
