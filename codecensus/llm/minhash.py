@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, mix, pack, shingles, unpack, word_hashes
 from .common import Batches, batch, joined, kept, pick, prepare, saved, scratch, table, unpacked
 from .components import components
 
-#: Minwise values of a document; a tree's root takes DEPTH of them, a branch one.
+#: Minwise values of a document; a tree's root takes DEPTH of them, a branch STEP.
 POSITIONS = 64
 #: Independent trees, and the branches that a root stands for. Two documents share no root with (1 - J ** DEPTH) ** TREES.
-TREES, DEPTH = 12, 2
+TREES, DEPTH = 20, 3
 #: A node is small when this many members or fewer are outside its largest known component.
 SMALL = 64
 #: Members of a tile when few members are compared with many.
 TILE = 512
 #: A pair is confirmed on full sets when its minwise agreement is within 5 standard deviations of the threshold.
 DEVIATIONS = 5.0
-#: Levels after which a node that branching didn't make small is compared in tiles, however large it is.
-LEVELS = 8
+#: Levels that a large node branches before its nodes are compared, and how often that is done; a node that is large even then
+#: is compared in tiles, however large it is.
+LEVELS, ROUNDS, STEP = 3, 1, 2
+#: Packed sets of so many bytes in all are broadcast to the pairs; beyond it both meet by shuffles.
+SETS_BYTES = 16 << 20
 _A = np.random.default_rng(977).integers(1, 2**62, (2, POSITIONS), dtype=np.int64).view(U)
 _A[0] |= U(1)
 _PART = 1 << 15
@@ -160,6 +165,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
+    if (sets.agg(F.sum(F.length("set"))).first()[0] or 0) <= SETS_BYTES:
+        pairs, one, two = pairs.repartition("a").sortWithinPartitions("a"), F.broadcast(one), F.broadcast(two)
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
@@ -169,6 +176,7 @@ class Join:
     def __init__(self, classes: DataFrame, docs: DataFrame, percent: int):
         self.classes, self.docs, self.percent = classes, docs, percent
         self.known: DataFrame | None = None
+        self.sets: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
         """Check candidates (a, b, tree): first the best pairs that would span a node's groups, then those that still
@@ -177,14 +185,17 @@ class Join:
         if not pairs.limit(1).count():
             return
         need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets.select("cid"), "cid", "left_anti")
         need = saved(self.classes.select("cid", "text_key").join(need, "cid"), "needed")
         found = joined(self.docs.select("text_key", "text"), need.select("text_key", "cid"), ["text_key"], "inner")
         sets = saved(found.select("cid", "text").mapInArrow(full_sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
         for tree in (True, False):
             left = saved(self.unjoined(pairs.filter(F.col("tree") == tree)), "left")
             if not left.limit(1).count():
                 continue
-            new = saved(_verify(left, sets, self.percent), "links")
+            new = saved(_verify(left, self.sets, self.percent), "links")
             if new.limit(1).count():
                 self.join(new)
 
@@ -270,10 +281,6 @@ def _hubs(members: DataFrame, least: float) -> DataFrame:
     return rows.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.lit(True).alias("tree"))
 
 
-def _branch(node: Column, position: Column) -> Column:
-    return F.xxhash64(node, position, F.element_at("sketch", position + 1))
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """Of a written table (node, cid) the rows whose node has another member."""
     many = rows.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
@@ -289,34 +296,53 @@ def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     return join.known.select(F.col("node").alias("cid"), "comp")
 
 
+def _open_nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of nodes that hold more than one component, with their node's sizes: those of small nodes, those of large ones."""
+    rows = saved(members.join(_node_sizes(members), "node"), "open-members")
+    return rows.filter(F.col("outer_n") <= SMALL), rows.filter(F.col("outer_n") > SMALL)
+
+
+def _branched(large: DataFrame, sketches: DataFrame, least: float, level: int) -> DataFrame:
+    """Members (node, cid) of the nodes one level further. About 1 / J ** STEP branches: pairs at the threshold then keep their
+    number of common paths from level to level."""
+    second = F.pmod(F.xxhash64("node", F.lit(level), F.lit("second")), F.lit(1 << 30)) / float(1 << 30) < 1 / least**STEP - 1
+    turns = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = large.join(sketches, "cid").select("node", "cid", "sketch", turns.alias("turn"))
+    # every level has positions of its own, so that none comes twice on a path
+    span = POSITIONS // (LEVELS * ROUNDS * STEP)
+    at = [(F.pmod(F.xxhash64("node", "turn", F.lit(level), F.lit(k)), F.lit(span)) + (level * STEP + k) * span).cast("int") for k in range(STEP)]
+    node = F.xxhash64("node", "turn", *at, *[F.element_at("sketch", p + 1) for p in at])
+    return saved(rows.select(node.alias("node"), "cid").distinct(), "branched")
+
+
 def _grow(join: Join, sketches: DataFrame, least: float) -> None:
-    """Compare the nodes of all trees, level by level, until none is large."""
+    """Compare the nodes of all trees.
+
+    A round compares small nodes exhaustively and the members of large ones with the member at the centre, and confirms what it
+    found at once. What still holds several components then branches for some levels, without a look at the pairs, before
+    the next round; nodes that get small on the way wait for it. Members are narrow; their minwise values come along only
+    where they are looked at.
+    """
     roots = [F.xxhash64(F.lit(t), *[F.element_at("sketch", t * DEPTH + d + 1) for d in range(DEPTH)]) for t in range(TREES)]
     members = _shared(saved(sketches.select(F.explode(F.array(*roots)).alias("node"), "cid"), "rooted"))
-    for level in range(LEVELS + 1):
-        # members are narrow; their minwise values come along only where they are looked at
-        members = join.labelled(members)
-        sizes = saved(_node_sizes(members), "node-sizes")
-        if not sizes.limit(1).count():
-            return
-        members = saved(members.join(sizes, "node"), "open-members")
-        large = members.filter(F.col("outer_n") > SMALL)
-        found = _tiled(members.filter(F.col("outer_n") <= SMALL).join(sketches, "cid"), least)
-        if large.limit(1).count():
+    few, large = _open_nodes(join.labelled(members))
+    small = [few]
+    for again in range(ROUNDS + 1):
+        found = _tiled(reduce(DataFrame.union, small).join(sketches, "cid"), least)
+        over = large.isEmpty()
+        if not over:
             wide = saved(large.join(sketches, "cid"), "large-members")
-            found = found.union(_hubs(wide, least) if level < LEVELS else _blocked(wide, least))
+            found = found.union(_hubs(wide, least) if again < ROUNDS else _blocked(wide, least))
         join.confirm(found)
-        if level == LEVELS or not large.limit(1).count():
+        if over or again == ROUNDS:
             return
-        # members of large nodes branch; nodes that have become one component end
-        left = join.labelled(large.select("node", "cid"))
-        left = left.join(saved(_node_sizes(left).select("node"), "open-nodes"), "node").join(sketches, "cid")
-        # about 1 / J branches: pairs at the threshold then keep their number of common paths from level to level
-        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit("second")), F.lit(1 << 30)) / float(1 << 30) < 1 / least - 1
-        turns = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-        rows = left.select("node", "cid", "sketch", turns.alias("turn")).withColumn("at", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(POSITIONS)).cast("int"))
-        rows = rows.select(_branch(F.xxhash64("node", "turn"), F.col("at")).alias("node"), "cid").distinct()
-        members = _shared(saved(rows, "branched"))
+        few, large = _open_nodes(join.labelled(large.select("node", "cid")))
+        small = [few]
+        for level in range(again * LEVELS, (again + 1) * LEVELS):
+            if large.isEmpty():
+                break
+            few, large = _open_nodes(join.labelled(_branched(large.select("node", "cid"), sketches, least, level)))
+            small.append(few)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) -> DataFrame:
@@ -329,7 +355,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) ->
     texts have no set and link with nothing. Equal sets form one class that is compared once. Repeated rows share a class;
     of equal rows all are kept or none. A null doc_id is a component's id only where no other is. Every link
     returned was confirmed on full sets; a pair of which
-    some shared node is small is missed with a probability below (1 - J ** DEPTH) ** TREES, 1e-6 at 0.85 and 1e-5 at 0.8.
+    some shared node is small is missed with a probability below (1 - J ** DEPTH) ** TREES, 1e-8 at 0.85 and 1e-6 at 0.8.
     The tables written on the way are deleted; the result is a written table.
     """
     with scratch(docs.sparkSession):

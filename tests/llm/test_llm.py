@@ -273,7 +273,7 @@ def test_minhash_components(spark, docs, empty, monkeypatch):
         monkeypatch.setattr(minhash, "TILE", 8)
         out = minhash.near_duplicates(docs).filter("doc_id is not null")
         assert got(out, "doc_id", "n_shingles", "component_id", "kept") == want
-    monkeypatch.setattr(minhash, "LEVELS", 0)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
     assert got(minhash.near_duplicates(docs).filter("doc_id is not null"), "doc_id", "n_shingles", "component_id", "kept") == want
     assert minhash.near_duplicates(empty).count() == 0
     left = minhash.deduplicated(docs, 85)
