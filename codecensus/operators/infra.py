@@ -21,20 +21,37 @@ from ..sources.lines import explode_lines, nonblank
 
 
 # I1
+_SERVICES = list(dict.fromkeys(svc for svc, _ in fixed.INFRA_VOCABULARY))
+
+
+def _bit(service: str) -> Column:
+    return F.lit(1 << _SERVICES.index(service)).cast("bigint")
+
+
 def _vocabulary() -> Column:
-    return F.array(*[F.struct(F.lit(svc).alias("service"), F.array(*[F.lit(t) for t in trig]).alias("triggers"))
+    return F.array(*[F.struct(F.lit(svc).alias("service"), _bit(svc).alias("bit"), F.array(*[F.lit(t) for t in trig]).alias("triggers"))
                      for svc, trig in fixed.INFRA_VOCABULARY])
 
 
-def detect_service(value) -> Column:
-    """First service of the fixed vocabulary whose trigger occurs in lower(value); NULL if none.
+def _first_entry(value) -> Column:
+    """First entry of the fixed vocabulary whose trigger occurs in lower(value); NULL if none.
 
     Written as one array filter (a compact expression: the 17-way CASE inflates
     generated code past the JVM method limit when used several times per row).
     """
     v = F.lower(F.col(value) if isinstance(value, str) else value)
     hits = F.filter(_vocabulary(), lambda s: F.exists(s.triggers, lambda t: F.instr(v, t) > 0))
-    return F.try_element_at(hits, F.lit(1)).getField("service")
+    return F.try_element_at(hits, F.lit(1))
+
+
+def detect_service(value) -> Column:
+    """The service that a value names; NULL if none."""
+    return _first_entry(value).getField("service")
+
+
+def _service_bits(value) -> Column:
+    """The service that a value names as a bit of a set of services; 0 if none."""
+    return F.coalesce(_first_entry(value).getField("bit"), F.lit(0).cast("bigint"))
 
 
 # I7
@@ -59,16 +76,16 @@ def _hits(df: DataFrame, svc: Column, source: str) -> DataFrame:
 
 # I2
 def _compose_step(acc: Column, e: Column) -> Column:
+    """One event line; the state is a flag, two indents and a bit per service found, whatever the file's length."""
     def st(ins, si, ci, found):
         return F.struct(ins.alias("ins"), si.alias("si"), ci.alias("ci"), found.alias("found"))
     enter = st(F.lit(True), e.indent, acc.ci, acc.found)
     outside = F.when(e.t == "services:", enter).otherwise(acc)
     leave = st(F.lit(False), acc.si, acc.ci, acc.found)
-    key_svc = detect_service(F.substring(e.t, 1, F.length(e.t) - 1))
-    service = st(acc.ins, acc.si, e.indent, F.when(key_svc.isNotNull(), F.concat(acc.found, F.array(key_svc))).otherwise(acc.found))
+    service = st(acc.ins, acc.si, e.indent, acc.found.bitwiseOR(_service_bits(F.substring(e.t, 1, F.length(e.t) - 1))))
     ci = F.when((acc.ci != -1) & (e.indent <= acc.ci), F.lit(-1)).otherwise(acc.ci)
-    img = detect_service(trim_chars(trim_space(e.t.substr(F.lit(7), F.length(e.t))), "\"'"))
-    image = F.when((ci != -1) & e.t.startswith("image:") & img.isNotNull(), F.concat(acc.found, F.array(img))).otherwise(acc.found)
+    img = _service_bits(trim_chars(trim_space(e.t.substr(F.lit(7), F.length(e.t))), "\"'"))
+    image = F.when((ci != -1) & e.t.startswith("image:"), acc.found.bitwiseOR(img)).otherwise(acc.found)
     inside = (F.when((e.indent <= acc.si) & ~e.t.startswith("-"), leave)
               .when(is_yaml_key(e.t) & (e.indent == acc.si + 2), service)
               .otherwise(st(acc.ins, acc.si, ci, image)))
@@ -81,10 +98,11 @@ def compose_services(files: DataFrame) -> DataFrame:
     ev = F.transform(raw, lambda x: F.struct(trim_space(x).alias("t"), leading_indent(x).alias("indent")))
     ev = F.filter(ev, lambda e: (e.t != "") & ~e.t.startswith("#"))
     init = F.struct(F.lit(False).alias("ins"), F.lit(-1).alias("si"), F.lit(-1).alias("ci"),
-                    F.expr("cast(array() as array<string>)").alias("found"))
-    found = F.aggregate(ev, init, _compose_step).getField("found")
-    out = f.select(*FILE_KEY, F.explode(F.array_distinct(found)).alias("service"))
-    return out.withColumn("source", F.lit("compose"))
+                    F.lit(0).cast("bigint").alias("found"))
+    found = f.select(*FILE_KEY, F.aggregate(ev, init, _compose_step).getField("found").alias("found")).filter("found <> 0")
+    known = F.array(*[F.struct(F.lit(s).alias("service"), _bit(s).alias("bit")) for s in _SERVICES])
+    out = found.select(*FILE_KEY, F.explode(F.filter(known, lambda k: k.bit.bitwiseAND(F.col("found")) != 0)).alias("k"))
+    return out.select(*FILE_KEY, "k.service", F.lit("compose").alias("source"))
 
 
 # I3

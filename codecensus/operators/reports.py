@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.running import running_total
-from ..functions.text import list_text, mermaid_id, mermaid_label
+from ..functions.text import display_project_name, list_text, mermaid_id, mermaid_label
 from ..session import saved
 from . import modules as G
 
@@ -317,13 +317,14 @@ def readme_doc_lines(snap: DataFrame, layout: DataFrame, artifact: str = "README
         x = snap.select("repo_id", F.explode(arr).alias("m"))
         return _rows(x, artifact, block, [F.col("m.i")], F.col("m.line"))
 
-    title = snap.select("repo_id", F.concat(F.lit("# "), F.col("projectName"), F.lit(" Documentation")).alias("t"))
+    name = display_project_name(F.col("projectName"), F.col("projectPath"))
+    title = snap.select("repo_id", F.concat(F.lit("# "), name, F.lit(" Documentation")).alias("t"))
     entry = snap.select("repo_id", F.explode("entryPoints").alias("entry_point"))
     blocks = [
         _rows(title, artifact, 0, [F.lit(0)], F.col("t")),
         _lit_lines(keys, artifact, 1, ["", "Generated from repository manifests, source files, and detected API surface.", "",
                                        "## Repository Summary", "", "| Field | Value |", "|---|---|"]),
-        metric_rows(2, [("Project", F.col("projectName")), ("Path", F.col("projectPath")), ("Scanned at", F.col("scannedAt")),
+        metric_rows(2, [("Project", name), ("Path", F.col("projectPath")), ("Scanned at", F.col("scannedAt")),
                         ("Languages", list_text(F.col("languages"))), ("Frameworks", list_text(F.col("frameworks"))),
                         ("Package managers", list_text(F.col("packageManagers")))]),
         _lit_lines(keys, artifact, 3, ["", "## Repository Shape", "", "| Metric | Value |", "|---|---|"]),
@@ -345,8 +346,9 @@ def readme_doc_lines(snap: DataFrame, layout: DataFrame, artifact: str = "README
     return assemble(reduce(DataFrame.unionByName, blocks))
 
 
-def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
-    """The markdown document set of every snapshot as line rows."""
+def documents(census, raw_edges: DataFrame, scanned_at: str | None = None) -> DataFrame:
+    """The seven markdown documents of every snapshot as line rows; a repository without dependencies or without module
+    edges has no document of them. Snapshot rows and layout are written once and read by two documents each."""
     from . import modules as G
     from . import snapshot as SN
     from . import structure as S
@@ -355,15 +357,14 @@ def documents(census, raw_edges: DataFrame | None = None) -> DataFrame:
     deps = c.dependencies.select("repo_id", "manager", "name", "version")
     routes = c.routes.select("repo_id", "method", "path", "controller")
     facts = c.facts
-    layout = S.directory_layout(facts)
-    snap = SN.snapshot_rows(c)
+    layout = saved(S.directory_layout(facts), "document-layout")
+    snap = saved(SN.snapshot_rows(c, scanned_at=scanned_at), "document-snapshots")
     parts = [
         readme_doc_lines(snap, layout),
         project_structure_doc_lines(keys, S.project_stats(facts), S.manifest_inventory(facts),
                                     S.entry_points(facts).select("repo_id", "entry_point"), layout),
         dependencies_doc_lines(deps), endpoints_doc_lines(keys, routes), dependency_graph_lines(deps),
+        module_graph_lines(G.overview_edges(raw_edges)),
+        architecture_doc_lines(snap, layout, G.layer_edges(raw_edges, c.frameworks)),
     ]
-    if raw_edges is not None:
-        parts.append(module_graph_lines(G.overview_edges(raw_edges)))
-        parts.append(architecture_doc_lines(snap, layout, G.layer_edges(raw_edges, c.frameworks)))
     return reduce(DataFrame.unionByName, parts)

@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its queries are registered."""
-    from . import q_structure, q_manifests, q_routes, q_infra, q_modules, q_diff, q_snapshot, q_reports, q_sources, q_documents  # noqa: F401
+    from . import q_structure, q_manifests, q_routes, q_infra, q_modules, q_diff, q_snapshot, q_reports, q_sources, q_documents, q_document_set  # noqa: F401

@@ -81,6 +81,26 @@ def test_update_removes_stale_documents(spark, tmp_path):
     assert DR.check(a, b).count() == 0
 
 
+def test_update_writes_touched_buckets_only(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame(xs, "repo_id string, artifact string, line_no bigint, line string")
+    path = tmp_path / "docs"
+    names = [f"r{i}" for i in range(60)]
+    DR.write_update(str(path), rows([(n, "a.md", 1, "old") for n in names]))
+    first = {p: p.stat().st_mtime_ns for p in path.rglob("version=*/bucket=*/*.parquet")}
+    after = DR.write_update(str(path), rows([("r7", "a.md", 1, "new"), ("r7", "a.md", 2, "more")]))
+    assert {(r.repo_id, r.line) for r in after.collect()} == {(n, "old") for n in names if n != "r7"} | {("r7", "new"), ("r7", "more")}
+    versions = sorted(path.glob("version=*"))
+    assert len(versions) == 2 and len(list(versions[1].glob("bucket=*"))) == 1
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items())
+    # an update that leaves nothing of a repository, one of nothing, and one that never became complete
+    gone = DR.write_update(str(path), rows([("r8", "index.html", 1, "x")]), ["a.md"])
+    assert "r8" not in {r.repo_id for r in gone.collect()} and gone.count() == 60
+    assert DR.write_update(str(path), rows([])).count() == 60 and len(list(path.glob("version=*"))) == 3
+    (sorted(path.glob("version=*"))[-1] / "_SUCCESS").unlink()
+    assert "r8" in {r.repo_id for r in DR.read_documents(spark, str(path)).collect()}
+    assert DR.write_update(str(path), rows([("r9", "a.md", 1, "later")])).filter("repo_id = 'r9'").collect()[0].line == "later"
+
+
 def test_load_or_scan_persists(spark, tmp_path):
     wanted = spark.createDataFrame([("a", "s1"), ("b", "s1")], "repo_id string, snapshot_id string")
     path, scanned = str(tmp_path / "snaps"), []

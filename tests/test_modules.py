@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codecensus.functions.golang import import_paths
+from codecensus.operators import modules as G
 
 CASES = {
     'plain': ('package p\nimport "m/x"\nfunc F(){}\nimport "m/late"\n', ["m/x"]),
@@ -49,3 +50,13 @@ def test_go_routes_by_pointers(spark, files):
     assert got == {("odd.go", "GET", "/byname"), ("odd.go", "GET", "/still/live"), ("odd.go", "POST", "/still/c/d/e"),
                    ("deep.go", "GET", "".join(f"/p{k}" for k in range(70)) + "/x")}
     assert {(r.rel_path, r.framework) for r in rows if not r.method} == {("odd.go", "echo"), ("odd.go", "gin"), ("deep.go", "gin")}
+
+
+def test_namespaces_meet_their_longest_prefix(spark):
+    maps = spark.createDataFrame([("r", "s", "App\\", "app", 0), ("r", "s", "App\\Jobs\\", "jobs", 0), ("r", "s", "Vend", "vendor-src", 1),
+                                  ("q", "s", "App\\", "other", 0)], "repo_id string, snapshot_id string, prefix string, dir string, prio int")
+    names = ["App\\X", "App\\Jobs\\Y", "\\App\\Z", "Vendor\\A", "Ap", "", "Other\\App\\X"]
+    ns = spark.createDataFrame([("r", "s", n) for n in names] + [("q", "s", "App\\Jobs\\Y"), ("none", "s", "App\\X")], "repo_id string, snapshot_id string, ns string")
+    got = {(r.repo_id, r.ns): r.path for r in G.namespace_to_path(ns, "ns", maps, "path").collect()}
+    assert got == {("r", "App\\X"): "app/X", ("r", "App\\Jobs\\Y"): "jobs/Y", ("r", "\\App\\Z"): "app/Z", ("r", "Vendor\\A"): "vendor-src/or/A", ("r", "Ap"): None,
+                   ("r", ""): None, ("r", "Other\\App\\X"): None, ("q", "App\\Jobs\\Y"): "other/Jobs/Y", ("none", "App\\X"): None}
