@@ -22,6 +22,8 @@ TREES, DEPTH = 20, 3
 SMALL = 64
 #: Members of a tile when few members are compared with many.
 TILE = 512
+#: Parts that a set's hashes are counted in: the smaller counts of two sets bound what they share. A count that is full says nothing.
+PARTS = 256
 #: A pair is confirmed on full sets when its minwise agreement is within 5 standard deviations of the threshold.
 DEVIATIONS = 5.0
 #: Levels that a large node branches before its nodes are compared, and how often that is done; a node that is large even then
@@ -33,7 +35,7 @@ _A = np.random.default_rng(977).integers(1, 2**62, (2, POSITIONS), dtype=np.int6
 _A[0] |= U(1)
 _PART = 1 << 15
 
-SIGNED = "doc_id long, text_key long, n long, s1 long, s2 long, sketch array<int>"
+SIGNED = "doc_id long, text_key long, n long, s1 long, s2 long, sketch array<int>, counts binary"
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -50,6 +52,19 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def part_counts(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of PARTS parts, a byte each; 255 stands for that or more."""
+    part = (mix(h ^ U(0x3C6EF372FE94F82B)) >> U(56)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these part counts (a row each) can have 100 * intersection >= percent * union."""
+    both = np.minimum(a, b).sum(1, dtype=np.int64)
+    union = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64) - both
+    return (100 * both >= percent * union) | (a == 255).any(1) | (b == 255).any(1)
+
+
 def sign(batches: Batches) -> Batches:
     for b in batches:
         for first, h, offs in word_hashes(b.column("text")):
@@ -59,7 +74,8 @@ def sign(batches: Batches) -> Batches:
             flat = np.concatenate([sketch(s) if len(s) else np.zeros(POSITIONS, np.int32) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * POSITIONS), pa.array(flat))
             yield batch(doc_id=b.column("doc_id").slice(first, rows), text_key=b.column("text_key").slice(first, rows), n=pa.array([len(s) for s in sets], pa.int64()),
-                        s1=pa.array([x for x, _ in d], pa.int64()), s2=pa.array([y for _, y in d], pa.int64()), sketch=lists)
+                        s1=pa.array([x for x, _ in d], pa.int64()), s2=pa.array([y for _, y in d], pa.int64()), sketch=lists,
+                        counts=pa.array([part_counts(s) for s in sets], pa.binary()))
 
 
 def full_sets(batches: Batches) -> Batches:
@@ -91,25 +107,28 @@ def _forest(node: np.ndarray, i: np.ndarray, j: np.ndarray, comp: np.ndarray) ->
 
 
 def _close(least: float):
-    """Exhaustive comparison inside groups: rows (group, outer, cid, comp, sketch) sorted by group, outer members first.
+    """Exhaustive comparison inside groups: rows (group, outer, cid, comp, sketch, counts) sorted by group, outer members first.
 
     Each outer member is compared with all that follow it in its group. All groups of a batch are compared together:
     rows with the rows one place further, then two, and so on, as long as a group is that long. A group that a batch cuts
     is completed from the next one; groups are bounded, so what waits is too.
     """
     low = least - DEVIATIONS * np.sqrt(least * (1 - least) / POSITIONS)
+    percent = round(100 * least)
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         group, cid, comp = (t.column(c).to_numpy() for c in ("group", "cid", "comp"))
         outer = t.column("outer").to_numpy() == 1
         x = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(group), POSITIONS)
+        parts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(len(group), PARTS)
         at, found, k = np.flatnonzero(outer), [], 0
         while len(at):
             k += 1
             at = at[at + k < len(group)]
             at = at[group[at + k] == group[at]]
             same = (x[at] == x[at + k]).mean(1)
-            ok = (same >= low) & (comp[at] != comp[at + k])
+            ok = np.flatnonzero((same >= low) & (comp[at] != comp[at + k]))
+            ok = ok[_may_link(parts[at[ok]], parts[at[ok] + k], percent)]
             found.append((at[ok], at[ok] + k, same[ok]))
         i, j, same = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
         order = np.lexsort((j, i, -same))
@@ -140,7 +159,7 @@ def _close(least: float):
 
 def _compared(rows: DataFrame, by: list[str], least: float) -> DataFrame:
     """Candidates (a, b, tree) of the groups that the columns ``by`` name."""
-    rows = rows.select(F.xxhash64(*by).alias("group"), "outer", "cid", "comp", "sketch")
+    rows = rows.select(F.xxhash64(*by).alias("group"), "outer", "cid", "comp", "sketch", "counts")
     rows = rows.repartition("group").sortWithinPartitions("group", F.desc("outer"), "cid")
     return rows.mapInArrow(_close(least), "a long, b long, tree boolean")
 
@@ -241,7 +260,7 @@ def _tiled(members: DataFrame, least: float) -> DataFrame:
     outer = F.col("comp") != F.col("top")
     rows = members.withColumn("outer", outer.cast("int")).withColumn("tiles", tiles)
     to = F.when(F.col("outer") == 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "node"), F.col("tiles")).cast("int")))
-    rows = rows.select("node", "cid", "comp", "sketch", "outer", F.explode(to).alias("tile"))
+    rows = rows.select("node", "cid", "comp", "sketch", "counts", "outer", F.explode(to).alias("tile"))
     return _compared(rows, ["node", "tile"], least)
 
 
@@ -249,7 +268,7 @@ def _blocked(members: DataFrame, least: float) -> DataFrame:
     """Candidates of nodes that stay large: every pair of tiles of a node, each tile in turn as the outer members."""
     rows = members.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("m") / SMALL)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid", "node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("own", t).alias("x"), F.greatest("own", t).alias("y")))))
-    rows = rows.select("node", "cid", "comp", "sketch", (F.col("own") == F.col("pair.x")).cast("int").alias("outer"), F.col("pair.x").alias("x"), F.col("pair.y").alias("y"))
+    rows = rows.select("node", "cid", "comp", "sketch", "counts", (F.col("own") == F.col("pair.x")).cast("int").alias("outer"), F.col("pair.x").alias("x"), F.col("pair.y").alias("y"))
     return _compared(rows, ["node", "x", "y"], least)
 
 
@@ -288,9 +307,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def near_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(cid, comp) for classes that have a link, from a written table (cid, n, s1, s2, text_key, sketch)."""
+    """(cid, comp) for classes that have a link, from a written table (cid, n, s1, s2, text_key, sketch, counts)."""
     join = Join(classes, docs, percent)
-    _grow(join, classes.select("cid", "sketch"), percent / 100)
+    _grow(join, classes.select("cid", "sketch", "counts"), percent / 100)
     if join.known is None:
         return classes.select("cid", F.col("cid").alias("comp")).limit(0)
     return join.known.select(F.col("node").alias("cid"), "comp")
@@ -354,7 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, groups: bool = False) ->
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable. Null, empty and blank
     texts have no set and link with nothing. Equal sets form one class that is compared once. Repeated rows share a class;
     of equal rows all are kept or none. A null doc_id is a component's id only where no other is. Every link
-    returned was confirmed on full sets; a pair of which
+    returned was confirmed on full sets, to which only pairs come that their part counts don't rule out; a pair of which
     some shared node is small is missed with a probability below (1 - J ** DEPTH) ** TREES, 1e-8 at 0.85 and 1e-6 at 0.8.
     The tables written on the way are deleted; the result is a written table.
     """
@@ -366,7 +385,8 @@ def _near_duplicates(docs: DataFrame, percent: int, groups: bool) -> DataFrame:
     src = keyed(docs)
     signed = saved(src.mapInArrow(sign, SIGNED), "signed")
     keys = ["n", "s1", "s2"]
-    cls = signed.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    cls = signed.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"),
+                                                 F.first("counts").alias("counts"), F.count("*").alias("copies"))
     cls = saved(cls.withColumn("cid", F.monotonically_increasing_id()), "set-classes")
     comp = near_classes(cls, src, percent)
     return _with_components(signed, cls, comp, keys, groups)

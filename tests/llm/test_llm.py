@@ -281,6 +281,26 @@ def test_minhash_components(spark, docs, empty, monkeypatch):
     assert sorted(r[0] for r in left.collect() if r[0] is not None) == sorted({i for i in sets if root[i] == i})
 
 
+def test_part_counts_never_rule_out_a_link():
+    from codecensus.llm import minhash as H
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for size in (1, 2, 7, 60, 400, 5000):
+        for _ in range(60):
+            pool = rng.integers(0, 2**63, 2 * size, dtype=np.int64).view(np.uint64)
+            other = pool[:size].copy()
+            swap = int(rng.integers(0, size // 3 + 1))
+            other[:swap] = pool[size:size + swap]
+            both = size - swap
+            a, b = (np.frombuffer(H.part_counts(np.unique(x)), np.uint8)[None] for x in (pool[:size], other))
+            may = bool(H._may_link(a, b, 85)[0])
+            assert may or 100 * both < 85 * (2 * size - both)
+            ruled_out += not may
+    assert ruled_out > 100
+    full = np.full((1, H.PARTS), 255, np.uint8)
+    assert H._may_link(full, np.ones((1, H.PARTS), np.uint8), 85)[0]  # full counts say nothing
+
+
 def test_deduplicated_keeps_different_documents_of_one_id(spark, docs):
     rng = random.Random(33)
     a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
