@@ -394,6 +394,31 @@ def test_quality_separates_held_out_rows(spark, docs, empty):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in out if out[i] >= 0.3}
 
 
+def test_quality_fit_equals_a_dense_solution(spark):
+    from pyspark.sql import functions as F
+
+    from codecensus.llm import quality as Q
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, len(Q.STATISTICS)))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=500) > 0.3).astype(float)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "doc_id long, x array<double>, y double").repartition(5)
+    model = Q.fit(rows)
+    fold = dict(rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3))).collect())
+    learn = np.array([fold[i] > 0 for i in range(500)])
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8) @ model.freq + model.phase
+    z = np.c_[np.sqrt(2 / Q.FEATURES) * np.cos(z), np.ones(500)]
+    ridge = np.sqrt(Q.RIDGE) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.r_[z[learn], ridge], np.r_[y[learn], np.zeros(z.shape[1])], rcond=None)[0]
+    assert np.allclose(model.weights, weights, atol=1e-7)
+    # the calibration is the monotone regression of the other rows, by the min-max formula
+    raw = z[~learn] @ weights
+    v = y[~learn][np.argsort(raw, kind="stable")]
+    mean = lambda a, b: v[a:b + 1].mean()
+    fit = [max(min(mean(a, b) for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    assert np.allclose(np.unique(np.round(fit, 9)), np.unique(np.round(model.values, 9)))
+    assert (np.diff(model.knots) > 0).all() and ((model.score(x) >= 0) & (model.score(x) <= 1)).all()
+
+
 def test_isotonic_is_the_best_monotone_fit():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 0, 1]))
     assert np.allclose(y, [0, 1 / 3, 1]) and np.allclose(x, [1, 3, 5])
