@@ -36,3 +36,22 @@ def test_snapshot_assembly_needs_no_exchange(spark, files):
     tables = list(c.tables)
     c.drop()
     assert tables and not any(spark.catalog.tableExists(t) for t in tables)
+
+
+def _lineitem(spark, folder, rows):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    df.withColumn("l_shipdate", F.to_timestamp(F.lit("1997-01-01"))).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_manifest_queries_move_row_keys_once(spark, tmp_path):
+    """A dependency query builds the manifests it parses, and only them, behind the one exchange that its parser needs."""
+    from codecensus.plans import q_manifests as Q
+    sf = _lineitem(spark, tmp_path, [(1, 7, 3, 1), (1, 7, 3, 2), (2, 50, 3, 1), (2600, 8, 3, 4), (None, 9, 3, 1), (5, 9, None, 1)])
+    for q in (Q.deps_gradle, Q.deps_cargo, Q.deps_npm):
+        plan = _plan(q(spark, sf))
+        assert plan.count("Exchange hashpartitioning") == 1 and "codecensus-" not in plan
+    rows = {(r.repo_id, r.rel_path, r.name, r.version) for r in Q.deps_gradle(spark, sf).collect()}
+    assert rows == {("s3", "m0/build.gradle", "g7:p7", "1.2.1"), ("s3", "m0/build.gradle", "org.springframework:spring-webmvc", "1.1.2"),
+                    ("s3", "m1/build.gradle", "g8:p8", "1.4.0"), (None, "m0/build.gradle", "g9:p9", "1.1.5")}
