@@ -60,11 +60,12 @@ FROM (SELECT repo_id, dir_key, count(*) AS file_count,
         coalesce(string_agg(DISTINCT CASE WHEN source_language IS NOT NULL AND NOT is_test THEN source_language END, ',' ORDER BY CASE WHEN source_language IS NOT NULL AND NOT is_test THEN source_language END), '') AS languages
       FROM pkn GROUP BY repo_id, dir_key) d
 LEFT JOIN (SELECT repo_id, dir_key, string_agg(rel_path, ',' ORDER BY rel_path) AS notable_files
-           FROM nf WHERE rn <= 5 GROUP BY repo_id, dir_key) n
+           FROM nf GROUP BY repo_id, dir_key) n
   ON d.repo_id = n.repo_id AND d.dir_key = n.dir_key
 """)
 def directory_layout(spark, sf_dir):
-    d = S.directory_layout(_facts(spark, sf_dir))
+    """Every directory with all its notable files."""
+    d = S.directory_layout(_facts(spark, sf_dir), notable=None)
     return d.select("repo_id", "path", "file_count", "source_files", "test_files", "manifest_files", "config_files",
                     F.array_join("languages", ",").alias("languages"),
                     F.array_join("notable_files", ",").alias("notable_files"))

@@ -55,3 +55,14 @@ def test_manifest_queries_move_row_keys_once(spark, tmp_path):
     rows = {(r.repo_id, r.rel_path, r.name, r.version) for r in Q.deps_gradle(spark, sf).collect()}
     assert rows == {("s3", "m0/build.gradle", "g7:p7", "1.2.1"), ("s3", "m0/build.gradle", "org.springframework:spring-webmvc", "1.1.2"),
                     ("s3", "m1/build.gradle", "g8:p8", "1.4.0"), (None, "m0/build.gradle", "g9:p9", "1.1.5")}
+
+
+def test_directory_layout_names_all_notable_files(spark, tmp_path):
+    from codecensus.plans import q_structure as Q
+    # one customer; the base name follows from o_orderkey div 10, and o_orderkey % 10 = 0 is the root folder
+    spark.createDataFrame([(10 * k, 4) for k in range(24)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    row = Q.directory_layout(spark, str(tmp_path)).collect()[0]
+    assert row.path == "root" and row.file_count == 24
+    named = row.notable_files.split(",")
+    assert len(named) > 5 and named == sorted(named)
+    assert named == [r.notable_file for r in Q.notable_files(spark, str(tmp_path)).orderBy("rank").collect()]
