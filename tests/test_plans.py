@@ -66,3 +66,14 @@ def test_directory_layout_names_all_notable_files(spark, tmp_path):
     named = row.notable_files.split(",")
     assert len(named) > 5 and named == sorted(named)
     assert named == [r.notable_file for r in Q.notable_files(spark, str(tmp_path)).orderBy("rank").collect()]
+
+
+def test_module_edges_read_their_language_only(spark, tmp_path):
+    """A language's edges come from its own files, built and made distinct behind one exchange."""
+    from codecensus.operators import modules as G
+    from codecensus.plans.corpus_modules import module_corpus
+    sf = _lineitem(spark, tmp_path, [(2, 7, 1, 1), (3, 7, 1, 1), (2, 7, 2, 1), (None, 9, 1, 1), (5, 9, None, 1), (4, 7, 1, 7)])
+    edges = G.raw_edges(module_corpus(spark, sf), ["js"])
+    assert "codecensus-" not in _plan(edges)
+    assert {(r.repo_id, r.src, r.dst) for r in edges.collect()} == {
+        ("e1", "pkg/p7/f1_0.js", "lib/s2"), ("e1", "pkg/p7/f1_0.js", "lib/s3")}
