@@ -57,6 +57,17 @@ def test_manifest_queries_move_row_keys_once(spark, tmp_path):
                     ("s3", "m1/build.gradle", "g8:p8", "1.4.0"), (None, "m0/build.gradle", "g9:p9", "1.1.5")}
 
 
+def test_manifest_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """The exchange of row keys has as many tasks as the rows need, whatever their bytes or the session's shuffle partitions."""
+    from codecensus import session
+    from codecensus.plans import q_manifests as Q
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    sf = _lineitem(spark, tmp_path, [(k, 7, k, 1) for k in range(41)])
+    for q in (Q.deps_nuget, Q.deps_pip):
+        df = q(spark, sf)
+        assert ", 21), REPARTITION_BY_NUM" in _plan(df) and df.count() == 41
+
+
 def test_directory_layout_names_all_notable_files(spark, tmp_path):
     from codecensus.plans import q_structure as Q
     # one customer; the base name follows from o_orderkey div 10, and o_orderkey % 10 = 0 is the root folder
