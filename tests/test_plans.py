@@ -88,3 +88,22 @@ def test_module_edges_read_their_language_only(spark, tmp_path):
     assert "codecensus-" not in _plan(edges)
     assert {(r.repo_id, r.src, r.dst) for r in edges.collect()} == {
         ("e1", "pkg/p7/f1_0.js", "lib/s2"), ("e1", "pkg/p7/f1_0.js", "lib/s3")}
+
+
+def test_route_tasks_follow_the_events(spark, tmp_path, monkeypatch):
+    """Route files are dealt once, by as many tasks as the events need; parsers' windows by file add no exchange, a union neither."""
+    import datetime
+
+    from codecensus.plans import corpus_routes, registry
+    registry.load_all()
+    monkeypatch.setattr(corpus_routes, "TASK_EVENTS", 2, raising=False)
+    at = datetime.datetime(2024, 1, 1)
+    # event_id % 11 is the framework, 9 events or 10 each
+    rows = [(k, k % 5, "view", at) for k in range(11 * 9)] + [(101, None, "view", at), (102, 1, None, at), (None, 1, "view", at)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    for name, fw in (("routes_flask", 3), ("routes_go", 5), ("routes_aspnet", 9), ("routes_spring", 10)):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        by_file = [line for line in _plan(df).splitlines() if "Exchange" in line and "rel_path" in line]
+        assert by_file and all(", 5), REPARTITION_BY_NUM" in line for line in by_file)
+        if fw == 10:
+            assert {(r.repo_id, r.path) for r in df.filter("repo_id is not null").collect()} == {(f"u{k % 5}", f"/u{k % 5}/view/{k}") for k in range(fw, 99, 11)}
