@@ -132,6 +132,61 @@ def test_one_repository_spans_partitions(spark):
     assert files > 1 and hot == list(range(2000))
 
 
+def test_positions_need_one_exchange_of_the_rows(spark, tmp_path):
+    """Positions equal running totals of ones, over groups that span partitions, null keys and batches; rows move once."""
+    from codecensus.functions.running import running_position, running_total
+    from codecensus.session import saved
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("r"), F.col("id") % 50)).alias("g"),
+                                  F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("h"), F.concat(F.lit("f"), F.col("id")).alias("v"))
+    df = df.repartition(4)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for group in ([], ["g"], ["g", "h"]):
+            got = running_position(df, group, [F.col("v")], "n", lambda d: saved(d, "t"))
+            want = running_total(df, group, [F.col("v")], {"n": F.lit(1)}, lambda d: saved(d, "t"))
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            # the rows' own side of the join neither moves nor sorts them again
+            rows = got._jdf.queryExecution().optimizedPlan().children().head().children().head().toString()
+            assert "Window" not in rows and "Aggregate" not in rows
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_documents_number_dependencies_once(spark):
+    """Lines of both documents follow from one numbering, also for null repositories, managers, names and rows that come twice."""
+    from codecensus.functions import running
+    from codecensus.operators import reports as RP
+    rows = [("a", "npm", "x", "1"), ("a", "npm", "x", "1"), ("a", "go", "z", None), ("a", "go", None, "2"), ("a", None, "q", "3"), ("b", "pip", 'p"p', ""), (None, "npm", "n", "1")]
+    deps = spark.createDataFrame(rows, "repo_id string, manager string, name string, version string")
+    calls = []
+    kept, RP.running_position = RP.running_position, lambda *a, **k: calls.append(1) or running.running_position(*a, **k)
+    try:
+        numbered = RP.numbered_dependencies(deps)
+        doc, graph = RP.dependencies_doc_lines(deps, numbered=numbered), RP.dependency_graph_lines(deps, numbered=numbered)
+        alone = RP.dependencies_doc_lines(deps).collect()
+    finally:
+        RP.running_position = kept
+    assert len(calls) == 2 and sorted(map(str, alone)) == sorted(map(str, doc.collect()))
+
+    def of(d, repo):
+        got = d.filter(F.col("repo_id").eqNullSafe(F.lit(repo))).orderBy("line_no").collect()
+        assert [r.line_no for r in got] == list(range(1, len(got) + 1))
+        return [r.line for r in got]
+    head, table = ["# Dependencies", "", "## Summary", "| Manager | Count |", "|---|---|"], ["| Name | Version |", "|---|---|"]
+    assert of(doc, "a") == [*head, None, "| go | 2 |", "| npm | 2 |", None, *table, "| q | 3 |", "## go", *table, None, None, "## npm", *table, "| x | 1 |", "| x | 1 |"]
+    assert of(doc, None) == [*head, "| npm | 1 |", "## npm", *table, "| n | 1 |"]
+    assert of(graph, "b") == ["# Dependency Graph", "~~~mermaid", "graph LR", '  P["Project"]', '  PM1["pip"]', "  P --> PM1", '  D1_1["p\'p"]', "  PM1 --> D1_1", "~~~"]
+    # a null manager or repository heads a list without lines of its dependencies
+    assert of(graph, "a")[4:6] == [None, "  P --> PM1"] and of(graph, "a")[6:] == [
+        '  PM2["go"]', "  P --> PM2", None, "  PM2 --> D2_1", '  D2_2["z"]', "  PM2 --> D2_2",
+        '  PM3["npm"]', "  P --> PM3", '  D3_1["x"]', "  PM3 --> D3_1", '  D3_2["x"]', "  PM3 --> D3_2", "~~~"]
+    assert of(graph, None)[4:] == ['  PM1["npm"]', "  P --> PM1", "~~~"]
+
+
 def test_row_order_holds_at_large_keys(spark):
     from codecensus.plans.corpus_manifests import ORD
     rows = spark.createDataFrame([(600_000_000_000, 1, 2_000_000_000), (600_000_000_000, 1, 5), (600_000_000_000, 7, 1), (3, 9, 9)],
