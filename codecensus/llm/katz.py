@@ -6,13 +6,14 @@ bucket, and each key only once per chunk:
   counts   chunk -> (bucket, keys, counts) -> one sorted table per bucket, written
   model    the distinct pairs meet the counts of their words and the totals of their histories by joins
   lookups  chunk -> (bucket, keys, which documents hold them how often), met by the bucket's table; what a document
-           gains in a bucket goes back to its chunk and is added up there
+           gains in a bucket goes back to its chunk and is added up there; in two passes, so that lookups take half the room
 A token's log probability is that of backing off, log backoff(history) + log p(word), which two lookups by word give, and
 for a pair seen in training what the pair's own estimate is above that, which the lookup by pair gives.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,10 +131,10 @@ def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h) + w)
 
 
-def _quarters(keys: np.ndarray) -> Iterator[np.ndarray]:
+def _quarters(keys: np.ndarray, only: tuple[int, ...] = (0, 1, 2, 3)) -> Iterator[np.ndarray]:
     """Where the keys of each quarter of the buckets are, so that a task sorts fewer at a time."""
     quarter = (mix(keys) >> np.uint64(62)).astype(np.uint8)
-    for q in range(4):
+    for q in only:
         at = np.flatnonzero(quarter == q)
         if len(at):
             yield at
@@ -388,24 +389,51 @@ def _postings(keys: np.ndarray, docs: np.ndarray, buckets: int, offset: int, kin
                  **{x: pa.array(cols[x], pa.binary()) for x in ("keys", "counts", "lengths", "docs")})
 
 
+def _added(packed: list[bytes]) -> bytes:
+    """Packed arrays added up, the shorter ones from the first place on."""
+    arrays = [unpack(x, np.int64) for x in packed]
+    out = np.zeros(max(map(len, arrays)), np.int64)
+    for x in arrays:
+        out[:len(x)] += x
+    return pack(out)
+
+
+def _together(group: pd.DataFrame) -> pd.DataFrame:
+    """What the documents of one chunk gain in all buckets of a pass: a row per kind."""
+    rows = []
+    for kind, g in group.groupby("kind"):
+        own = g.iloc[0][["a", "b", "c"]].tolist()
+        rows.append([g["block"].iloc[0], kind, *([_added(g["a"]), *([_added(g["b"]), _added(g["c"])] if kind == 2 else [b"", b""])] if kind < 3 else own)])
+    return pd.DataFrame(rows, columns=["block", "kind", "a", "b", "c"])
+
+
 def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text, train): doc_id, train, n_tokens, n_known, base_score, score."""
+    """One row per row of docs (doc_id, text, train): doc_id, train, n_tokens, n_known, base_score, score.
+
+    Lookups take several times the room of the texts, so they are made in two passes, each with half of the pairs' buckets: what
+    a document gains in a pass is written and the lookups go before the next begins. Chunks must be the same in both, which their
+    checksums tell.
+    """
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     parts = 4 * buckets
     held = spark.sparkContext.broadcast(model)
     base_low = model.tokens + 0.5 * (model.types + 1)
 
-    def look(batches: Batches) -> Batches:
-        for c in chunks(batches):
-            keys = _pair_keys(*held.value.pairs(c))
-            for at in _quarters(keys):
-                yield _postings(keys[at], c.doc[at], parts, 0, 1, c.block)
-            yield _postings(c.hashes, c.doc, buckets, parts, 2, c.block)
-            ids = pa.array(c.ids, pa.int64())
-            head = [pack(ids.fill_null(0).to_numpy()), pack(np.vstack([c.train, ids.is_null().to_numpy(False)]).astype(np.uint8).ravel()), pack(c.n_tokens.astype(np.int64))]
-            yield batch(bucket=pa.array([c.block % (parts + buckets)], pa.int32()), kind=pa.array([3], pa.int32()), block=pa.array([c.block], pa.int64()),
-                        keys=head[:1], counts=head[1:2], lengths=head[2:], docs=[b""])
+    def look(half: int):
+        def run(batches: Batches) -> Batches:
+            for c in chunks(batches):
+                keys = _pair_keys(*held.value.pairs(c))
+                for at in _quarters(keys, (2 * half, 2 * half + 1)):
+                    yield _postings(keys[at], c.doc[at], parts, 0, 1, c.block)
+                ids = pa.array(c.ids, pa.int64())
+                head = [pack(ids.fill_null(0).to_numpy()), pack(np.vstack([c.train, ids.is_null().to_numpy(False)]).astype(np.uint8).ravel()), pack(c.n_tokens.astype(np.int64))]
+                check = pack(np.array([zlib.crc32(c.hashes, zlib.crc32(b"".join(head)))], np.int64))
+                if half:
+                    yield _postings(c.hashes, c.doc, buckets, parts, 2, c.block)
+                yield batch(bucket=pa.array([c.block % (parts + buckets)] * 2, pa.int32()), kind=pa.array([3, 4 + half], pa.int32()), block=pa.array([c.block] * 2, pa.int64()),
+                            keys=[head[0], check], counts=[head[1], b""], lengths=[head[2], b""], docs=[b"", b""]).slice(0 if half else 1)
+        return run
 
     def meet(batches: Batches) -> Batches:
         """A bucket's tables come first (kinds -1 and 0), then the lookups of all chunks, one at a time."""
@@ -424,8 +452,8 @@ def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame)
 
         for b in batches:
             for r in b.to_pylist():
-                if r["kind"] == 3:
-                    yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([3], pa.int32()), a=[r["keys"]], b=[r["counts"]], c=[r["lengths"]])
+                if r["kind"] >= 3:
+                    yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([r["kind"]], pa.int32()), a=[r["keys"]], b=[r["counts"]], c=[r["lengths"]])
                     continue
                 if r["bucket"] != bucket:
                     bucket, pieces, tables = r["bucket"], {}, {}
@@ -445,13 +473,16 @@ def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame)
                 yield batch(block=pa.array([r["block"]], pa.int64()), kind=pa.array([r["kind"]], pa.int32()), a=sums[:1], b=sums[1:2], c=sums[2:])
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        checks = {k: list(group.loc[group["kind"] == k, "a"]) for k in (4, 5)}
+        if len(checks[4]) != 1 or checks[4] != checks[5]:
+            raise RuntimeError("a chunk of documents differs between the passes: score a written table")
         head = group[group["kind"] == 3].iloc[0]
         ids, tokens = unpack(head["a"], np.int64), unpack(head["c"], np.int64)
         n = len(ids)
         train, absent = unpack(head["b"], np.uint8).reshape(2, n).astype(bool)
         total, known, base = np.full(n, round(held.value.backoff_begin / UNIT)), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for kind, a, b, c in zip(group["kind"], group["a"], group["b"], group["c"], strict=True):
-            if kind == 3:
+            if kind >= 3:
                 continue
             x = unpack(a, np.int64)
             total[:len(x)] += x
@@ -464,9 +495,15 @@ def score(docs: DataFrame, model: Model, by_word: DataFrame, by_pair: DataFrame)
     none = [F.lit(None).cast("binary").alias(x) for x in ("lengths", "docs")]
     tables = [t.select((F.col("bucket") + add).alias("bucket"), kind.alias("kind"), F.lit(-1).cast("long").alias("block"), "keys", "counts", *none)
               for t, kind, add in ((by_pair, F.lit(0), 0), (by_word, F.col("kind"), parts))]
-    rows = docs.mapInArrow(look, LOOKUPS).unionByName(tables[0]).unionByName(tables[1])
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "kind", "block")
-    gains = rows.mapInArrow(meet, GAINS)
+    passes = []
+    for half in (0, 1):
+        mine = F.col("bucket").between(half * parts // 2, (half + 1) * parts // 2 - 1)
+        rows = docs.mapInArrow(look(half), LOOKUPS).unionByName(tables[0].filter(mine))
+        if half:
+            rows = rows.unionByName(tables[1])
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "kind", "block")
+        passes.append(_written(rows.mapInArrow(meet, GAINS).groupBy("block").applyInPandas(_together, GAINS), "gains"))
+    gains = passes[0].unionByName(passes[1])
     return gains.groupBy("block").applyInPandas(add_up, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -547,3 +547,22 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert set(kept[3]) <= set(kept[2])
     out = pipeline.run(spark, d)
     assert {"doc_id", "n_pieces", "ids"} <= set(out.columns) and out.count() >= len(kept[3])
+
+
+def test_katz_lookups_go_in_two_passes(spark, docs, monkeypatch):
+    src = docs.withColumn("train", F.col("doc_id") % 5 != 1)
+    model, uni, bi = katz.learn(src)
+    names, written = [], katz._written
+    monkeypatch.setattr(katz, "_written", lambda df, name: (names.append(name), written(df, name))[1])
+    assert katz.score(src, model, uni, bi).count() == src.count()
+    assert names == ["gains", "gains"]
+
+
+def test_katz_adds_up_what_the_buckets_of_a_pass_give():
+    import pandas as pd
+
+    from codecensus.llm.arrays import pack, unpack
+    a, b = pack(np.array([1, 2])), pack(np.array([5, 0, 7]))
+    got = katz._together(pd.DataFrame({"block": [9] * 4, "kind": [1, 1, 2, 4], "a": [a, b, a, b"x"], "b": [b"", b"", b, b""], "c": [b"", b"", a, b""]}))
+    assert got[["block", "kind"]].to_numpy().tolist() == [[9, 1], [9, 2], [9, 4]]
+    assert unpack(got["a"][0], np.int64).tolist() == [6, 2, 7] and unpack(got["b"][1], np.int64).tolist() == [5, 0, 7] and got["a"][2] == b"x"
