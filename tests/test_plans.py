@@ -90,6 +90,27 @@ def test_module_edges_read_their_language_only(spark, tmp_path):
         ("e1", "pkg/p7/f1_0.js", "lib/s2"), ("e1", "pkg/p7/f1_0.js", "lib/s3")}
 
 
+def test_module_dictionaries_read_one_branch_once(spark, tmp_path):
+    """Module paths and mappings come from the branch that holds their files, and a mapping document is parsed once."""
+    from codecensus.operators import modules as G
+    from codecensus.plans.corpus_modules import module_corpus
+    sf = _lineitem(spark, tmp_path, [(2, 7, 1, 1), (3, 7, 4, 1), (2, 7, 3, 1), (None, 9, 1, 1), (5, 9, None, 1)])
+    files = module_corpus(spark, sf)
+    for df in (G.go_module_paths(files), G.psr4_mappings(files)):
+        assert _plan(df).count("FileScan parquet") <= 3
+    assert {(r.repo_id, r.prefix, r.dir) for r in G.psr4_mappings(files).collect()} == {
+        ("e3", "App\\", "app"), ("e3", "App\\Jobs\\", "jobs"), ("e3", "Tests\\", "tests")}
+
+
+def test_a_list_among_the_mappings_voids_its_snapshot(spark, files):
+    """The first section wins, a list voids every mapping of the snapshot, a file of that name elsewhere maps nothing."""
+    from codecensus.operators import modules as G
+    good = '{"autoload": {"psr-4": {"A\\\\": "a/"}}, "autoload-dev": {"psr-4": {"A\\\\": "b/", "T\\\\": " t "}}}'
+    bad = '{"autoload": {"psr-4": {"A\\\\": "a/"}}, "autoload-dev": {"psr-4": {"T\\\\": ["t"]}}}'
+    rows = files([("composer.json", good), ("sub/composer.json", bad)], repo="r1").unionByName(files([("composer.json", bad)], repo="r2"))
+    assert sorted((r.repo_id, r.prefix, r.dir, r.prio) for r in G.psr4_mappings(rows).collect()) == [("r1", "A\\", "a", 0), ("r1", "T\\", "t", 1)]
+
+
 def test_route_tasks_follow_the_events(spark, tmp_path, monkeypatch):
     """Route files are dealt once, by as many tasks as the events need; parsers' windows by file add no exchange, a union neither."""
     import datetime
