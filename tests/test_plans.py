@@ -57,6 +57,32 @@ def test_manifest_queries_move_row_keys_once(spark, tmp_path):
                     ("s3", "m1/build.gradle", "g8:p8", "1.4.0"), (None, "m0/build.gradle", "g9:p9", "1.1.5")}
 
 
+def test_json_manifests_are_parsed_once(spark, tmp_path):
+    """The checks of a document and its entries read one parse of it: no filter repeats the parse below the generator."""
+    from codecensus.plans import q_manifests as Q
+    sf = _lineitem(spark, tmp_path, [(1, 7, 3, 1), (1, 7, 3, 2), (2, 50, 3, 1)])
+    for q in (Q.deps_npm, Q.deps_composer):
+        df = q(spark, sf)
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+        assert df.count() == 2
+
+
+def test_go_requirements_split_at_any_white_space(spark, files):
+    rows = files([("go.mod", "module m\nrequire\ta v0\nrequire  b \u00a0\u2003v1 // x\nrequire (\n\tc\tv2\r\n d\n\u3000e\u1680v\u00e93\n)\nf v4\nrequire g\n")])
+    got = sorted((r.name, r.version) for r in M.parse_go_mod(rows).collect())
+    assert got == [("b", "v1"), ("c", "v2"), ("e", "v\u00e93")]
+
+
+def test_pyproject_lines_are_read_once(spark, tmp_path):
+    """Both dependency sections of a file come out of one window over its lines, behind the one exchange."""
+    from codecensus.plans import q_manifests as Q
+    sf = _lineitem(spark, tmp_path, [(1, 7, 3, 1), (1, 8, 3, 5), (2, 50, 3, 4)])
+    df = Q.deps_pyproject(spark, sf)
+    plan = _plan(df)
+    assert plan.count("Window [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.manager, r.name, r.version) for r in df.collect()} == {("pip", "p7", ">=1.1.1"), ("poetry", "p8", "^1.5.1"), ("pip", "django", ">=1.4.2")}
+
+
 def test_manifest_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     """The exchange of row keys has as many tasks as the rows need, whatever their bytes or the session's shuffle partitions."""
     from codecensus import session
